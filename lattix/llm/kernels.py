@@ -2,7 +2,7 @@
 
 A batch of texts is one UTF-8 buffer with offsets.  Words are runs of
 non-separator bytes; each gets a 64-bit hash from differences of a running
-polynomial sum, so no Python loop runs over words.  Buffers are cut into pieces
+polynomial sum, so no Python loop runs over words.  A-Z hash like a-z.  Buffers are cut into pieces
 of a bounded size (a single longer text is a piece of its own), which bounds the
 memory of a worker whatever the batch size.
 """
@@ -35,7 +35,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE_VALUE = _table(11, 256)
+#: A-Z count as a-z; other bytes as they are.
+_FOLD = np.arange(256)
+_FOLD[65:91] += 32
+_BYTE_VALUE = _table(11, 256)[_FOLD]
 _powers: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 
 #: Separators: ASCII white space only, or every ASCII byte that isn't a letter or digit.

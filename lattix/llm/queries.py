@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import TEMPLATES, scan_licenses
 from .line_dedup import repeated_line_chunks
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .substring_dedup import repeated_passages
 from .url_filter import filter_urls, rules_frame
 
@@ -44,12 +45,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_line_chunks(table(spark, sf_dir, "documents"))
 
 
+def op9_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold_percent=80)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_url_filter, op5_mix_sources, op6_license_scan, op7_substring_dedup, op8_line_dedup, op10_exact_dedup)
+    own = (op3_url_filter, op5_mix_sources, op6_license_scan, op7_substring_dedup, op8_line_dedup, op9_hyperminhash_dedup, op10_exact_dedup)
     return {f.__name__: f for f in own}
 
 
@@ -132,6 +137,24 @@ SELECT doc_id, start_line::INT AS start_line, end_line::INT AS end_line, first_d
 FROM f WHERE (doc_id, start_line) <> (first_doc_id, first_start_line)
 """
 
+_OP9 = f"""
+WITH RECURSIVE n AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS w FROM n),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w[1]] ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END)) AS g FROM w
+), k AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b WHERE 100 * both >= 80 * (ka.c + kb.c - both)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(id, r) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT b, r FROM reach JOIN both_ways ON a = id WHERE r < b
+), c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(k.c, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN c ON id = doc_id LEFT JOIN k USING (doc_id)
+"""
+
 _OP10 = f"""
 WITH n AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS norm FROM documents),
 g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, norm FROM n)
@@ -145,5 +168,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_mix_sources": _OP5,
         "op6_license_scan": _OP6,
         "op8_line_dedup": _OP8,
+        "op9_hyperminhash_dedup": _OP9,
         "op10_exact_dedup": _OP10,
     }
