@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import quality, toxicity
+from .common import is_held_out, table
+from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
 from .license_scan import TEMPLATES, scan_licenses
 from .line_dedup import repeated_line_chunks
@@ -25,10 +28,29 @@ URL_RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "worst_sentence", "worst_start", "worst_end", "n_toxic_sentences",
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("shuffle_key")
 
@@ -54,7 +76,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_url_filter, op5_mix_sources, op6_license_scan, op7_substring_dedup, op8_line_dedup, op9_hyperminhash_dedup, op10_exact_dedup)
+    own = (
+        op1_toxicity,
+        op2_quality,
+        op3_url_filter,
+        op4_decontaminate,
+        op5_mix_sources,
+        op6_license_scan,
+        op7_substring_dedup,
+        op8_line_dedup,
+        op9_hyperminhash_dedup,
+        op10_exact_dedup,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -114,8 +147,6 @@ SELECT doc_id, template, n::INT AS n_template, found::INT AS n_found, found / n
 FROM f JOIN tn USING (template) WHERE found / n >= 0.8
 """
 
-_OP7 = None  # the pattern of sentence units has no equal in SQL; tested against brute force
-
 _OP8 = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
@@ -143,8 +174,8 @@ w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x
 s AS (
   SELECT doc_id, unnest(list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w[1]] ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END)) AS g FROM w
 ), k AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
-i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM i JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b WHERE 100 * both >= 80 * (ka.c + kb.c - both)),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b WHERE 100 * common >= 80 * (ka.c + kb.c - common)),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(id, r) AS (
   SELECT doc_id, doc_id FROM documents
