@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lattix.plans import balancing, iterative, keyed, learning, matrices, queueing, streams  # noqa: F401
+from lattix.plans.registry import QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-
-def _kv_upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return events.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"kv_upsert_last": _kv_upsert_last}
+def queries() -> dict[str, Query]:
+    return {name: fn for name, (fn, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "kv_upsert_last": """
-            SELECT event_id, ts, user_id, event_type, value, props FROM (
-              SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-            WHERE rn = 1"""
-    }
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql is not None}
