@@ -8,7 +8,8 @@ from lattix.operators import kv, reduce
 from lattix.plans.lineage import table
 from lattix.plans.registry import query
 
-CENTS = F.round(F.col("value") * 100).cast("bigint")
+def _cents():
+    return F.round(F.col("value") * 100).cast("bigint")
 
 
 @query(
@@ -22,7 +23,7 @@ def kv_upsert_last(spark, sf):
 
 @query("SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY user_id")
 def kv_modify_sum(spark, sf):
-    return kv.modify(table(spark, sf, "events"), "user_id", n=F.count("*"), cents=F.sum(CENTS))
+    return kv.modify(table(spark, sf, "events"), "user_id", n=F.count("*"), cents=F.sum(_cents()))
 
 
 @query(
@@ -32,7 +33,7 @@ def kv_modify_sum(spark, sf):
        SELECT user_id, list_reduce(list_prepend(0::BIGINT, cs), lambda a, b: (a * 31 + b) % 1000003)::BIGINT AS folded FROM RECURSIVE_F"""
 )
 def kv_modify_ordered(spark, sf):
-    events = table(spark, sf, "events").withColumn("c", CENTS)
+    events = table(spark, sf, "events").withColumn("c", _cents())
     return kv.modify_ordered(events, "user_id", "event_id", "c", F.lit(0).cast("bigint"), lambda a, b: (a * 31 + b) % 1000003, "folded")
 
 
@@ -100,7 +101,7 @@ def bloom_no_false_negatives(spark, sf):
        FROM (SELECT event_type, round(value * 100)::BIGINT AS cents FROM events) GROUP BY event_type"""
 )
 def reduce_minmaxavg(spark, sf):
-    got = reduce.statistics(table(spark, sf, "events").withColumn("cents", CENTS), F.col("cents"), ["event_type"])
+    got = reduce.statistics(table(spark, sf, "events").withColumn("cents", _cents()), F.col("cents"), ["event_type"])
     return got.withColumn("mean_value", F.round("mean_value", 4))
 
 
@@ -109,7 +110,7 @@ def reduce_minmaxavg(spark, sf):
        FROM events WHERE user_id <> 0 GROUP BY event_type"""
 )
 def rates(spark, sf):
-    got = reduce.rates(table(spark, sf, "events"), CENTS, F.col("user_id"), ["event_type"])
+    got = reduce.rates(table(spark, sf, "events"), _cents(), F.col("user_id"), ["event_type"])
     return got.withColumn("mb_per_s", F.round("mb_per_s", 9))
 
 
