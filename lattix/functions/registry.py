@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,9 @@ def call_on_host(df: DataFrame, host: str, fn: Callable, schema: str) -> DataFra
 def notify(df: DataFrame, fn: Callable) -> None:
     """A call without an answer: ``fn`` gets each partition's rows."""
     df.foreachPartition(fn)
+
+
+def with_callback(df: DataFrame, name: str, *metrics: Column):
+    """The frame and an observation of ``metrics``, whose values are there once an action on the frame has finished."""
+    seen = Observation(name)
+    return df.observe(seen, *metrics), seen

@@ -98,3 +98,12 @@ def cancel(tasks: DataFrame, cancelled: DataFrame, task: str) -> DataFrame:
 def round_robin(tasks: DataFrame, rank: str, order: list[str], plans: int) -> DataFrame:
     """Plan of each replicated task of a rank, in turn."""
     return tasks.withColumn("plan", (F.row_number().over(Window.partitionBy(rank).orderBy(*order)) - 1) % plans)
+
+
+#: Decisions by name; ``decide`` takes any function of the same form too.
+POLICIES = {"default": migrate_default, "aggressive": migrate_aggressive, "replicate": replicate_ring}
+
+
+def decide(loads: DataFrame, policy="default") -> DataFrame:
+    """Moves (from_rank, to_rank, n_tasks) by a named or given policy (loads -> moves)."""
+    return (POLICIES[policy] if isinstance(policy, str) else policy)(loads)

@@ -91,3 +91,20 @@ def cancel_replicated(spark, sf):
 @query("SELECT o_orderkey, o_custkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 3)::INT AS plan FROM orders")
 def replication_round_robin(spark, sf):
     return balance.round_robin(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", ["o_orderkey"], 3)
+
+
+@query("SELECT count(*) AS ranks, count(DISTINCT rank) AS distinct_visits, 0 AS lowest FROM (SELECT DISTINCT l_suppkey % 8 AS rank FROM lineitem)")
+def victim_order(spark, sf):
+    from lattix.operators import arrays
+
+    visits = arrays.shuffled(_loads(spark, sf), "rank", seed=3)
+    return visits.agg(F.count("*").alias("ranks"), F.count_distinct("visit").alias("distinct_visits"), F.min("visit").alias("lowest"))
+
+
+@query(
+    f"""SELECT (SELECT min(rank) FROM l WHERE load = (SELECT min(load) FROM l)) AS least_rank, (SELECT min(rank) FROM l WHERE load = (SELECT max(load) FROM l)) AS most_rank
+        FROM (SELECT 1) one, (SELECT 1) two""".replace("FROM l ", f"FROM ({_LOADS}) l ").replace("FROM l)", f"FROM ({_LOADS}) l)")
+)
+def extreme_ranks(spark, sf):
+    loads = _loads(spark, sf)
+    return loads.agg(F.min_by("rank", F.struct("load", "rank")).alias("least_rank"), F.min_by("rank", F.struct((-F.col("load")).alias("l"), "rank")).alias("most_rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattix.functions import blocking, scalar
-from lattix.operators import matrix
+from lattix.operators import arrays, matrix
 from lattix.plans.lineage import table
 from lattix.plans.registry import query
 
@@ -167,3 +167,36 @@ def scale(spark, sf):
 def calculator(spark, sf):
     got = scalar.calculator("div", F.col("l_quantity"), (F.col("l_linenumber") - 3).cast("double"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", got.alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+
+
+@query("SELECT p_partkey AS idx, CASE WHEN p_size < 5 THEN 0::DOUBLE ELSE p_retailprice END AS val FROM part WHERE p_partkey BETWEEN 20 AND 79")
+def array_put_get(spark, sf):
+    part = table(spark, sf, "part")
+    changed = arrays.put(part.select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("val")), part.filter("p_size < 5").select(F.col("p_partkey").alias("idx"), F.lit(0.0).alias("val")), 1 << 40)
+    return arrays.get_range(changed, 20, 80, 1 << 40)
+
+
+@query(f"SELECT rank, count(*) AS cells FROM (SELECT i // 6 AS rank FROM ({_DENSE}) WHERE i < 24) GROUP BY rank")
+def row_slices(spark, sf):
+    return arrays.row_slices(_dense(spark, sf).filter("i < 27"), "i", 27, 4, truncate=True).groupBy("rank").agg(F.count("*").alias("cells"))
+
+
+@query(f"SELECT bi, bj, CASE WHEN bi = 0 THEN 7 ELSE (bi % 2) * 2 + bj % 2 END AS host, nnz FROM (SELECT i // 100 AS bi, j // 25 AS bj, count(*) AS nnz FROM ({_SPARSE}) GROUP BY 1, 2)")
+def tile_rehome(spark, sf):
+    tiles = matrix.with_tiles(_sparse(spark, sf), 100, 25).groupBy("bi", "bj").agg(F.count("*").alias("nnz"))
+    placed = tiles.withColumn("host", blocking.tile_owner(F.col("bi"), F.col("bj"), 2, 2))
+    return arrays.rehome(placed, tiles.filter("bi = 0").select("bi", "bj", F.lit(7).cast("bigint").alias("new_host")), ["bi", "bj"])
+
+
+@query("SELECT label, sum(len(embedding))::BIGINT AS n, (SELECT trunc(e2.embedding[1]::DOUBLE * 1000)::BIGINT FROM embeddings e2 WHERE e2.label = e.label ORDER BY vec_id LIMIT 1) AS first_value FROM embeddings e GROUP BY label")
+def gather_rows(spark, sf):
+    got = arrays.gather_rows(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+    return got.select("label", F.size("flat").cast("bigint").alias("n"), (F.get("flat", F.lit(0)).cast("double") * 1000).cast("bigint").alias("first_value"))
+
+
+@query("SELECT vec_id, (row_number() OVER (ORDER BY embedding[1], embedding[3], embedding[2], embedding[4], vec_id) - 1)::INT AS pos FROM embeddings")
+def order_interleaved(spark, sf):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("a"), F.slice("embedding", 3, 2).alias("b"))
+    return rows.withColumn("pos", F.row_number().over(Window.orderBy(arrays.interleaved("a", "b"), "vec_id")) - 1).select("vec_id", "pos")

@@ -27,3 +27,10 @@ def stream_state_modify(spark, sf):
 def stream_load_exchange(spark, sf):
     stream = _stream(spark, sf, "lineitem", [(F.col("l_suppkey") % 8).alias("rank"), F.when(F.col("l_quantity") < 10 + (F.col("l_suppkey") % 8) * 4, 1).otherwise(0).cast("bigint").alias("load")])
     return state.load_exchange(stream, "rank", "load")
+
+
+@query("SELECT count(*)::BIGINT AS n, min(round(value * 100)::BIGINT) AS lo, max(round(value * 100)::BIGINT) AS hi, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events")
+def stream_batch_statistics(spark, sf):
+    stream = _stream(spark, sf, "events", [F.round(F.col("value") * 100).cast("bigint").alias("cents")])
+    got = state.batch_statistics(stream, "cents")
+    return got.agg(F.sum("n").alias("n"), F.min("min_value").alias("lo"), F.max("max_value").alias("hi"), F.sum("sum_value").alias("total"))

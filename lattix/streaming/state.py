@@ -75,3 +75,17 @@ def load_exchange(stream: DataFrame, rank: str, load: str) -> DataFrame:
 
     drain(stream.groupBy(rank).agg(F.sum(load).alias(load)), decide, "complete", folder)
     return spark.read.parquet(f"{folder}/moves").drop("part")
+
+
+def batch_statistics(stream: DataFrame, value: str) -> DataFrame:
+    """count, min, max and sum of each micro-batch: statistics start afresh with every cycle."""
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+
+    def measure(batch: DataFrame, number: int) -> None:
+        v = F.col(value)
+        one = batch.agg(F.count(v).alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.sum(v).alias("sum_value"))
+        one.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/stats/part={number}")
+
+    drain(stream, measure, "append", folder)
+    return spark.read.parquet(f"{folder}/stats").drop("part")

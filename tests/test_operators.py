@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattix.functions import blocking, codec, learning, scalar
-from lattix.functions.registry import Registry
-from lattix.operators import balance, grid, iterate, kv, matrix, queues, reduce
+from lattix.functions.registry import Registry, with_callback
+from lattix.operators import arrays, balance, grid, iterate, kv, matrix, queues, reduce
 from lattix.sources import generators, matrices, text
 from lattix.streaming import state
 
@@ -238,3 +238,22 @@ def test_stream_window_counts(spark, tmp_path):
     seen = []
     state.drain(stream, lambda batch, n: seen.extend(r["n"] for r in batch.collect()), "update", str(tmp_path / "work"))
     assert seen == [1, 1]
+
+
+def test_array_places_are_checked(spark):
+    a = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0)], "idx bigint, val double")
+    assert rows(arrays.put(a, spark.createDataFrame([(1, 9.0)], "idx bigint, val double"), 3)) == [(0, 1.0), (1, 9.0), (2, 3.0)]
+    with pytest.raises(Exception, match="out of bounds"):
+        arrays.get(a, spark.createDataFrame([(3,)], "idx bigint"), 3).collect()
+    with pytest.raises(IndexError):
+        arrays.get_range(a, 0, 4, 3)
+    assert arrays.row_slices(spark.range(10), "id", 10, 4).count() == 10
+    assert arrays.row_slices(spark.range(10), "id", 10, 4, truncate=True).count() == 8
+
+
+def test_policies_and_callbacks(spark):
+    assert rows(balance.decide(loads(spark, [0, 0, 10, 20]))) == [(2, 1, 5), (3, 0, 10)]
+    assert rows(balance.decide(loads(spark, [0, 0]), lambda x: x.select("rank"))) == [(0,), (1,)]
+    df, seen = with_callback(spark.range(7), "done", F.count(F.lit(1)).alias("n"))
+    df.collect()
+    assert seen.get == {"n": 7}
