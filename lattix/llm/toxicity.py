@@ -80,14 +80,12 @@ def noisy_or(z: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-(total[starts[1:]] - total[starts[:-1]]))[:n]
 
 
-def associated(doc: np.ndarray, feature: np.ndarray, labels: np.ndarray, least: float) -> np.ndarray:
-    """Features whose presence in a document goes with its label: likelihood-ratio statistic of at least ``least``."""
-    pair = np.unique(doc.astype(np.int64) << HASH_BITS | feature)
-    doc, feature = pair >> HASH_BITS, pair & ((1 << HASH_BITS) - 1)
-    n, n1 = len(labels), int(labels.sum())
-    both = np.bincount(feature[labels[doc] == 1], minlength=1 << HASH_BITS).astype(float)
-    seen = np.bincount(feature, minlength=1 << HASH_BITS).astype(float)
-    total = np.zeros(1 << HASH_BITS)
+def associated(both: np.ndarray, seen: np.ndarray, n1: int, n: int, least: float) -> np.ndarray:
+    """Features whose presence in a document goes with its label, by the likelihood-ratio statistic.
+
+    ``seen`` counts documents with each feature, ``both`` those of label 1; ``n1`` of all ``n`` documents have label 1.
+    """
+    total = np.zeros(len(seen))
     for k, row, column in ((both, seen, n1), (seen - both, seen, n - n1), (n1 - both, n - seen, n1), (n - n1 - seen + both, n - seen, n - n1)):
         expected = row * column / n
         total += 2 * np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
@@ -95,27 +93,39 @@ def associated(doc: np.ndarray, feature: np.ndarray, labels: np.ndarray, least:
 
 
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4, least: float = 15.0) -> Model | None:
-    """Adam on the likelihood of document labels through the noisy-or, over features associated with the label."""
+    """Adam on the likelihood of document labels through the noisy-or, over features associated with the label.
+
+    Texts are read twice in pieces of bounded size, to choose features and to gather
+    the chosen ones, so the features of all words are never held together.
+    """
     if not len(labels) or labels.min() == labels.max():
         return None
-    feats, of_pair, docs, n_words, n_sent = [], [], [], 0, 0
-    for p in pieces(pc.utf8_lower(texts)):
+    size = 1 << HASH_BITS
+    both, seen = np.zeros(size), np.zeros(size)
+    for p in pieces(pc.utf8_lower(pc.fill_null(texts, ""))):
         w = words(p, NOT_WORD)
-        first = sentences(p, w)
-        sent = np.searchsorted(first, np.arange(len(w.start)), side="right") - 1 + n_sent
         x = features(w)
-        feats.append(x.ravel())
-        of_pair.append(np.repeat(sent, x.shape[1]))
+        of_text = np.repeat(np.arange(len(p)), np.diff(w.of_text))
+        pair = np.unique((of_text.astype(np.int64) << HASH_BITS)[:, None] | x)
+        feature, positive = pair & (size - 1), labels[p.first + (pair >> HASH_BITS)] == 1
+        seen += np.bincount(feature, minlength=size)
+        both += np.bincount(feature[positive], minlength=size)
+    chosen = associated(both, seen, int(labels.sum()), len(labels), least)
+    compact = np.full(size, -1)
+    compact[chosen] = np.arange(len(chosen))
+    feats, of_pair, docs, n_sent = [], [], [], 0
+    for p in pieces(pc.utf8_lower(pc.fill_null(texts, ""))):
+        w = words(p, NOT_WORD)
+        first = sentences(p, w)
+        x = compact[features(w)]
+        word, _ = np.nonzero(x >= 0)
+        feats.append(x[x >= 0])
+        of_pair.append(np.searchsorted(first, word, side="right") - 1 + n_sent)
         docs.append(np.searchsorted(first, w.of_text[:-1]) + n_sent)
         n_sent += len(first)
     starts = np.concatenate([*docs, [n_sent]])
     doc_of = np.repeat(np.arange(len(labels)), np.diff(starts))
     x, sent = np.concatenate(feats), np.concatenate(of_pair)
-    chosen = associated(doc_of[sent], x, labels, least)
-    compact = np.full(1 << HASH_BITS, -1)
-    compact[chosen] = np.arange(len(chosen))
-    x = compact[x]
-    x, sent = x[x >= 0], sent[x >= 0]
     params = np.concatenate([np.zeros(len(chosen)), [-5.0]])  # the bias is the last
     m, v = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, rounds + 1):
