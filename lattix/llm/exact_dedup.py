@@ -24,11 +24,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh_join
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _normalised(text: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(text, ""))
 
