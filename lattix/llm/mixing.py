@@ -34,19 +34,20 @@ def uniform(*parts: Column) -> Column:
 
 def mixing_rates(docs: DataFrame, source_col: str, text_col: str, exponent: float, weights: dict[str, float] | None) -> DataFrame:
     """One row a source: source, chars, rate, cdf (array of the Poisson distribution function)."""
-    sizes = docs.groupBy(F.col(source_col).alias("_source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"))
+    sizes = docs.groupBy(F.col(source_col).alias("__lx_source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"))
     if weights is None:
         sizes = sizes.withColumn("w", F.pow(F.col("chars").cast("double"), F.lit(float(exponent))))
     else:
         pairs = [F.lit(x) for name, w in weights.items() for x in (str(name), float(w))]
         table = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
-        named = F.try_element_at(table, F.coalesce(F.col("_source").cast("string"), F.lit("")))
+        named = F.try_element_at(table, F.coalesce(F.col("__lx_source").cast("string"), F.lit("")))
         sizes = sizes.withColumn("w", F.coalesce(named, F.lit(0.0)))
-    totals = sizes.agg(F.sum("chars").cast("double").alias("all_chars"), F.sum("w").alias("all_w"))
-    rates = sizes.crossJoin(F.broadcast(totals))  # one row of totals
-    rate = F.when(F.col("chars") == 0, F.lit(1.0)).when(F.col("all_w") == 0, F.lit(0.0)).otherwise(
-        (F.col("w") / F.col("all_w")) / (F.col("chars") / F.col("all_chars"))
-    )
+    sizes = durable(sizes)
+    totals = sizes.agg(F.sum("chars").alias("chars"), F.sum("w").alias("w")).first()  # two numbers
+    all_chars, all_w = float(totals["chars"] or 0), float(totals["w"] or 0)
+    rate = F.when(F.col("chars") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    if all_w > 0:
+        rate = F.when(F.col("chars") == 0, F.lit(1.0)).otherwise((F.col("w") / all_w) / (F.col("chars") / all_chars))
     # terms beyond rate + 12 sqrt(rate) + 30 have less probability than a double resolves
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
 
@@ -59,7 +60,7 @@ def mixing_rates(docs: DataFrame, source_col: str, text_col: str, exponent: floa
 
         return F.aggregate(F.sequence(F.lit(1), last), start, step)["c"]
 
-    return rates.withColumn("rate", rate).withColumn("cdf", cdf()).select("_source", "chars", "rate", "cdf")
+    return sizes.withColumn("rate", rate).withColumn("__lx_cdf", cdf()).select("__lx_source", "chars", "rate", "__lx_cdf")
 
 
 def mix_sources(
@@ -74,11 +75,10 @@ def mix_sources(
     """``docs`` with each row repeated by its draw, plus copy (from 0) and shuffle_key, in shuffled order."""
     docs = docs.drop("copy", "shuffle_key")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rates = durable(mixing_rates(docs, source_col, text_col, exponent, weights).select("_source", "cdf"))
-    rates, _ = broadcast_if_small(rates, MAX_BROADCAST_SOURCES)
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["_source"]), "left")
-    draw = let(uniform(F.lit(seed), key), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
-    counted = joined.withColumn("_n", draw).filter("_n > 0")
-    copies = counted.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    rates, _ = broadcast_if_small(mixing_rates(docs, source_col, text_col, exponent, weights).select("__lx_source", "__lx_cdf"), MAX_BROADCAST_SOURCES)
+    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["__lx_source"]), "left")
+    draw = let(uniform(F.lit(seed), key), lambda u: F.size(F.filter(F.col("__lx_cdf"), lambda c: c <= u)))
+    counted = joined.withColumn("__lx_n", draw).filter("__lx_n > 0")
+    copies = counted.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("__lx_n") - 1)).alias("copy"))
     mixed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed + 1).cast("string"), key, F.col("copy").cast("string"))))
     return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
