@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_join, let
+from .common import durable, fresh_join, let
 
 #: Multiplier of the rolling hash, and hex digits of MD5 taken for a line's hash (28 bits; all sums stay in 64).
 MULTIPLIER, HEX_DIGITS = 31, 7
@@ -71,7 +71,8 @@ def repeated_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row a removed chunk: id, start_line, end_line, first_<id>, first_start_line."""
     chunks = line_chunks(docs, id_col, text_col, window, divisor)
     counts = chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    candidates = fresh_join(chunks, counts, ["digest"]).select("id", "start_line", "end_line", "chunk", F.xxhash64("chunk").alias("mark"))
+    # written once: only repeated chunks, so that the whole texts' chunks aren't shuffled for each of two uses
+    candidates = durable(fresh_join(chunks, counts, ["digest"]).select("id", "start_line", "end_line", "chunk", F.xxhash64("chunk").alias("mark")))
     firsts = (
         candidates.groupBy("mark", "chunk")
         .agg(F.min(F.struct("id", "start_line")).alias("first"), F.count("*").alias("n"))
@@ -105,8 +106,8 @@ def _without(text: Column, ranges: Column) -> Column:
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, divisor: int = 4) -> DataFrame:
     """``docs``, same columns, without the repeated chunks; a document of which nothing but white space is left goes."""
     removed = repeated_line_chunks(docs, id_col, text_col, window, divisor)
-    ranges = removed.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.struct("start_line", "end_line")).alias("_ranges"))
-    joined = docs.join(ranges, docs[id_col] == ranges["_id"], "left")
-    text = F.when(F.col("_ranges").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("_ranges")))
-    left = joined.withColumn("_text", text).filter(F.col("_ranges").isNull() | (F.trim(F.regexp_replace("_text", "\\s+", " ")) != ""))
-    return left.select(*[F.col("_text").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    ranges = removed.groupBy(F.col(id_col).alias("__lx_id")).agg(F.collect_set(F.struct("start_line", "end_line")).alias("__lx_ranges"))
+    joined = docs.join(ranges, docs[id_col] == ranges["__lx_id"], "left")
+    text = F.when(F.col("__lx_ranges").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("__lx_ranges")))
+    left = joined.withColumn("__lx_text", text).filter(F.col("__lx_ranges").isNull() | (F.trim(F.regexp_replace("__lx_text", "\\s+", " ")) != ""))
+    return left.select(*[F.col("__lx_text").alias(c) if c == text_col else docs[c] for c in docs.columns])
