@@ -113,7 +113,7 @@ def _without(text: Column, spans: Column) -> Column:
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30) -> DataFrame:
     """``docs``, same columns and rows, without the repeated runs."""
     runs = repeated_passages(docs, id_col, text_col, unit, min_words)
-    spans = runs.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.struct("start_char", "end_char")).alias("_spans"))
-    joined = docs.join(spans, docs[id_col] == spans["_id"], "left")
-    text = F.when(F.col("_spans").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("_spans")))
+    spans = runs.groupBy(F.col(id_col).alias("__lx_id")).agg(F.collect_set(F.struct("start_char", "end_char")).alias("__lx_spans"))
+    joined = docs.join(spans, docs[id_col] == spans["__lx_id"], "left")
+    text = F.when(F.col("__lx_spans").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("__lx_spans")))
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

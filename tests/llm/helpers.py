@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep_id string, id int, n int, key int, score string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep_id string, id int, n int, key int, score string, _id int, cdf int, _text int, chunk int, a int"
 
 
 def rows_of(texts, ids=None, sources=None):
     ids = ids if ids is not None else list(range(len(texts)))
     sources = sources or ["a"] * len(texts)
-    return [(i, t, "en", s, len(t or ""), "x", 1, 2, 3, "y") for i, t, s in zip(ids, texts, sources, strict=True)]
+    return [(i, t, "en", s, len(t or ""), "x", 1, 2, 3, "y", 4, 5, 6, 7, 8) for i, t, s in zip(ids, texts, sources, strict=True)]
 
 
 def frame(spark, texts, ids=None, sources=None):
