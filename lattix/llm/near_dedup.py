@@ -18,9 +18,11 @@ components of links are the classes, and the smallest id of each stays.
    Candidates whose collision-corrected estimate is at least ``floor`` (five standard
    deviations below the threshold) are verified on full sets.
 5. *Rest*: members of one bucket that are still in different components are compared
-   by registers in blocks of bounded size, whatever the bucket's size, and those above
-   the floor verified too.  So every pair of a bucket is compared unless a chain of
-   verified links joins it already, and no pairs within a group of copies are made.
+   by registers, in blocks of bounded size; components with a pair above the floor form
+   a family.  Within a family, the bucket members' full sets are compared in blocks of
+   bounded size too, all but those within its largest component; a block emits links as
+   a forest.  So every pair of a bucket is compared unless verified links join it
+   already, while rows grow with the documents, not with the pairs.
 6. *Components* by label propagation.
 
 Shingles are compared as 64-bit hashes: two different shingles of a pair are taken
@@ -155,43 +157,110 @@ def _plausible(floor: float):
     return run
 
 
-def _block_pairs(floor: float):
-    """Rows (key, i, j, block, id, component, n, regs), sorted by (key, i, j): the plausible pairs of each block pair."""
+class _Forest:
+    """Union-find over labels: ``join`` tells whether two were still apart."""
 
-    def pairs(group: pa.Table) -> pa.RecordBatch | None:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        block, ids = group.column("block").to_numpy(), group.column("id").to_numpy()
-        comp, n, regs = group.column("component").to_numpy(), group.column("n").to_numpy(), _registers(group.column("regs").combine_chunks())
-        left = np.flatnonzero(block == i)
-        a, b = [], []
-        for x in left:
-            others = np.flatnonzero((block == j) & (comp != comp[x]) & ((ids > ids[x]) | (i != j)))
-            if len(others):
-                agree = (regs[others] == regs[x]).sum(1)
-                good = others[estimate(agree, np.full(len(others), n[x]), n[others]) >= floor]
-                a += [ids[x]] * len(good)
-                b += ids[good].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            key = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            begin = 0
-            for c in cuts:
-                if c - begin > 1 and (out := pairs(held.slice(begin, c - begin))) is not None:
-                    yield out
-                begin = c
-            held = held.slice(begin)
-        if held is not None and held.num_rows > 1 and (out := pairs(held)) is not None:
-            yield out
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
 
-    return run
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str], fn) -> Iterator[pa.RecordBatch]:
+    """``fn`` over each run of rows with equal ``keys`` (rows come sorted by them); runs may span batches."""
+    held: pa.Table | None = None
+
+    def done(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = fn(group) if group.num_rows > 1 else ([], [])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        key = np.stack([held.column(c).to_numpy() for c in keys])
+        begin = 0
+        for c in np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1:
+            yield from done(held.slice(begin, c - begin))
+            begin = c
+        held = held.slice(begin)
+    if held is not None:
+        yield from done(held)
+
+
+def _bridges(floor: float):
+    """Rows (key, i, j, block, id, component, n, regs): pairs of components with plausible members, a forest a block pair."""
+
+    def pairs(group: pa.Table) -> tuple[list[int], list[int]]:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        block, comp = group.column("block").to_numpy(), group.column("component").to_numpy()
+        n, regs, forest = group.column("n").to_numpy(), _registers(group.column("regs").combine_chunks()), _Forest()
+        a, b = [], []
+        for x in np.flatnonzero(block == i):
+            others = np.flatnonzero((block == j) & (comp != comp[x]))
+            agree = (regs[others] == regs[x]).sum(1)
+            good = others[estimate(agree, np.full(len(others), n[x]), n[others]) >= floor] if len(others) else others
+            for c in np.unique(comp[good]).tolist():
+                if forest.join(int(comp[x]), c):
+                    a.append(int(comp[x]))
+                    b.append(c)
+        return a, b
+
+    return lambda batches: _by_group(batches, ["key", "i", "j"], pairs)
+
+
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: products of 0/1 matrices, ``width`` columns at a time."""
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    compact = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    row, column = row[shared], compact[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)  # exact for whole numbers below 2 ** 24
+    for begin in range(0, int(compact[-1]) + 1 if len(compact) else 0, width):
+        lo, hi = np.searchsorted(column, [begin, begin + width])
+        m = np.zeros((len(sets), width), dtype=np.float32)
+        m[row[lo:hi], column[lo:hi] - begin] = 1
+        out += m[left] @ m[right].T
+    return out.astype(np.int64)
+
+
+def _family_links(percent: int):
+    """Rows (family, i, j, block, id, component, set): verified links between components, a forest a block pair."""
+
+    def pairs(group: pa.Table) -> tuple[list[int], list[int]]:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        block, comp, ids = (group.column(c).to_numpy() for c in ("block", "component", "id"))
+        if len(np.unique(comp)) < 2:
+            return [], []
+        sets = [np.frombuffer(x.as_buffer(), dtype=U) for x in group.column("set").combine_chunks()]
+        size = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        both = common(sets, left, right)
+        near = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        near &= comp[left][:, None] != comp[right][None, :]
+        forest, a, b = _Forest(), [], []
+        for x, y in zip(*np.nonzero(near), strict=True):
+            x, y = left[x], right[y]
+            if forest.join(int(comp[x]), int(comp[y])):
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
+        return a, b
+
+    return lambda batches: _by_group(batches, ["family", "i", "j"], pairs)
 
 
 def near_duplicates(
@@ -222,12 +291,15 @@ def near_duplicates(
     shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     buckets = durable(fresh_join(bands, shared, ["key"]).select("key", "id", "hub", "size"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of plausible pairs (a, b), those that full sets confirm."""
-        ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    def full_sets(ids: DataFrame) -> DataFrame:
+        """(id, set) of some ids (a checkpointed frame)."""
         wanted, _ = broadcast_if_small(ids, MAX_BROADCAST_IDS)
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
-        sets = durable(texts.mapInArrow(_sets(shingle), "id bigint, set binary")).dropDuplicates(["id"])
+        return durable(texts.mapInArrow(_sets(shingle), "id bigint, set binary")).dropDuplicates(["id"])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of plausible pairs (a, b), those that full sets confirm."""
+        sets = full_sets(durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
         first = fresh_join(pairs.withColumnRenamed("a", "id"), sets, ["id"]).select(F.col("id").alias("a"), F.col("b").alias("id"), F.col("set").alias("sa"))
         full = fresh_join(first, sets, ["id"]).select("a", F.col("id").alias("b"), "sa", F.col("set").alias("sb"))
         return durable(full.mapInArrow(_verified(threshold_percent), "a bigint, b bigint"))
@@ -242,14 +314,15 @@ def near_duplicates(
     # what hubs left open: buckets whose members are in several components
     placed = fresh_join(buckets.select("key", "id", "size"), labels, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi and lo is not null").select("key")
-    open_ = fresh_join(placed, mixed, ["key"]).filter("size > 2")  # of two members, one was the hub
+    open_ = durable(fresh_join(placed, mixed, ["key"]).filter("size > 2"))  # of two members, one was the hub
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     spread = fresh_join(open_, small, ["id"]).withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     grouped = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "regs")
     sorted_ = grouped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = durable(sorted_.mapInArrow(_block_pairs(floor), "a bigint, b bigint").distinct())
-    if more.limit(1).count():
-        extra = linked(more)
+    bridges = durable(sorted_.mapInArrow(_bridges(floor), "a bigint, b bigint").distinct())
+    if bridges.limit(1).count():
+        families = connected_components(bridges).select(F.col("id").alias("component"), F.col("component").alias("family"))
+        extra = _links_in_families(fresh_join(open_.select("id", "component").distinct(), families, ["component"]), full_sets, threshold_percent)
         if extra.limit(1).count():
             labels = connected_components(links.union(extra))
 
@@ -258,8 +331,25 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _links_in_families(members: DataFrame, full_sets, percent: int) -> DataFrame:
+    """Verified links (a, b) between different components of each family; members: id, component, family."""
+    members = durable(members)
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("m"))
+    whole = sizes.groupBy("family").agg(F.max_by("component", "m").alias("largest"), F.max("m").alias("m"), F.sum("m").alias("all"))
+    outer_blocks, inner_blocks = (F.ceil(x / BLOCK).cast("int") for x in (F.col("all") - F.col("m"), F.col("m")))
+    placed = fresh_join(members, whole, ["family"]).withColumn("inner", F.col("component") == F.col("largest"))
+    own = F.when(F.col("inner"), outer_blocks + F.pmod(F.hash("id"), inner_blocks)).otherwise(F.pmod(F.hash("id"), F.greatest(outer_blocks, F.lit(1))))
+    # members of the largest component meet the other ones only
+    partners = F.when(F.col("inner"), outer_blocks).otherwise(outer_blocks + inner_blocks)
+    spread = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(partners - 1, F.lit(0)))))
+    with_sets = fresh_join(spread, full_sets(durable(members.select("id").distinct())), ["id"])
+    rows = with_sets.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "set")
+    sorted_ = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return durable(sorted_.mapInArrow(_family_links(percent), "a bigint, b bigint"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_percent: int = 80) -> DataFrame:
     """``docs``, same columns, with one document of each class."""
-    gone = durable(near_duplicates(docs, id_col, text_col, shingle, threshold_percent).filter("not kept").select(F.col(id_col).alias("_id")).distinct())
+    gone = durable(near_duplicates(docs, id_col, text_col, shingle, threshold_percent).filter("not kept").select(F.col(id_col).alias("__lx_id")).distinct())
     gone, _ = broadcast_if_small(gone, MAX_BROADCAST_IDS)
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    return docs.join(gone, docs[id_col] == gone["__lx_id"], "left_anti")
