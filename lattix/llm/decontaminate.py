@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +55,7 @@ def masked(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
 
 def _word_hashes(texts: pa.Array) -> list[np.ndarray]:
     out = []
-    for p in pieces(pc.utf8_lower(texts)):
+    for p in pieces(texts, lower=True):
         w = words(p, NOT_WORD)
         out += [w.hash[w.of_text[k] : w.of_text[k + 1]] for k in range(len(p))]
     return out
@@ -136,7 +135,7 @@ def _scan(table, min_words: int):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for p in pieces(pc.utf8_lower(batch.column(1))):
+            for p in pieces(batch.column(1), lower=True):
                 w = words(p, NOT_WORD)
                 at, item, place = t.hits(w.hash)
                 for n, members in t.short.items():
@@ -192,6 +191,6 @@ def find_overlaps(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12) -> DataFrame:
     """``docs``, same columns, without the documents that overlap a benchmark item."""
-    ids = durable(find_overlaps(docs, benchmark, id_col, text_col, min_words=min_words).select(F.col(id_col).alias("_id")).distinct())
+    ids = durable(find_overlaps(docs, benchmark, id_col, text_col, min_words=min_words).select(F.col(id_col).alias("__lx_id")).distinct())
     ids, _ = broadcast_if_small(ids, MAX_BROADCAST_IDS)
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_anti")
+    return docs.join(ids, docs[id_col].eqNullSafe(ids["__lx_id"]), "left_anti")

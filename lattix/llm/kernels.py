@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -89,22 +89,28 @@ class Words:
         return mix((self.sums[self.end] - self.sums[start]) * self.inverse[start] + U(64 + k))
 
 
-def pieces(texts: pa.Array, max_bytes: int = PIECE_BYTES) -> Iterator[Piece]:
+def pieces(texts: pa.Array, max_bytes: int = PIECE_BYTES, lower: bool = False) -> Iterator[Piece]:
+    """Consecutive texts of at most ``max_bytes`` together; with ``lower``, in Unicode lower case (made piece by piece)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     if n == 0:
         return
-    bufs = texts.buffers()
-    offsets = np.frombuffer(bufs[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None and bufs[2].size else np.zeros(0, np.uint8)
+    # a null text may have bytes beneath it, so ends are summed from the lengths
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + max_bytes, side="right")) - 1)
-        j = min(j, n)
-        yield Piece(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        before = int(ends[i - 1]) if i else 0
+        j = min(n, max(i + 1, int(np.searchsorted(ends, before + max_bytes, side="right"))))
+        part = pc.fill_null(texts.slice(i, j - i).cast(pa.large_string()), "")
+        if lower:
+            part = pc.utf8_lower(part)
+        bufs = part.buffers()
+        offsets = np.frombuffer(bufs[1], dtype=np.int64)[part.offset : part.offset + j - i + 1]
+        data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None and bufs[2].size else np.zeros(0, np.uint8)
+        yield Piece(i, data[offsets[0] : offsets[-1]], offsets - offsets[0])
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def words(p: Piece, separators: np.ndarray = WHITE) -> Words:

@@ -27,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +101,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
         return None
     size = 1 << HASH_BITS
     both, seen = np.zeros(size), np.zeros(size)
-    for p in pieces(pc.utf8_lower(pc.fill_null(texts, ""))):
+    for p in pieces(texts, lower=True):
         w = words(p, NOT_WORD)
         x = features(w)
         of_text = np.repeat(np.arange(len(p)), np.diff(w.of_text))
@@ -114,7 +113,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
     compact = np.full(size, -1)
     compact[chosen] = np.arange(len(chosen))
     feats, of_pair, docs, n_sent = [], [], [], 0
-    for p in pieces(pc.utf8_lower(pc.fill_null(texts, ""))):
+    for p in pieces(texts, lower=True):
         w = words(p, NOT_WORD)
         first = sentences(p, w)
         x = compact[features(w)]
@@ -170,7 +169,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             n = batch.num_rows
             out, worst, begin, end, count = np.zeros(n), np.zeros(n), np.full(n, -1), np.full(n, -1), np.zeros(n, np.int32)
             if shared.value is not None:
-                for p in pieces(pc.utf8_lower(batch.column(1))):
+                for p in pieces(batch.column(1), lower=True):
                     w = words(p, NOT_WORD)
                     first, z = shared.value.logits(p, w)
                     if not len(first):
@@ -208,7 +207,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def scores(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
         if shared.value is not None:
-            for p in pieces(pc.utf8_lower(pc.fill_null(texts, ""))):
+            for p in pieces(texts, lower=True):
                 w = words(p, NOT_WORD)
                 first, z = shared.value.logits(p, w)
                 if len(first):
