@@ -2,11 +2,21 @@
 
 A text is cut at line breaks and, with ``unit="sentence"``, also after sentence
 ends inside a line, so that a repeated passage is found wherever its line begins.
-Units are normalised (Unicode lower case, runs of other characters than letters
-and digits become one space), digested to 128 bits and grouped globally.  The
+Units are normalised to their words (runs of letters and digits, in lower case
+letter by letter), digested to 128 bits and grouped globally.  The
 occurrence in the smallest ``doc_id`` (there, the first) stays; all others are
-repeats.  Adjacent repeats form a run; runs of ``min_words`` words or more are
-removed, with their offsets in the original text retained.
+repeats.
+
+Passages that begin or end inside a unit are found by spans of ``min_words`` words.
+A span is chosen where its hash is the smallest of a window of spans that covers
+``PASSAGE_WORDS`` words, so every passage of that many words or more has chosen
+spans, the same ones wherever it stands.  Spans are repeats if a smaller id has
+them too; inside one document only units repeat, as spans overlap each other.
+
+Repeats that touch or overlap form a run; runs of ``min_words`` words or more are
+removed, with their offsets in the original text retained.  Of a passage that
+begins or ends inside a unit, fewer than ``PASSAGE_WORDS - min_words + 1`` words
+outside whole units may stay at each end.
 
 Grouping takes (digest, id) rows only; hot units are combined before the shuffle
 and a hot digest's rows are split by adaptive execution in the join that brings
@@ -20,10 +30,11 @@ not break a run.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,67 +43,182 @@ from .common import fresh_join, let
 
 _UNITS = {"line": re.compile(r"[^\n]+"), "sentence": re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*|[.!?]+[^\S\n]*")}
 _GAPS = re.compile(r"[\W_]+")
-_SCHEMA = "id bigint, unit_no int, start_char int, end_char int, n_words int, first_here boolean, digest binary"
+_SCHEMA = "id bigint, is_unit boolean, start_char int, end_char int, start_word int, end_word int, first_here boolean, high bigint, low bigint"
 _BATCH = 50_000
-
-
-def _unit_rows(unit: str):
+#: Words from which on a repeated passage is found wherever it begins; characters hashed at a time.
+PASSAGE_WORDS, _PIECE = 50, 1 << 18
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+@functools.lru_cache(16)
+def _table(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to n - 1, modulo 2 ** 64."""
+    return _table(base, 1 << max(16, (n - 1).bit_length()))[:n]
+
+
+def _extremes(a: np.ndarray, n: int, least: bool) -> np.ndarray:
+    """The least (or largest) of each window of ``n`` values."""
+    pick, have = np.minimum if least else np.maximum, 1
+    while have < n:
+        step = min(have, n - have)
+        a, have = pick(a[:-step], a[step:]), have + step
+    return a
+
+
+@functools.cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it belongs to a word, and a hash of its lower case."""
+    points = np.arange(0x110000, dtype=np.uint64)
+    text = "".join(map(chr, range(0x110000)))
+    is_word = np.ones(len(text), bool)
+    for m in _GAPS.finditer(text):
+        is_word[m.start() : m.end()] = False
+    for k, c in enumerate(text[:0x20000]):  # no cased letters beyond
+        points[k] = ord(c.lower()[0])
+    points[ord("ς")] = ord("σ")
+    return is_word, _mixed(points + np.uint64(_ODD[0]))
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First character, end and hash of each word."""
+    is_word, mix = _letters()
+    found, at = [], 0
+    while at < len(text):
+        gap = _GAPS.search(text, at + _PIECE)
+        end = gap.start() if gap else len(text)
+        piece = text[at:end]
+        points = np.frombuffer(piece.encode(), np.uint8) if piece.isascii() else np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.flatnonzero(np.diff(is_word[points], prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix[points] * _powers(_ODD[1], len(points)), dtype=np.uint64)])
+            back = _powers(pow(_ODD[1], -1, 1 << 64), len(points))
+            found.append((starts + at, ends + at, _mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))))
+        at = end
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _sums(hashes: np.ndarray) -> list[np.ndarray]:
+    """Running sums of the words' hashes, by which any words in a row get their digest."""
+    return [np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(odd, len(hashes)), dtype=np.uint64)]) for odd in _ODD[1:]]
+
+
+def _digests(sums: list[np.ndarray], first: np.ndarray, end: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
+    """Both halves of the digest of words ``first`` to ``end`` (exclusive)."""
+    return [_mixed((s[end] - s[first]) * _powers(pow(odd, -1, 1 << 64), len(s))[first] + salt) for s, odd in zip(sums, _ODD[1:], strict=True)]
+
+
+def _spans(sums: list[np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """First word and digest of the chosen spans of ``n`` words."""
+    window, n_words = PASSAGE_WORDS - n + 1, len(sums[0]) - 1
+    if window < 1 or n_words < PASSAGE_WORDS:
+        return np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * 2
+    every = np.arange(n_words - n + 1)
+    both = _digests(sums, every, every + n, np.uint64(0))
+    edge = np.zeros(window - 1, np.uint64)
+    chosen = np.flatnonzero(both[0] == _extremes(np.concatenate([edge, _extremes(both[0], window, True), edge]), window, False))
+    return chosen, [h[chosen] for h in both]
+
+
+def _rows_of(text: str, pattern: re.Pattern, min_words: int) -> list[np.ndarray]:
+    """Columns of ``_SCHEMA`` but for the id: first the units that have words, then the chosen spans."""
+    starts, ends, hashes = _words(text)
+    bounds = np.array([m.span() for m in pattern.finditer(text)], np.int64).reshape(-1, 2)
+    places = np.searchsorted(starts, bounds)
+    filled = places[:, 1] > places[:, 0]
+    bounds, (first, end) = bounds[filled], places[filled].T
+    sums = _sums(hashes)
+    digest = _digests(sums, first, end, (end - first).astype(np.uint64))
+    here = np.zeros(len(first), bool)
+    here[np.unique(digest[0], return_index=True)[1]] = True
+    at, of_span = _spans(sums, min_words)
+    columns = [
+        (np.ones(len(first), bool), np.zeros(len(at), bool)),
+        (bounds[:, 0], starts[at]),
+        (bounds[:, 1], ends[at + min_words - 1]),
+        (first, at),
+        (end, at + min_words),
+        (here, np.ones(len(at), bool)),
+        *((u.view(np.int64), v.view(np.int64)) for u, v in zip(digest, of_span, strict=True)),
+    ]
+    return [np.concatenate(c) for c in columns]
+
+
+def _unit_rows(unit: str, min_words: int):
     pattern = _UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "unit_no", "start_char", "end_char", "n_words", "first_here", "digest"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-        out: list[list] = [[] for _ in names]
-
-        def flush() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-            for c in out:
-                c.clear()
-            return done
+        names = ["id", "is_unit", "start_char", "end_char", "start_word", "end_word", "first_here", "high", "low"]
+        kinds = [pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.bool_(), pa.int64(), pa.int64()]
+        out: list[list[np.ndarray]] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [pa.array(np.concatenate(c)).cast(k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            done = pa.RecordBatch.from_arrays(columns, names)
+            out.clear()
+            for k in range(0, done.num_rows, _BATCH):
+                yield done.slice(k, _BATCH)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen: set[bytes] = set()
-                for k, m in enumerate(pattern.finditer(text.as_py())):
-                    norm = _GAPS.sub(" ", m.group().lower()).strip()
-                    digest = hashlib.md5(norm.encode(), usedforsecurity=False).digest() if norm else None
-                    row = (doc_id, k, m.start(), m.end(), norm.count(" ") + 1 if norm else 0, digest not in seen, digest)
-                    seen.add(digest)
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
-                    if len(out[0]) >= _BATCH:
-                        yield flush()
-        if out[0]:
-            yield flush()
+                columns = _rows_of(text.as_py(), pattern, min_words)
+                n = len(columns[0])
+                out.append([np.full(n, doc_id, np.int64), *columns])
+                held += n
+                if held >= _BATCH:
+                    yield from flush()
+                    held = 0
+        if out:
+            yield from flush()
 
     return run
 
 
-def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence") -> DataFrame:
+def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30) -> DataFrame:
+    """Rows of units and chosen spans."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text != ''")
-    return rows.mapInArrow(_unit_rows(unit), _SCHEMA)
+    return rows.mapInArrow(_unit_rows(unit, min_words), _SCHEMA)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30) -> DataFrame:
-    """One row a removed run: id, start_char, end_char, n_units, n_words, first_<id> (smallest keeper of its units).
+    """One row a removed run: id, start_char, end_char, n_units, n_words, first_<id> (smallest keeper of its units and spans).
 
-    Offsets count characters of the original text, the end is exclusive.
+    Offsets count characters of the original text, the end is exclusive.  A run of spans alone has no units.
     """
-    units = text_units(docs, id_col, text_col, unit)
-    keepers = units.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = fresh_join(units.filter("digest is not null"), keepers, ["digest"]).filter("id != keeper or not first_here")
-    repeats = found.select("id", "unit_no", "start_char", "end_char", "n_words", "keeper").distinct()
-    by_place = Window.partitionBy("id").orderBy("unit_no")
-    begins = F.coalesce(F.col("unit_no") - F.lag("unit_no").over(by_place) > 1, F.lit(True)).cast("int")
+    units = text_units(docs, id_col, text_col, unit, min_words)
+    keepers = units.groupBy("high", "low").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = fresh_join(units, keepers, ["high", "low"]).filter("id != keeper or not first_here")
+    place = ["start_word", "end_word", "is_unit", "start_char", "end_char", "keeper"]
+    repeats = found.select("id", *place)
+    by_place = Window.partitionBy("id").orderBy(*place)
+    # rows that repeat an id give a place twice
+    is_new = ~F.coalesce(F.lag(F.struct(*place)).over(by_place) == F.struct(*place), F.lit(False))
+    reached = F.max("end_word").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("start_word") > reached, F.lit(True)).cast("int")
     runs = (
-        repeats.withColumn("begins", begins)
-        .withColumn("run", F.sum("begins").over(by_place))
+        repeats.withColumns({"begins": begins, "new_unit": F.col("is_unit") & is_new})
+        .withColumn("run", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("id", "run")
         .agg(
             F.min("start_char").alias("start_char"),
             F.max("end_char").alias("end_char"),
-            F.count("*").alias("n_units"),
-            F.sum("n_words").alias("n_words"),
+            F.count_if("new_unit").alias("n_units"),
+            (F.max("end_word") - F.min("start_word")).cast("bigint").alias("n_words"),
             F.min("keeper").alias("keeper"),
         )
     )

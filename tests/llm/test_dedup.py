@@ -116,6 +116,40 @@ def test_passages_against_brute_force(spark):
     assert len(cleaned) == len(texts) and passage in cleaned[3] and passage not in cleaned[9] and cleaned[1] == texts[1]
 
 
+def test_passages_that_begin_and_end_inside_sentences(spark):
+    r, words = random.Random(12), vocabulary(4000)
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shorts = [re.sub(r"((?:\w+ ){7}\w+) ", r"\1. ", text(51)) for _ in range(20)]  # a sentence end after each eighth word
+    longs = [text(51) for _ in range(20)]  # no whole sentence
+    texts, passages = [], shorts + longs
+    for p in passages:
+        texts += [f"{text(9)} {p} {text(9)}. {text(40)}." for _ in range(2)]
+    got = {}
+    for x in substring_dedup.repeated_passages(frame(spark, texts)).collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    for k, p in enumerate(passages):
+        (run,) = got.pop(2 * k + 1)
+        at = texts[2 * k + 1].index(p)
+        assert at <= run["start_char"] < run["end_char"] <= at + len(p) and run["first_doc_id"] == 2 * k
+        assert run["n_words"] == len(re.findall(r"\w+", texts[2 * k + 1][run["start_char"] : run["end_char"]])) >= 30
+    assert not got
+
+
+def test_spans_are_the_same_in_pieces(monkeypatch):
+    r, words = random.Random(13), vocabulary()
+    text = " ".join(r.choice(words) + r.choice(["", ",", "É", " -- "]) for _ in range(3000))
+    whole = substring_dedup._words(text)
+    monkeypatch.setattr(substring_dedup, "_PIECE", 100)
+    assert all((a == b).all() for a, b in zip(whole, substring_dedup._words(text), strict=True))
+    assert [text[a:b] for a, b in zip(*whole[:2], strict=True)] == re.findall(r"[^\W_]+", text)
+
+
+def test_passages_in_rows_that_repeat_an_id(spark):
+    text = " ".join(" ".join(f"word{k}x{n}" for k in range(9)) + "." for n in range(6))
+    (got,) = substring_dedup.repeated_passages(frame(spark, [text, text, text], [1, 2, 2])).collect()
+    assert tuple(got) == (2, 0, len(text), 6, 54, 1)
+
+
 def test_passages_of_nothing(spark):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
     text = " ".join(f"word{k}" for k in range(60)) + "."
