@@ -149,6 +149,23 @@ def test_poisson_counts_against_brute_force(spark):
     assert out.columns == [*docs.columns, "copy", "shuffle_key"] and len(set(keys)) == len(keys)
 
 
+@pytest.mark.parametrize("rate", [240, 300, 740, 760, 5000])
+def test_poisson_counts_of_large_rates(spark, rate):
+    """Rates on both sides of those at which exp(-rate) is 0."""
+    n = 20
+    docs = frame(spark, ["x"] * n + ["y" * (2 * n * rate - n)], sources=["rare"] * n + ["big"])
+    rows = mixing.mix_sources(docs, weights={"rare": 0.5, "big": 0.5}).filter("source = 'rare'").groupBy("doc_id").count().collect()
+    got = {x["doc_id"]: x["count"] for x in rows}
+    for i in range(n):
+        u = int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, c = 0, math.exp(-rate)
+        while c <= u:
+            k += 1
+            c += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+        assert got[i] == k
+    assert len(set(got.values())) > n // 2
+
+
 def test_mixing_weights_and_edges(spark):
     docs = frame(spark, ["abc"] * 40, sources=["a"] * 20 + ["b"] * 20)
     only_a = {x["source"] for x in mixing.mix_sources(docs, weights={"a": 1.0}).collect()}
