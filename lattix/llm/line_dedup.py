@@ -7,6 +7,11 @@ lines or more that occur again anywhere are found by digest, then confirmed by
 comparing their full bytes; the occurrence with the smallest (doc_id, first line)
 stays and the others are removed.
 
+Chunks miss short blocks, whose boundaries depend on the lines around them.  So the
+removal also takes blocks: adjacent pairs of lines that a smaller id has too, joined
+to runs; runs of ``min_block_words`` words or more go whole.  Lines are compared by
+their MD5 there.  Inside one document only chunks repeat, as pairs overlap.
+
 Texts move once: digests are counted in narrow rows first, and only chunks of a
 repeated digest go on to the comparison.
 
@@ -17,7 +22,7 @@ A chunk has no largest size.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, fresh_join, let
@@ -89,6 +94,45 @@ def repeated_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 51) -> DataFrame:
+    """One row a run of two lines or more whose adjacent pairs a smaller id has too: id, start_line, end_line, n_words."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+
+    def pairs(ls: Column, h: Column, n: Column) -> Column:
+        one = lambda i: F.struct(
+            i.alias("line"), F.get(n, i).alias("words"), F.get(n, i + 1).alias("next_words"), F.unhex(F.concat(F.get(h, i), F.get(h, i + 1))).alias("digest")
+        )
+        return F.when(F.size(ls) > 1, F.transform(F.sequence(F.lit(0), F.size(ls) - 2), one))
+
+    made = let(F.split("text", "\n", -1), lambda ls: let(F.transform(ls, F.md5), lambda h: let(F.transform(ls, lambda x: F.regexp_count(x, F.lit("\\S+"))), lambda n: pairs(ls, h, n))))
+    # outer, for the same reason as above
+    each = rows.select("id", F.inline_outer(made)).filter("line is not null")
+    firsts = each.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last")
+    repeats = fresh_join(each, firsts, ["digest"]).filter("id > keeper").groupBy("id", "line").agg(F.max("words").alias("words"), F.max("next_words").alias("next_words"))
+    by_line = Window.partitionBy("id").orderBy("line")
+    begins = F.coalesce(F.col("line") - F.lag("line").over(by_line) > 1, F.lit(True)).cast("int")
+    runs = (
+        repeats.withColumn("begins", begins)
+        .withColumn("run", F.sum("begins").over(by_line))
+        .groupBy("id", "run")
+        .agg(
+            F.min("line").alias("start_line"),
+            (F.max("line") + 1).alias("end_line"),
+            (F.sum("words") + F.max_by("next_words", "line")).alias("n_words"),
+        )
+    )
+    return runs.filter(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "start_line", "end_line", "n_words")
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """Ranges (id, start_line, end_line) that overlap become one."""
+    by_start = Window.partitionBy("id").orderBy("start_line", "end_line")
+    reached = F.max("end_line").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("start_line") > reached, F.lit(True)).cast("int")
+    runs = ranges.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("id", "run").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("run")
+
+
 def _without(text: Column, ranges: Column) -> Column:
     """``text`` without the lines of ``ranges`` (sorted, disjoint)."""
 
@@ -103,10 +147,11 @@ def _without(text: Column, ranges: Column) -> Column:
     return let(F.split(text, "\n", -1), lambda ls: let(F.array_sort(ranges), lambda rs: kept(ls, rs)))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, divisor: int = 4) -> DataFrame:
-    """``docs``, same columns, without the repeated chunks; a document of which nothing but white space is left goes."""
-    removed = repeated_line_chunks(docs, id_col, text_col, window, divisor)
-    ranges = removed.groupBy(F.col(id_col).alias("__lx_id")).agg(F.collect_set(F.struct("start_line", "end_line")).alias("__lx_ranges"))
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, divisor: int = 4, min_block_words: int = 51) -> DataFrame:
+    """``docs``, same columns, without the repeated chunks and blocks; a document of which nothing but white space is left goes."""
+    found = [repeated_line_chunks(docs, id_col, text_col, window, divisor), repeated_blocks(docs, id_col, text_col, min_block_words)]
+    chunks, blocks = (r.select(F.col(id_col).alias("id"), "start_line", "end_line") for r in found)
+    ranges = _merged(chunks.unionByName(blocks)).groupBy(F.col("id").alias("__lx_id")).agg(F.collect_set(F.struct("start_line", "end_line")).alias("__lx_ranges"))
     joined = docs.join(ranges, docs[id_col] == ranges["__lx_id"], "left")
     text = F.when(F.col("__lx_ranges").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("__lx_ranges")))
     left = joined.withColumn("__lx_text", text).filter(F.col("__lx_ranges").isNull() | (F.trim(F.regexp_replace("__lx_text", "\\s+", " ")) != ""))

@@ -70,6 +70,23 @@ def test_line_removal_keeps_clean_documents(spark):
     assert line_dedup.drop_repeated_lines(empty(spark)).count() == 0
 
 
+def test_line_removal_takes_short_blocks_of_many_words(spark):
+    r, words = random.Random(21), vocabulary(4000)
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    blocks = ["\n".join(line(-(-51 // n)) for _ in range(n)) for n in (2, 3, 4, 5) for _ in range(10)]
+    texts = [f"{line(12)}\n{b}\n{line(12)}" for b in blocks for _ in range(2)]
+    short = f"{line(20)}\n{line(20)}"
+    lone = line(60)
+    texts += [f"{line(9)}\n{lone}\n{line(9)}" for _ in range(2)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(frame(spark, texts)).collect()}
+    for k, b in enumerate(blocks):
+        assert got[2 * k] == texts[2 * k] and got[2 * k + 1] == texts[2 * k + 1].replace(b + "\n", "")
+    assert [got[len(texts) - n] for n in (2, 1)] == texts[-2:]
+    assert line_dedup.repeated_blocks(frame(spark, [f"a b\n{short}", f"c d\n{short}"])).count() == 0
+    assert line_dedup.repeated_blocks(frame(spark, ["\n".join(["x y"] * 90), texts[0], texts[0], None, ""], [1, 2, 2, 3, None])).count() == 0
+    assert line_dedup.repeated_blocks(empty(spark)).count() == 0
+
+
 def test_line_null_ids_and_repeated_rows_lose_nothing(spark):
     text = "a\nb\nc\nd\ne\nf"
     assert line_dedup.repeated_line_chunks(frame(spark, [text, text, text], [None, 4, 4])).count() == 0
