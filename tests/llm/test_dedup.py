@@ -167,6 +167,13 @@ def test_passages_in_rows_that_repeat_an_id(spark):
     assert tuple(got) == (2, 0, len(text), 6, 54, 1)
 
 
+def test_units_without_words_do_not_break_a_run(spark):
+    half = [" ".join(f"{c}{k}" for k in range(20)) + "." for c in "ab"]
+    text = f"{half[0]}\n---\n{half[1]}"
+    (got,) = substring_dedup.repeated_passages(frame(spark, [text, text])).collect()
+    assert tuple(got) == (1, 0, len(text), 2, 40, 0)
+
+
 def test_passages_of_nothing(spark):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
     text = " ".join(f"word{k}" for k in range(60)) + "."
