@@ -86,8 +86,12 @@ class SeedTable:
         self.bitmap = np.zeros(1 << self.BITMAP_BITS, dtype=bool)
         self.bitmap[(self.key >> U(64 - self.BITMAP_BITS)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``h``, items and item places of all hits."""
+    def hits(self, h: np.ndarray, stretch: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``h``, items and item places of all hits, found over ``stretch`` words at a time."""
+        found = [self._hits(h[k : k + stretch + SPAN - 1], k) for k in range(0, max(len(h) - SPAN + 1, 1), stretch)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _hits(self, h: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, item, place = [], [], []
         for k, m in enumerate(MASKS):
             x = masked(h, m, k)
@@ -97,7 +101,7 @@ class SeedTable:
             found = np.flatnonzero(count)
             lo, count, near = lo[found], count[found], near[found]
             rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(lo) else np.zeros(0, np.int64)
-            at.append(np.repeat(near, count))
+            at.append(np.repeat(near, count) + first)
             item.append(self.item[rows])
             place.append(self.place[rows])
         return np.concatenate(at), np.concatenate(item), np.concatenate(place)

@@ -3,20 +3,24 @@
 A batch of texts is one UTF-8 buffer with offsets.  Words are runs of
 non-separator bytes; each gets a 64-bit hash from differences of a running
 polynomial sum, so no Python loop runs over words.  A-Z hash like a-z.  Buffers are cut into pieces
-of a bounded size (a single longer text is a piece of its own), which bounds the
-memory of a worker whatever the batch size.
+of a bounded size; a single longer text is a piece of its own, whose words are found
+in chunks of ``CHUNK_BYTES``.  So a worker's memory is bounded whatever the batch size,
+but for some 30 bytes a word and 2 bytes a byte of the longest single text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 512 << 10
+PIECE_BYTES = CHUNK_BYTES = 512 << 10
+#: A chunk ends behind a separator if one is among so many last bytes; a longer word is hashed across chunks.
+LOOK_BACK = 4096
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -39,21 +43,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _BYTE_VALUE = _table(11, 256)[_FOLD]
-_powers: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
-
 #: Separators: ASCII white space only, or every ASCII byte that isn't a letter or digit.
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _alnum = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 NOT_WORD = ~_alnum
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            a = np.full(n, base, dtype=U)
-            a[0] = U(1)
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0], _powers[1]
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for one chunk."""
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        a = np.full(CHUNK_BYTES + 1, base, dtype=U)
+        a[0] = U(1)
+        out.append(np.multiply.accumulate(a))
+    return out[0], out[1]
 
 
 @dataclass
@@ -69,24 +73,28 @@ class Piece:
 
 
 @dataclass
-class Words:
-    """Words of a piece: byte ranges, hashes, and each text's first word (n + 1 entries)."""
+class Chunk:
+    """Words that begin in one chunk of a piece; a word that goes on beyond it ends with it here."""
 
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
-    of_text: np.ndarray
     sums: np.ndarray
-    inverse: np.ndarray
 
     def prefix(self, k: int) -> np.ndarray:
-        """Hash of each word's first ``k`` bytes (of the whole word if it is shorter)."""
+        """Hash of each word's first ``k`` bytes (of the whole word if it is shorter); ``k`` is ``LOOK_BACK`` at most."""
         end = np.minimum(self.start + k, self.end)
-        return mix((self.sums[end] - self.sums[self.start]) * self.inverse[self.start] + U(k))
+        return mix((self.sums[end] - self.sums[self.start]) * _powers()[1][self.start] + U(k))
+
 
-    def suffix(self, k: int) -> np.ndarray:
-        start = np.maximum(self.end - k, self.start)
-        return mix((self.sums[self.end] - self.sums[start]) * self.inverse[start] + U(64 + k))
+@dataclass
+class Words:
+    """Words of a piece: byte ranges, hashes, and each text's first word (n + 1 entries); ``extra``: rows of the caller's own."""
+
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    of_text: np.ndarray
+    extra: np.ndarray | None = None
 
 
 def pieces(texts: pa.Array, max_bytes: int = PIECE_BYTES, lower: bool = False) -> Iterator[Piece]:
@@ -113,35 +121,96 @@ def pieces(texts: pa.Array, max_bytes: int = PIECE_BYTES, lower: bool = False) -
     pa.default_memory_pool().release_unused()
 
 
-def words(p: Piece, separators: np.ndarray = WHITE) -> Words:
+def _cut(d: np.ndarray, at: int, separators: np.ndarray) -> int:
+    """End of the chunk that begins at ``at``: behind a separator, if there is one among the last bytes."""
+    stop = at + CHUNK_BYTES
+    if stop >= len(d):
+        return len(d)
+    found = np.flatnonzero(separators[d[stop - LOOK_BACK : stop]])
+    return stop - LOOK_BACK + int(found[-1]) + 1 if len(found) else stop
+
+
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    """The parts in one array; the list is emptied, so they aren't held any longer."""
+    out = np.concatenate(parts) if parts else np.zeros(0, kind)
+    parts.clear()
+    return out
+
+
+def words(p: Piece, separators: np.ndarray = WHITE, each: Callable[[Chunk], np.ndarray] | None = None) -> Words:
+    """Words of a piece, found chunk by chunk, so that only what is kept for each word grows with a long text.
+
+    ``each`` makes one row a word from a chunk's words; word hashes are left out then.
+    """
     d, n = p.data, len(p.data)
-    inside = ~separators[d]
-    begins = np.zeros(n + 1, dtype=bool)
-    begins[p.offsets[:-1]] = True
-    edge = inside.copy()
-    if n:
-        edge[1:] &= ~inside[:-1] | begins[1:n]
-    start = np.flatnonzero(edge)
-    last = inside.copy()
-    if n > 1:
-        last[:-1] &= ~inside[1:] | begins[1:n]
-    end = np.flatnonzero(last) + 1
-    power, inverse = _power(n + 1)
-    sums = np.zeros(n + 1, dtype=U)
-    np.cumsum(_BYTE_VALUE[d] * power[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U))
-    return Words(start, end, h, np.searchsorted(start, p.offsets), sums, inverse)
+    power, inverse = _powers()
+    texts = p.offsets[1:-1]
+    place = np.int32 if n < 1 << 31 else np.int64
+    starts, ends, hashes, extra = [], [], [], []
+    at, open_sum, open_len = 0, U(0), 0  # of a word that began in an earlier chunk
+    while at < n:
+        stop = _cut(d, at, separators)
+        x = d[at:stop]
+        m = len(x)
+        inside = ~separators[x]
+        begins = np.zeros(m + 1, dtype=bool)
+        lo, hi = np.searchsorted(texts, [at, stop + 1])
+        begins[texts[lo:hi] - at] = True
+        goes_on = stop < n and not begins[m] and inside[m - 1] and not separators[d[stop]]
+        edge = inside.copy()
+        edge[1:] &= ~inside[:-1] | begins[1:m]
+        if open_len and not begins[0]:
+            edge[0] = False
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | begins[1:m]
+        last[m - 1] &= not goes_on
+        start, end = np.flatnonzero(edge), np.flatnonzero(last) + 1
+        sums = np.zeros(m + 1, dtype=U)
+        np.cumsum(_BYTE_VALUE[x] * power[:m], out=sums[1:])
+        if open_len:  # the first end, or the whole chunk, belongs to the open word
+            upto = int(end[0]) if len(end) else m
+            with np.errstate(over="ignore"):
+                open_sum += U(pow(int(_BASE), open_len, 1 << 64)) * sums[upto]
+            open_len += upto
+            if len(end):
+                hashes.append(mix(np.array([open_sum], dtype=U) + U(open_len)))
+                ends.append((end[:1] + at).astype(place))
+                end, open_sum, open_len = end[1:], U(0), 0
+        starts.append((start + at).astype(place))
+        ends.append((end + at).astype(place))
+        if each is not None:
+            extra.append(each(Chunk(start, np.append(end, m) if len(start) > len(end) else end, sums)))
+        whole = start[: len(end)]
+        hashes.append(mix((sums[end] - sums[whole]) * inverse[whole] + (end - whole).astype(U)))
+        if len(start) > len(end):
+            s = int(start[-1])
+            open_sum, open_len = ((sums[m:] - sums[s : s + 1]) * inverse[s : s + 1])[0], m - s
+        if each is not None:
+            hashes.clear()
+        at = stop
+    start = _joined(starts, place)
+    return Words(start, _joined(ends, place), _joined(hashes, U), np.searchsorted(start, p.offsets), _joined(extra, U) if extra else None)
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """Order-dependent hash of each run of ``n`` hashes (``len(h) - n + 1`` of them)."""
     m = len(h) - n + 1
-    if m <= 0:
-        return np.zeros(0, dtype=U)
-    s = mix(h[:m] + U(n))
-    for k in range(1, n):
-        s = mix(s * U(0xD6E8FEB86659FD93) + h[k : k + m])
-    return s
+    out = np.zeros(max(m, 0), dtype=U)
+    for at in range(0, m, CHUNK_BYTES):
+        to = min(m, at + CHUNK_BYTES)
+        x = mix(h[at:to] + U(n))
+        for k in range(1, n):
+            x = mix(x * U(0xD6E8FEB86659FD93) + h[at + k : to + k])
+        out[at:to] = x
+    return out
+
+
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; ``s`` is sorted in place."""
+    s.sort()
+    new = np.ones(len(s), dtype=bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,12 +221,14 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """
     for p in pieces(texts):
         w = words(p)
-        s = shingles(w.hash, n)
+        h, of_text = w.hash, w.of_text
+        del w
+        s = shingles(h, n)
         for k in range(len(p)):
-            a, b = w.of_text[k], w.of_text[k + 1]
+            a, b = of_text[k], of_text[k + 1]
             if b - a >= n:
-                yield p.first + k, np.unique(s[a : b - n + 1])
+                yield p.first + k, distinct(s[a : b - n + 1])
             elif b > a:
-                yield p.first + k, shingles(w.hash[a:b], b - a)
+                yield p.first + k, shingles(h[a:b], b - a)
             else:
                 yield p.first + k, np.zeros(0, dtype=U)

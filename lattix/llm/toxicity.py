@@ -9,15 +9,19 @@ probabilities locate the offending sentences.  Only features whose presence goes
 the label (a likelihood-ratio test) get a weight.
 
 Training takes labelled rows that are not held out, ``max_train_docs`` at most (the
-positives first, up to half; both by a hash of the id), and runs on the driver, whose
-input that bound limits.  Scoring covers whole texts on the executors; the shared
+positives first, up to half; both by a hash of the id) and of those as many, in the
+order of a hash, as have ``MAX_TRAIN_BYTES`` together (none of over ``MAX_TEXT_BYTES``);
+it runs on the driver, whose input these bounds limit.  Scoring covers whole texts on the executors; the shared
 model has a fixed size of 2 ** ``HASH_BITS`` numbers.
 
 Edge cases: null and empty texts have no sentence and score 0.  Labels that are null,
 or rows without a text, are not learnt from; of several labels of an id the largest
 counts.  Without any label of both kinds the model scores 0 everywhere.  Rows with a
-null id count as not held out and are scored.  Repeated rows are scored alike.  An
-empty table gives an empty result.
+null id count as not held out and are scored.  Repeated rows are scored alike.  Of
+rows that repeat a labelled id with different texts, the least text is learnt from.  A
+text is scored whole, however long; a worker then takes some 30 bytes a word of the
+longest one.  Other columns are ignored, whatever their names; ids must be integers.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,32 +31,37 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_held_out
-from .kernels import NOT_WORD, U, Piece, Words, pieces, words
+from .common import durable, is_held_out
+from .kernels import NOT_WORD, Chunk, Piece, U, Words, pieces, words
 
 HASH_BITS = 18
 #: Word beginnings of so many bytes are features besides the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
+#: Bytes of text that training takes at most, and of one text that is learnt from.
+MAX_TRAIN_BYTES, MAX_TEXT_BYTES = 64 << 20, 1 << 20
+#: A longer word counts by its first bytes.
+WORD_BYTES = 64
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
 
-def features(w: Words) -> np.ndarray:
-    """Feature numbers, one row a word: the word and its beginnings."""
-    each = [w.hash, *(w.prefix(k) for k in PREFIXES)]
-    return np.stack([(x >> U(64 - HASH_BITS)).astype(np.int32) for x in each], axis=1)
+def features(w: Chunk) -> np.ndarray:
+    """Feature numbers, one row a word: the word (its first ``WORD_BYTES``) and its beginnings."""
+    return np.stack([(w.prefix(k) >> U(64 - HASH_BITS)).astype(np.int32) for k in (WORD_BYTES, *PREFIXES)], axis=1)
+
+
+def characters(data: np.ndarray) -> int:
+    """Characters of UTF-8 bytes (lower-casing changes bytes, but no character's place)."""
+    return int(np.count_nonzero((data & 0xC0) != 0x80))
 
 
 def sentences(p: Piece, w: Words) -> np.ndarray:
     """Index of the first word of each sentence that has words."""
-    breaks = np.cumsum(_ENDS[p.data])
-    of_word = breaks[w.start] if len(w.start) else np.zeros(0, np.int64)
-    text = np.searchsorted(p.offsets, w.start, side="right")
-    new = np.ones(len(w.start), dtype=bool)
-    new[1:] = (of_word[1:] != of_word[:-1]) | (text[1:] != text[:-1])
-    return np.flatnonzero(new)
+    behind = np.searchsorted(w.start, np.flatnonzero(_ENDS[p.data]).astype(w.start.dtype))
+    first = np.unique(np.concatenate([w.of_text[:-1], behind]))
+    return first[first < len(w.start)]
 
 
 @dataclass(frozen=True)
@@ -60,13 +69,15 @@ class Model:
     bias: float
     weights: np.ndarray  # float32, 2 ** HASH_BITS
 
-    def logits(self, p: Piece, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """First word and logit of each sentence."""
+    def read(self, p: Piece) -> tuple[Words, np.ndarray, np.ndarray]:
+        """Words of a piece, first word and logit of each sentence."""
+        w = words(p, NOT_WORD, lambda c: self.weights[features(c)].sum(1))
         first = sentences(p, w)
-        if not len(first):
-            return first, np.zeros(0)
-        word = self.weights[features(w)].sum(1)
-        return first, np.add.reduceat(word.astype(np.float64), first) + self.bias
+        return w, first, np.add.reduceat(w.extra, first, dtype=np.float64) + self.bias if len(first) else np.zeros(0)
+
+
+def _rows(w: Words) -> np.ndarray:
+    return np.zeros((0, 1 + len(PREFIXES)), np.int32) if w.extra is None else w.extra
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -102,8 +113,8 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
     size = 1 << HASH_BITS
     both, seen = np.zeros(size), np.zeros(size)
     for p in pieces(texts, lower=True):
-        w = words(p, NOT_WORD)
-        x = features(w)
+        w = words(p, NOT_WORD, features)
+        x = _rows(w)
         of_text = np.repeat(np.arange(len(p)), np.diff(w.of_text))
         pair = np.unique((of_text.astype(np.int64) << HASH_BITS)[:, None] | x)
         feature, positive = pair & (size - 1), labels[p.first + (pair >> HASH_BITS)] == 1
@@ -114,9 +125,9 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
     compact[chosen] = np.arange(len(chosen))
     feats, of_pair, docs, n_sent = [], [], [], 0
     for p in pieces(texts, lower=True):
-        w = words(p, NOT_WORD)
+        w = words(p, NOT_WORD, features)
         first = sentences(p, w)
-        x = compact[features(w)]
+        x = compact[_rows(w)]
         word, _ = np.nonzero(x >= 0)
         feats.append(x[x >= 0])
         of_pair.append(np.searchsorted(first, word, side="right") - 1 + n_sent)
@@ -149,8 +160,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_docs: int,
     mine = known.filter(F.col("y") == first).orderBy(order).limit(max_docs // 2)
     others = known.filter(F.col("y") != first).orderBy(order).limit(max_docs - max_docs // 2)
     chosen = F.broadcast(mine.union(others))  # max_docs rows at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text != ''")
-    return rows.join(chosen, "_id").dropDuplicates(["_id"]).select("text", "y", order.alias("o")).orderBy("o").drop("o").toArrow()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text").between(1, MAX_TEXT_BYTES)).join(chosen, "_id")
+    one = durable(rows.groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).withColumns({"o": order, "size": F.octet_length("text")}))
+    # max_docs rows at most, so one task can sum their sizes; rows beyond the bound of bytes are left out
+    reached = F.sum("size").over(Window.orderBy("o", "_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = one.select("_id", reached.alias("reached")).filter(F.col("reached") <= MAX_TRAIN_BYTES).select("_id")
+    return one.join(F.broadcast(within), "_id").orderBy("o", "_id").select("text", "y").toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_train_docs: int = 4000) -> Model | None:
@@ -159,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", sentence_threshold: float = 0.3) -> DataFrame:
-    """One row a document: id, score, worst_sentence (its probability), worst_start and worst_end (bytes of the
-    lower-cased UTF-8 text, null without sentence), n_toxic_sentences (of ``sentence_threshold`` or more)."""
+    """One row a document: id, score, worst_sentence (its probability), worst_start and worst_end (characters of
+    the text from 0, the end exclusive; the first of equally bad sentences; null without one), n_toxic_sentences (of ``sentence_threshold`` or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "id bigint, score double, worst_sentence double, worst_start bigint, worst_end bigint, n_toxic_sentences int"
 
@@ -170,8 +185,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             out, worst, begin, end, count = np.zeros(n), np.zeros(n), np.full(n, -1), np.full(n, -1), np.zeros(n, np.int32)
             if shared.value is not None:
                 for p in pieces(batch.column(1), lower=True):
-                    w = words(p, NOT_WORD)
-                    first, z = shared.value.logits(p, w)
+                    w, first, z = shared.value.read(p)
                     if not len(first):
                         continue
                     starts = np.searchsorted(first, w.of_text)
@@ -186,8 +200,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     is_top = np.flatnonzero(z == top[doc_of])
                     pick = is_top[np.unique(doc_of[is_top], return_index=True)[1]]
                     worst[p.first + some] = 1 / (1 + np.exp(-top))
-                    begin[p.first + some] = w.start[first[pick]] - p.offsets[some]
-                    end[p.first + some] = w.end[last[pick]] - p.offsets[some]
+                    for k, a, b in zip(some.tolist(), w.start[first[pick]].tolist(), w.end[last[pick]].tolist(), strict=True):
+                        begin[p.first + k] = characters(p.data[p.offsets[k] : a])
+                        end[p.first + k] = begin[p.first + k] + characters(p.data[a:b])
             none = begin < 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.clip(out, 0, 1)), pa.array(worst), pa.array(begin, mask=none), pa.array(end, mask=none), pa.array(count)],
@@ -208,8 +223,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         out = np.zeros(len(texts))
         if shared.value is not None:
             for p in pieces(texts, lower=True):
-                w = words(p, NOT_WORD)
-                first, z = shared.value.logits(p, w)
+                w, first, z = shared.value.read(p)
                 if len(first):
                     out[p.first : p.first + len(p)] = noisy_or(z, np.searchsorted(first, w.of_text), len(p))
         return pa.array(out)
