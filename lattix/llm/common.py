@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,18 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def durable(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, of at most ``parts`` files.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where the session
-    names none (tests on one machine) is a temporary folder set.
+    The folder is the cluster's ``spark.checkpoint.dir``.  Only a session on one
+    machine that names none gets a temporary folder; on a cluster that is refused.
     """
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattix-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+
+
+def parts_for(rows: int, width: int) -> int:
+    """Partitions for so many rows of so many bytes: about 32 MB each, 8 at least."""
+    return max(8, -(-rows * width // (32 << 20)))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:

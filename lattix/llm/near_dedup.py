@@ -16,22 +16,27 @@ components of links are the classes, and the smallest id of each stays.
    J = 0.8 with probability 1 - (1 - 0.8 ** 4) ** 32 > 1 - 1e-7.
 4. *Hubs*: in each bucket every member is compared with the bucket's least id only.
    Candidates whose collision-corrected estimate is at least ``floor`` (five standard
-   deviations below the threshold) are verified on full sets.
+   deviations below the threshold), and whose sizes allow the threshold, are verified
+   on full sets.
 5. *Rest*: members of one bucket that are still in different components are compared
    by registers, in blocks of bounded size; components with a pair above the floor form
-   a family.  Within a family, the bucket members' full sets are compared in blocks of
-   bounded size too, all but those within its largest component; a block emits links as
-   a forest.  So every pair of a bucket is compared unless verified links join it
-   already, while rows grow with the documents, not with the pairs.
-6. *Components* by label propagation.
+   a family.  Within a family, the full sets are compared in blocks of bounded rows and
+   bytes, all but those within its largest component; a block emits links as a forest.
+   So every pair of a bucket is compared unless verified links join it already, while
+   rows grow with the documents, not with the pairs.  (Asking for the sets of estimated
+   pairs only would need one row a pair: near the threshold all pairs of a group pass.)
+6. *Components* of the links.
 
 Shingles are compared as 64-bit hashes: two different shingles of a pair are taken
 for one with probability below 1e-9 for sets of 100,000.
 
 Edge cases: a text with fewer words than a shingle gives its whole word sequence as
 one; a null text or one without words has the empty set, is linked with nothing and
-stays.  A row with a null id is linked with nothing, has a null component and stays.
-Rows that repeat an id are one node.  An empty table gives an empty result.
+stays.  Whole texts are read, however long (a worker takes some 30 bytes a word of the
+longest one).  A row with a null id is linked with nothing, has a null component and
+stays.  Rows that repeat an id are one document with the links of all its texts,
+whatever their order; each row has its own n_shingles.  Other columns are ignored,
+whatever their names; ids must be integers.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,17 +49,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, fresh_join
+from .common import broadcast_if_small, durable, fresh_join, parts_for
 from .components import connected_components
 from .kernels import U, mix, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
-#: Members of a bucket compared within one block of step 5.
-BLOCK = 256
+#: Members of a block of step 5, by registers and by full sets, and bytes of sets in a block.
+REGISTER_BLOCK, BLOCK, BLOCK_BYTES = 1024, 256, 8 << 20
 #: Ids (8 bytes each) that may be broadcast to pick rows out of the texts; beyond it the texts are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Rows of two or three numbers that may be broadcast.
+MAX_BROADCAST_ROWS = 300_000
 
 _OWN_SEED = mix(np.arange(1, BUCKETS + 1, dtype=U) * U(0xA24BAED4963EE407))
 
@@ -144,14 +151,15 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), BUCKETS)
 
 
-def _plausible(floor: float):
-    """Filter for rows (a, b, na, nb, ra, rb) by the estimate."""
+def _plausible(floor: float, percent: int):
+    """Filter for rows (a, b, na, nb, ra, rb) by the estimate, and by sizes that allow the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
                 agree = (_registers(x.column(4)) == _registers(x.column(5))).sum(1)
-                ok = estimate(agree, x.column(2).to_numpy(), x.column(3).to_numpy()) >= floor
+                na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
+                ok = (estimate(agree, na, nb) >= floor) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
                 yield x.select([0, 1]).filter(pa.array(ok))
 
     return run
@@ -205,16 +213,20 @@ def _bridges(floor: float):
     def pairs(group: pa.Table) -> tuple[list[int], list[int]]:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         block, comp = group.column("block").to_numpy(), group.column("component").to_numpy()
-        n, regs, forest = group.column("n").to_numpy(), _registers(group.column("regs").combine_chunks()), _Forest()
+        n, regs = group.column("n").to_numpy(), _registers(group.column("regs").combine_chunks())
+        tree = comp.copy()  # components joined so far share a number, and aren't compared any more
+        right = block == j
         a, b = [], []
         for x in np.flatnonzero(block == i):
-            others = np.flatnonzero((block == j) & (comp != comp[x]))
+            others = np.flatnonzero(right & (tree != tree[x]))
+            if not len(others):
+                continue
             agree = (regs[others] == regs[x]).sum(1)
-            good = others[estimate(agree, np.full(len(others), n[x]), n[others]) >= floor] if len(others) else others
-            for c in np.unique(comp[good]).tolist():
-                if forest.join(int(comp[x]), c):
-                    a.append(int(comp[x]))
-                    b.append(c)
+            good = others[estimate(agree, np.full(len(others), n[x]), n[others]) >= floor]
+            found, at = np.unique(tree[good], return_index=True)
+            a += [int(comp[x])] * len(found)
+            b += comp[good[at]].tolist()
+            tree[np.isin(tree, found)] = tree[x]
         return a, b
 
     return lambda batches: _by_group(batches, ["key", "i", "j"], pairs)
@@ -263,6 +275,12 @@ def _family_links(percent: int):
     return lambda batches: _by_group(batches, ["family", "i", "j"], pairs)
 
 
+def _lookup(left: DataFrame, labels: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join of ``left`` with narrow, checkpointed rows: broadcast if a count proves them few."""
+    small, few = broadcast_if_small(labels, MAX_BROADCAST_ROWS)
+    return left.join(small, on, how) if few else fresh_join(left, labels, [on], how)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -275,77 +293,102 @@ def near_duplicates(
     t = threshold_percent / 100
     floor = max(0.0, t - 5 * (t * (1 - t) / BUCKETS) ** 0.5) if floor is None else floor
     sketches = durable(sketch(docs, id_col, text_col, shingle))
-    classes = sketches.filter("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = durable(
-        fresh_join(sketches.select("id", "n", "digest"), classes, ["digest"], "left").select(
-            "id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")
-        )
-    )
-    chosen = members.filter("id = rep").select("id").distinct()
-    reps = durable(sketches.filter("n > 0").join(chosen, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "regs"))
+    known = sketches.filter("id is not null and n > 0")
+    rows = sketches.count()
+    # of rows with equal digest any has the class's registers
+    classes = durable(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), parts_for(rows, 320))
+    marks = F.xxhash64("digest")
+    repeated = sketches.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.min(marks).alias("lo"), F.max(marks).alias("hi"))
+    repeated = durable(repeated.filter("rows > 1"), parts_for(rows, 16))
+    has_repeats = repeated.limit(1).count() > 0
+    n = classes.count()
 
     def key(b):
         return F.xxhash64(b, F.substring("regs", b * (2 * ROWS) + 1, 2 * ROWS))
 
-    bands = reps.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    buckets = durable(fresh_join(bands, shared, ["key"]).select("key", "id", "hub", "size"))
+    bands = classes.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("key"))
+    shared = durable(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"), parts_for(n * BANDS, 24))
+    buckets = durable(_lookup(bands, shared, "key", "inner").select("key", "id", "n", "hub", "size"), parts_for(n * BANDS, 40))
 
     def full_sets(ids: DataFrame) -> DataFrame:
-        """(id, set) of some ids (a checkpointed frame)."""
+        """(id, set) of some ids (a checkpointed frame), each text once."""
         wanted, _ = broadcast_if_small(ids, MAX_BROADCAST_IDS)
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
-        return durable(texts.mapInArrow(_sets(shingle), "id bigint, set binary")).dropDuplicates(["id"])
+        sets = durable(texts.mapInArrow(_sets(shingle), "id bigint, set binary"))
+        return sets.withColumn("_mark", F.xxhash64("set")).dropDuplicates(["id", "_mark"]).drop("_mark") if has_repeats else sets
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of plausible pairs (a, b), those that full sets confirm."""
-        sets = full_sets(durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+        sets = full_sets(durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), parts_for(n, 16)))
         first = fresh_join(pairs.withColumnRenamed("a", "id"), sets, ["id"]).select(F.col("id").alias("a"), F.col("b").alias("id"), F.col("set").alias("sa"))
         full = fresh_join(first, sets, ["id"]).select("a", F.col("id").alias("b"), "sa", F.col("set").alias("sb"))
-        return durable(full.mapInArrow(_verified(threshold_percent), "a bigint, b bigint"))
+        return full.mapInArrow(_verified(threshold_percent), "a bigint, b bigint")
 
     hubs = buckets.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    small = reps.select("id", "n", "regs")
+    small = classes.select("id", "n", "regs")
     one = fresh_join(hubs.withColumnRenamed("b", "id"), small, ["id"]).select(F.col("a").alias("id"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     two = fresh_join(one, small, ["id"]).select(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb", F.col("regs").alias("ra"), "rb")
-    links = linked(durable(two.mapInArrow(_plausible(floor), "a bigint, b bigint")))
+    links = linked(durable(two.mapInArrow(_plausible(floor, threshold_percent), "a bigint, b bigint"), parts_for(n * 4, 16)))
+    if has_repeats:
+        links = links.unionByName(_own_links(known, repeated, classes))
+    links = durable(links, parts_for(n * 4, 16))
     labels = connected_components(links)
 
     # what hubs left open: buckets whose members are in several components
-    placed = fresh_join(buckets.select("key", "id", "size"), labels, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi and lo is not null").select("key")
-    open_ = durable(fresh_join(placed, mixed, ["key"]).filter("size > 2"))  # of two members, one was the hub
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    spread = fresh_join(open_, small, ["id"]).withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grouped = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "regs")
-    sorted_ = grouped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    bridges = durable(sorted_.mapInArrow(_bridges(floor), "a bigint, b bigint").distinct())
-    if bridges.limit(1).count():
-        families = connected_components(bridges).select(F.col("id").alias("component"), F.col("component").alias("family"))
-        extra = _links_in_families(fresh_join(open_.select("id", "component").distinct(), families, ["component"]), full_sets, threshold_percent)
-        if extra.limit(1).count():
-            labels = connected_components(links.union(extra))
-
-    found = labels.select(F.col("id").alias("rep"), "component")
-    out = fresh_join(members, found, ["rep"], "left").withColumn("component_id", F.coalesce("component", "rep", "id"))
+    placed = _lookup(buckets.filter("size > 2").select("key", "id", "n", "size"), labels, "id").withColumn("component", F.coalesce("component", "id"))
+    mixed = durable(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key"), parts_for(n * 4, 16))
+    if mixed.limit(1).count():
+        open_ = durable(_lookup(placed, mixed, "key", "inner"), parts_for(n * 8, 40))  # of two members, one was the hub
+        blocks = F.ceil(F.col("size") / REGISTER_BLOCK).cast("int")
+        spread = fresh_join(open_.drop("n"), small, ["id"]).withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        grouped = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "regs")
+        sorted_ = grouped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        bridges = durable(sorted_.mapInArrow(_bridges(floor), "a bigint, b bigint").distinct(), parts_for(n * 4, 16))
+        if bridges.limit(1).count():
+            families = connected_components(bridges).select(F.col("id").alias("component"), F.col("component").alias("family"))
+            members = durable(_lookup(open_.select("id", "n", "component").distinct(), families, "component", "inner"), parts_for(n, 32))
+            extra = durable(_links_in_families(members, full_sets, threshold_percent), parts_for(n * 4, 16))
+            if extra.limit(1).count():
+                labels = connected_components(links.union(extra))
+
+    found = _lookup(classes.select("digest", "id"), labels, "id").select("digest", F.coalesce("component", "id").alias("component"))
+    out = fresh_join(sketches.select("id", "n", "digest"), found, ["digest"], "left")
+    out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    if has_repeats:
+        least = durable(out.join(repeated.select("id"), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("least")))
+        out = _lookup(out, least, "id").select("id", "n", F.coalesce("least", "component_id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _own_links(known: DataFrame, repeated: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of one id's different texts."""
+    several = known.select("id", "digest").join(repeated.filter("lo != hi").select("id"), "id", "left_semi").distinct()
+    classed = several.join(classes.select("digest", F.col("id").alias("rep")), "digest").select("id", "rep")
+    firsts = classed.groupBy("id").agg(F.min("rep").alias("a"))
+    return classed.join(firsts, "id").select("a", F.col("rep").alias("b")).filter("a != b")
+
+
 def _links_in_families(members: DataFrame, full_sets, percent: int) -> DataFrame:
-    """Verified links (a, b) between different components of each family; members: id, component, family."""
-    members = durable(members)
-    sizes = members.groupBy("family", "component").agg(F.count("*").alias("m"))
-    whole = sizes.groupBy("family").agg(F.max_by("component", "m").alias("largest"), F.max("m").alias("m"), F.sum("m").alias("all"))
-    outer_blocks, inner_blocks = (F.ceil(x / BLOCK).cast("int") for x in (F.col("all") - F.col("m"), F.col("m")))
+    """Verified links (a, b) between different components of each family; members: id, n, component, family."""
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    whole = sizes.groupBy("family").agg(
+        F.max_by("component", F.struct("m", "component")).alias("largest"),
+        F.max(F.struct("m", "component", "s")).alias("top"),
+        F.sum("m").alias("all"),
+        F.sum("s").alias("all_s"),
+    )
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s * 8 / BLOCK_BYTES)).cast("int")
+    outer, inner = blocks(F.col("all") - F.col("top.m"), F.col("all_s") - F.col("top.s")), blocks(F.col("top.m"), F.col("top.s"))
+    whole = whole.select("family", "largest", F.greatest(outer, F.lit(1)).alias("outer_blocks"), inner.alias("inner_blocks"))
     placed = fresh_join(members, whole, ["family"]).withColumn("inner", F.col("component") == F.col("largest"))
-    own = F.when(F.col("inner"), outer_blocks + F.pmod(F.hash("id"), inner_blocks)).otherwise(F.pmod(F.hash("id"), F.greatest(outer_blocks, F.lit(1))))
+    own = F.when(F.col("inner"), F.col("outer_blocks") + F.pmod(F.hash("id"), F.col("inner_blocks"))).otherwise(F.pmod(F.hash("id"), F.col("outer_blocks")))
     # members of the largest component meet the other ones only
-    partners = F.when(F.col("inner"), outer_blocks).otherwise(outer_blocks + inner_blocks)
-    spread = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(partners - 1, F.lit(0)))))
-    with_sets = fresh_join(spread, full_sets(durable(members.select("id").distinct())), ["id"])
+    partners = F.when(F.col("inner"), F.col("outer_blocks")).otherwise(F.col("outer_blocks") + F.col("inner_blocks"))
+    spread = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
+    with_sets = fresh_join(spread, full_sets(members.select("id")), ["id"])
     rows = with_sets.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "set")
     sorted_ = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return durable(sorted_.mapInArrow(_family_links(percent), "a bigint, b bigint"))
+    return sorted_.mapInArrow(_family_links(percent), "a bigint, b bigint")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_percent: int = 80) -> DataFrame:
