@@ -16,8 +16,11 @@ Texts move once: digests are counted in narrow rows first, and only chunks of a
 repeated digest go on to the comparison.
 
 Edge cases: null and empty texts have no chunk of two lines.  Rows with a null id
-neither lose nor justify a removal.  Rows that repeat an id are one document.
-A chunk has no largest size.  An empty table gives an empty result.
+neither lose nor justify a removal.  Rows that repeat an id are one document when
+occurrences are ranked, but lines are only removed from the very text that they were
+found in.  A chunk has no largest size, and whole texts are read, however long (a text
+and its lines are held as one row).  Other columns are kept as they are, whatever their
+names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,18 +69,31 @@ def _chunks(lines: Column, window: int, divisor: int) -> Column:
 
 def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, divisor: int = 4) -> DataFrame:
     """One row a chunk of two lines or more: id, start_line, end_line (both inclusive, from 0), chunk, digest."""
+    return _marked_chunks(docs, id_col, text_col, window, divisor).drop("text_mark")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_mark (tells apart different texts of one id), text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    return rows.select("id", F.xxhash64("text").alias("text_mark"), "text")
+
+
+def _marked_chunks(docs: DataFrame, id_col: str, text_col: str, window: int, divisor: int) -> DataFrame:
     # outer, for no filter on the array's size is then derived, which would compute it twice
-    chunks = rows.select("id", F.inline_outer(_chunks(F.split("text", "\n", -1), window, divisor)))
+    chunks = _texts(docs, id_col, text_col).select("id", "text_mark", F.inline_outer(_chunks(F.split("text", "\n", -1), window, divisor)))
     return chunks.filter("start_line is not null").withColumn("digest", F.unhex(F.sha2("chunk", 256)))
 
 
 def repeated_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, divisor: int = 4) -> DataFrame:
     """One row a removed chunk: id, start_line, end_line, first_<id>, first_start_line."""
-    chunks = line_chunks(docs, id_col, text_col, window, divisor)
+    return _marked_repeats(docs, id_col, text_col, window, divisor).drop("text_mark")
+
+
+def _marked_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, divisor: int) -> DataFrame:
+    chunks = _marked_chunks(docs, id_col, text_col, window, divisor)
     counts = chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     # written once: only repeated chunks, so that the whole texts' chunks aren't shuffled for each of two uses
-    candidates = durable(fresh_join(chunks, counts, ["digest"]).select("id", "start_line", "end_line", "chunk", F.xxhash64("chunk").alias("mark")))
+    candidates = durable(fresh_join(chunks, counts, ["digest"]).select("id", "text_mark", "start_line", "end_line", "chunk", F.xxhash64("chunk").alias("mark")))
     firsts = (
         candidates.groupBy("mark", "chunk")
         .agg(F.min(F.struct("id", "start_line")).alias("first"), F.count("*").alias("n"))
@@ -87,6 +103,7 @@ def repeated_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     removed = fresh_join(candidates, firsts, ["mark", "chunk"]).filter(F.struct("id", "start_line") != F.col("first"))
     return removed.select(
         F.col("id").alias(id_col),
+        "text_mark",
         "start_line",
         "end_line",
         F.col("first.id").alias(f"first_{id_col}"),
@@ -96,8 +113,10 @@ def repeated_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 51) -> DataFrame:
     """One row a run of two lines or more whose adjacent pairs a smaller id has too: id, start_line, end_line, n_words."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    return _marked_blocks(docs, id_col, text_col, min_words).drop("text_mark")
+
 
+def _marked_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     def pairs(ls: Column, h: Column, n: Column) -> Column:
         one = lambda i: F.struct(
             i.alias("line"), F.get(n, i).alias("words"), F.get(n, i + 1).alias("next_words"), F.unhex(F.concat(F.get(h, i), F.get(h, i + 1))).alias("digest")
@@ -106,31 +125,31 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     made = let(F.split("text", "\n", -1), lambda ls: let(F.transform(ls, F.md5), lambda h: let(F.transform(ls, lambda x: F.regexp_count(x, F.lit("\\S+"))), lambda n: pairs(ls, h, n))))
     # outer, for the same reason as above
-    each = rows.select("id", F.inline_outer(made)).filter("line is not null")
+    each = _texts(docs, id_col, text_col).select("id", "text_mark", F.inline_outer(made)).filter("line is not null")
     firsts = each.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last")
-    repeats = fresh_join(each, firsts, ["digest"]).filter("id > keeper").groupBy("id", "line").agg(F.max("words").alias("words"), F.max("next_words").alias("next_words"))
-    by_line = Window.partitionBy("id").orderBy("line")
+    repeats = fresh_join(each, firsts, ["digest"]).filter("id > keeper").groupBy("id", "text_mark", "line").agg(F.max("words").alias("words"), F.max("next_words").alias("next_words"))
+    by_line = Window.partitionBy("id", "text_mark").orderBy("line")
     begins = F.coalesce(F.col("line") - F.lag("line").over(by_line) > 1, F.lit(True)).cast("int")
     runs = (
         repeats.withColumn("begins", begins)
         .withColumn("run", F.sum("begins").over(by_line))
-        .groupBy("id", "run")
+        .groupBy("id", "text_mark", "run")
         .agg(
             F.min("line").alias("start_line"),
             (F.max("line") + 1).alias("end_line"),
             (F.sum("words") + F.max_by("next_words", "line")).alias("n_words"),
         )
     )
-    return runs.filter(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "start_line", "end_line", "n_words")
+    return runs.filter(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "text_mark", "start_line", "end_line", "n_words")
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
-    """Ranges (id, start_line, end_line) that overlap become one."""
-    by_start = Window.partitionBy("id").orderBy("start_line", "end_line")
+    """Ranges (id, text_mark, start_line, end_line) that overlap become one."""
+    by_start = Window.partitionBy("id", "text_mark").orderBy("start_line", "end_line")
     reached = F.max("end_line").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.coalesce(F.col("start_line") > reached, F.lit(True)).cast("int")
     runs = ranges.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("id", "run").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("run")
+    return runs.groupBy("id", "text_mark", "run").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("run")
 
 
 def _without(text: Column, ranges: Column) -> Column:
@@ -149,10 +168,11 @@ def _without(text: Column, ranges: Column) -> Column:
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, divisor: int = 4, min_block_words: int = 51) -> DataFrame:
     """``docs``, same columns, without the repeated chunks and blocks; a document of which nothing but white space is left goes."""
-    found = [repeated_line_chunks(docs, id_col, text_col, window, divisor), repeated_blocks(docs, id_col, text_col, min_block_words)]
-    chunks, blocks = (r.select(F.col(id_col).alias("id"), "start_line", "end_line") for r in found)
-    ranges = _merged(chunks.unionByName(blocks)).groupBy(F.col("id").alias("__lx_id")).agg(F.collect_set(F.struct("start_line", "end_line")).alias("__lx_ranges"))
-    joined = docs.join(ranges, docs[id_col] == ranges["__lx_id"], "left")
+    found = [_marked_repeats(docs, id_col, text_col, window, divisor), _marked_blocks(docs, id_col, text_col, min_block_words)]
+    chunks, blocks = (r.select(F.col(id_col).alias("id"), "text_mark", "start_line", "end_line") for r in found)
+    merged = _merged(chunks.unionByName(blocks)).groupBy("id", "text_mark").agg(F.collect_set(F.struct("start_line", "end_line")).alias("__lx_ranges"))
+    ranges = merged.select(F.col("id").alias("__lx_id"), F.col("text_mark").alias("__lx_mark"), "__lx_ranges")
+    joined = docs.join(ranges, (docs[id_col] == ranges["__lx_id"]) & (F.xxhash64(docs[text_col].cast("string")) == ranges["__lx_mark"]), "left")
     text = F.when(F.col("__lx_ranges").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("__lx_ranges")))
     left = joined.withColumn("__lx_text", text).filter(F.col("__lx_ranges").isNull() | (F.trim(F.regexp_replace("__lx_text", "\\s+", " ")) != ""))
     return left.select(*[F.col("__lx_text").alias(c) if c == text_col else docs[c] for c in docs.columns])

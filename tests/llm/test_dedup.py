@@ -93,6 +93,15 @@ def test_line_null_ids_and_repeated_rows_lose_nothing(spark):
     assert line_dedup.drop_repeated_lines(frame(spark, [text, text, text], [None, 4, 4])).count() == 3
 
 
+def test_lines_go_only_from_the_text_they_repeat_in(spark):
+    """A row that repeats an id with another text keeps its lines."""
+    text = "a\nb\nc\nd\ne\nf"
+    other = "\n".join(f"other {k}" for k in range(12))
+    got = line_dedup.drop_repeated_lines(frame(spark, [text, text, other], [1, 2, 2])).collect()
+    assert [x["text"] for x in got if x["doc_id"] == 2 and (x["text"] or "").startswith("other")] == [other]
+    assert [x["text"] for x in got if x["doc_id"] == 1] == [text]
+
+
 def brute_passages(texts, min_words):
     pattern = re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*|[.!?]+[^\S\n]*")
     units = {}
@@ -214,6 +223,7 @@ def test_near_duplicates_against_brute_force(spark, n):
 def test_rest_after_hubs_is_compared_in_blocks(spark, monkeypatch):
     """Bucket members that the hub doesn't link are compared with each other, over several blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "REGISTER_BLOCK", 3)
     r, words = random.Random(2), vocabulary()
     base = sentences(r, words, 14)
     texts = [altered(r, base, words, 14) for _ in range(4)]
@@ -222,6 +232,19 @@ def test_rest_after_hubs_is_compared_in_blocks(spark, monkeypatch):
     assert got == brute_near(texts, 2)
 
 
+def test_near_repeated_ids_do_not_depend_on_order(spark):
+    """Rows (1, A), (1, C), (2, near C): id 1 has the links of both its texts, whatever the order of rows."""
+    r, words = random.Random(5), vocabulary()
+    a, c, e = (sentences(r, words, 8) for _ in range(3))
+    rows = [(1, a), (1, c), (2, c + " more"), (3, a.upper()), (4, e), (4, None), (7, c), (7, e)]
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 7: 1}
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = near_dedup.near_duplicates(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+        assert {x["doc_id"]: x["component_id"] for x in got} == want and len(got) == len(rows)
+        assert all(x["kept"] == (x["doc_id"] == 1) for x in got)
+
+
 def test_near_null_ids_repeated_rows_empty_table(spark):
     text = "one two three four five six seven"
     got = near_dedup.near_duplicates(frame(spark, [text, text, text, text], [None, 3, 3, 9])).collect()
@@ -245,5 +268,16 @@ def test_registers_estimate_similarity():
 
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
-    got = {x["id"]: x["component"] for x in cc.connected_components(chain).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+    for most in (cc.MAX_LOCAL_LINKS, 3):  # in one task, and by rounds
+        got = {x["id"]: x["component"] for x in cc.connected_components(chain, most).collect()}
+        assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_components_against_brute_force(spark, most):
+    r = random.Random(7)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)]
+    got = {x["id"]: x["component"] for x in cc.connected_components(spark.createDataFrame(links, "a bigint, b bigint").repartition(5), most).collect()}
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    want = components(range(400), links)
+    assert got == {i: want[i] for i in linked}

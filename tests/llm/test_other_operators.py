@@ -29,6 +29,53 @@ def test_words_equal_python_split():
     assert h[0] == h[1] and len(set(h.tolist())) == 4
 
 
+def test_chunks_do_not_change_words(monkeypatch):
+    """Words, their hashes and beginnings are the same however a text is cut, also a word longer than a chunk."""
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choice("abcXYZé") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 900))) for _ in range(12)]
+    texts += ["", "a" * 9000, "b " * 5 + "c" * 30_000 + " d " + "e" * 5000, " ", "x"]
+
+    def read():
+        out = []
+        for p in kernels.pieces(pa.array(texts)):
+            w, e = kernels.words(p), kernels.words(p, each=lambda c: np.stack([c.prefix(4), c.prefix(64)], 1))
+            assert (w.start == e.start).all() and (w.end == e.end).all()
+            out += [x.tolist() for x in (w.hash, e.extra, w.of_text)]
+        return out
+
+    whole = read()
+    monkeypatch.setattr(kernels, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(kernels, "LOOK_BACK", 100)
+    kernels._powers.cache_clear()
+    assert read() == whole
+    kernels._powers.cache_clear()
+
+
+@pytest.mark.parametrize("kind", ["toxicity", "quality", "near", "seeds"])
+def test_a_long_text_takes_bounded_memory(kind):
+    """A text of 24 MB: numpy and Arrow allocate some 8 bytes a byte at most (it was 41 before)."""
+    import tracemalloc
+
+    r = random.Random(0)
+    base = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) + r.choice(["", "", "."]) for _ in range(50_000))
+    size = 24_000_000
+    text = pa.array([(base * (size // len(base) + 1))[:size]])
+    model = toxicity.Model(-5.0, np.zeros(1 << toxicity.HASH_BITS, np.float32))
+    table = decontaminate.SeedTable([1], decontaminate._word_hashes(pa.array([base[:400]])))
+    kernels._powers()
+    work = {
+        "toxicity": lambda: [model.read(p) for p in kernels.pieces(text, lower=True)],
+        "quality": lambda: quality.text_features(text),
+        "near": lambda: list(kernels.shingle_sets(text, 5)),
+        "seeds": lambda: list(decontaminate._found(table, text, 12)),
+    }[kind]
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * size
+
+
 # decontamination
 
 
@@ -39,7 +86,7 @@ def brute_overlaps(texts, items, min_words=12):
         w = tok(t)
         for k, item in enumerate(items):
             b = tok(item)
-            if not b:
+            if len(b) < 5:
                 continue
             for d in range(-len(b) + 1, len(w)):
                 same = [w[d + j] == b[j] for j in range(len(b)) if 0 <= d + j < len(w)]
@@ -58,12 +105,12 @@ def brute_overlaps(texts, items, min_words=12):
 
 def test_overlaps_against_brute_force(spark):
     r, words = random.Random(4), vocabulary()
-    items = [" ".join(r.choice(words) for _ in range(n)) for n in (14, 20, 35, 60)] + ["tiny item here", "", None]
+    items = [" ".join(r.choice(words) for _ in range(n)) for n in (14, 20, 35, 60)] + ["tiny item of five words", "Yes.", "", None]
     texts = [sentences(r, words, 10) for _ in range(15)]
     for k, changes in ((0, 0), (1, 1), (2, 2), (3, 5)):
         texts[k] = texts[k] + " " + altered(r, items[k], words, changes).upper() + ", " + texts[k]
     texts[5] += " " + " ".join(items[3].split()[10:40])
-    texts[6] += " a Tiny item, here."
+    texts[6] += " a Tiny item, of FIVE words. Yes."
     texts += [None, "", "é" * 50_000]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = decontaminate.find_overlaps(frame(spark, texts), bench).collect()
@@ -74,6 +121,32 @@ def test_overlaps_against_brute_force(spark):
     assert {x["doc_id"] for x in kept.collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_short_items_with_a_substitution_against_brute_force(spark):
+    """The item at every length under the fixed masks' reach, with one word replaced at each place."""
+    r, words = random.Random(8), vocabulary(2000)
+    items = [" ".join(r.choice(words) for _ in range(n)) for n in range(3, 16)]
+    texts = []
+    for item in items:
+        parts = item.split()
+        for k in range(len(parts)):
+            texts.append(sentences(r, words, 2) + " " + " ".join([*parts[:k], "zzzz", *parts[k + 1 :]]) + " " + sentences(r, words, 2))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): x["n_matched"] for x in decontaminate.find_overlaps(frame(spark, texts), bench).collect()}
+    want = brute_overlaps(texts, items)
+    assert got == want and len(want) > 30
+
+
+def test_contaminated_rows_go_alone(spark):
+    """Null ids, and ids that a clean row repeats: only the contaminated row itself goes."""
+    r, words = random.Random(9), vocabulary()
+    item = " ".join(r.choice(words) for _ in range(30))
+    clean = sentences(r, words, 4)
+    texts = [item, clean, clean + " Yes.", item + " x", clean + " more", None]
+    bench = spark.createDataFrame([(1, item), (2, "Yes.")], "item_id bigint, text string")
+    kept = decontaminate.drop_contaminated(frame(spark, texts, [None, None, 3, 4, 4, None]), bench).collect()
+    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept) == sorted([(-1, clean), (3, texts[2]), (4, texts[4]), (-1, "")])
+
+
 def test_a_large_benchmark_is_processed_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_TABLE_ROWS", 100)
     r, words = random.Random(4), vocabulary()
