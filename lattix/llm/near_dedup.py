@@ -57,7 +57,7 @@ BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 #: Members of a block of step 5, by registers and by full sets, and bytes of sets in a block.
-REGISTER_BLOCK, BLOCK, BLOCK_BYTES = 1024, 256, 8 << 20
+REGISTER_BLOCK, BLOCK, BLOCK_BYTES = 512, 256, 8 << 20
 #: Ids (8 bytes each) that may be broadcast to pick rows out of the texts; beyond it the texts are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Rows of two or three numbers that may be broadcast.

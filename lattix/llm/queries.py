@@ -122,7 +122,7 @@ WITH sizes AS (
   SELECT s, CASE WHEN chars = 0 THEN 1.0 ELSE (w / sum(w) OVER ()) / (chars / sum(chars) OVER ()) END AS rate FROM sizes
 ), terms AS (
   SELECT s, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-  FROM rates, unnest(range(0, 80)) AS t(k)
+  FROM rates, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 31)::BIGINT)) AS t(k)
 ), cdf AS (
   SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms
 ), draws AS (

@@ -23,9 +23,12 @@ and a hot digest's rows are split by adaptive execution in the join that brings
 the keeper back.
 
 Edge cases: null and empty texts have no units.  Rows with a null id neither lose
-nor justify a removal.  Rows that repeat an id are one document: the second of two
-equal rows keeps its text.  Units without a letter or digit join no group, but do
-not break a run.  An empty table gives an empty result.
+nor justify a removal.  Rows that repeat an id are one document when occurrences are
+ranked, so the second of two equal rows keeps its text, but passages are only removed
+from the very text that they were found in.  Units without a letter or digit join no
+group, but do not break a run.  Whole texts are read, however long (up to 2 ** 30
+words and 2 ** 31 characters).  Other columns are kept as they are, whatever their names;
+ids must be integers.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,11 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_join, let
+from .common import let
 
 _UNITS = {"line": re.compile(r"[^\n]+"), "sentence": re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*|[.!?]+[^\S\n]*")}
 _GAPS = re.compile(r"[\W_]+")
-_SCHEMA = "id bigint, is_unit boolean, start_char int, end_char int, start_word int, end_word int, first_here boolean, high bigint, low bigint"
+#: Rows are packed, because all of them are shuffled: characters are start << 31 | end; words have, above
+#: start << 31 | end, a bit that tells units from spans and one for the first of equal units of a text.
+_SCHEMA = "id bigint, mark bigint, chars bigint, words bigint, high bigint, low bigint"
+_BITS, _UNIT, _FIRST = 31, 1 << 61, 1 << 62
 _BATCH = 50_000
 #: Words from which on a repeated passage is found wherever it begins; characters hashed at a time.
 PASSAGE_WORDS, _PIECE = 50, 1 << 18
@@ -136,6 +142,7 @@ def _spans(sums: list[np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray]
 
 def _rows_of(text: str, pattern: re.Pattern, min_words: int) -> list[np.ndarray]:
     """Columns of ``_SCHEMA`` but for the id: first the units that have words, then the chosen spans."""
+    pack = lambda a, b: a.astype(np.int64) << _BITS | b
     starts, ends, hashes = _words(text)
     bounds = np.array([m.span() for m in pattern.finditer(text)], np.int64).reshape(-1, 2)
     places = np.searchsorted(starts, bounds)
@@ -146,39 +153,34 @@ def _rows_of(text: str, pattern: re.Pattern, min_words: int) -> list[np.ndarray]
     here = np.zeros(len(first), bool)
     here[np.unique(digest[0], return_index=True)[1]] = True
     at, of_span = _spans(sums, min_words)
-    columns = [
-        (np.ones(len(first), bool), np.zeros(len(at), bool)),
-        (bounds[:, 0], starts[at]),
-        (bounds[:, 1], ends[at + min_words - 1]),
-        (first, at),
-        (end, at + min_words),
-        (here, np.ones(len(at), bool)),
-        *((u.view(np.int64), v.view(np.int64)) for u, v in zip(digest, of_span, strict=True)),
+    units = pack(first, end) | _UNIT | here * np.int64(_FIRST)
+    return [
+        np.concatenate([pack(bounds[:, 0], bounds[:, 1]), pack(starts[at], ends[at + min_words - 1])]),
+        np.concatenate([units, pack(at, at + min_words) | _FIRST]),
+        *(np.concatenate([u.view(np.int64), v.view(np.int64)]) for u, v in zip(digest, of_span, strict=True)),
     ]
-    return [np.concatenate(c) for c in columns]
 
 
 def _unit_rows(unit: str, min_words: int):
     pattern = _UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "is_unit", "start_char", "end_char", "start_word", "end_word", "first_here", "high", "low"]
-        kinds = [pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.bool_(), pa.int64(), pa.int64()]
+        names = ["id", "mark", "chars", "words", "high", "low"]
         out: list[list[np.ndarray]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns = [pa.array(np.concatenate(c)).cast(k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
             done = pa.RecordBatch.from_arrays(columns, names)
             out.clear()
             for k in range(0, done.num_rows, _BATCH):
                 yield done.slice(k, _BATCH)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 columns = _rows_of(text.as_py(), pattern, min_words)
                 n = len(columns[0])
-                out.append([np.full(n, doc_id, np.int64), *columns])
+                out.append([np.full(n, doc_id, np.int64), np.full(n, mark, np.int64), *columns])
                 held += n
                 if held >= _BATCH:
                     yield from flush()
@@ -190,8 +192,11 @@ def _unit_rows(unit: str, min_words: int):
 
 
 def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30) -> DataFrame:
-    """Rows of units and chosen spans."""
+    """Packed rows of units and chosen spans."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text != ''")
+    # tells apart different texts of one id; a constant where there are none, which takes no space in a shuffle
+    repeats = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
+    rows = rows.select("id", (F.xxhash64("text") if repeats else F.lit(0).cast("bigint")).alias("mark"), "text")
     return rows.mapInArrow(_unit_rows(unit, min_words), _SCHEMA)
 
 
@@ -200,12 +205,34 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Offsets count characters of the original text, the end is exclusive.  A run of spans alone has no units.
     """
+    return _marked_runs(docs, id_col, text_col, unit, min_words).drop("mark")
+
+
+def _marked_runs(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int) -> DataFrame:
+    """The runs with ``mark``: 0, or the hash of the text if some id has several rows."""
     units = text_units(docs, id_col, text_col, unit, min_words)
-    keepers = units.groupBy("high", "low").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = fresh_join(units, keepers, ["high", "low"]).filter("id != keeper or not first_here")
+    # the other key makes both sides of the join shuffle anew, so that adaptive execution can split hot digests
+    other = F.col("high").bitwiseXOR(F.lit(_ODD[0] >> 1)).alias("other")
+    keepers = units.groupBy("high", "low").agg(F.min("id").alias("keeper"), F.count("*").alias("n"))
+    keepers = keepers.filter("n > 1").select(other, "low", "keeper")
+    found = units.select("id", "mark", "chars", "words", other, "low").join(keepers, ["other", "low"])
+    mask = F.lit((1 << _BITS) - 1)
+    has = lambda bit: F.col("words").bitwiseAND(F.lit(bit)) != 0
+    start = lambda c: F.shiftright(c, _BITS).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")
+    end = lambda c: F.col(c).bitwiseAND(mask).cast("int")
+    found = found.filter((F.col("id") != F.col("keeper")) | ~has(_FIRST))
     place = ["start_word", "end_word", "is_unit", "start_char", "end_char", "keeper"]
-    repeats = found.select("id", *place)
-    by_place = Window.partitionBy("id").orderBy(*place)
+    repeats = found.select(
+        "id",
+        "mark",
+        start("words").alias("start_word"),
+        end("words").alias("end_word"),
+        has(_UNIT).alias("is_unit"),
+        F.shiftright("chars", _BITS).cast("int").alias("start_char"),
+        end("chars").alias("end_char"),
+        "keeper",
+    )
+    by_place = Window.partitionBy("id", "mark").orderBy(*place)
     # rows that repeat an id give a place twice
     is_new = ~F.coalesce(F.lag(F.struct(*place)).over(by_place) == F.struct(*place), F.lit(False))
     reached = F.max("end_word").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
@@ -213,7 +240,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = (
         repeats.withColumns({"begins": begins, "new_unit": F.col("is_unit") & is_new})
         .withColumn("run", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("id", "run")
+        .groupBy("id", "mark", "run")
         .agg(
             F.min("start_char").alias("start_char"),
             F.max("end_char").alias("end_char"),
@@ -223,7 +250,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         )
     )
     return runs.filter(F.col("n_words") >= min_words).select(
-        F.col("id").alias(id_col), "start_char", "end_char", "n_units", "n_words", F.col("keeper").alias(f"first_{id_col}")
+        F.col("id").alias(id_col), "mark", "start_char", "end_char", "n_units", "n_words", F.col("keeper").alias(f"first_{id_col}")
     )
 
 
@@ -238,8 +265,9 @@ def _without(text: Column, spans: Column) -> Column:
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30) -> DataFrame:
     """``docs``, same columns and rows, without the repeated runs."""
-    runs = repeated_passages(docs, id_col, text_col, unit, min_words)
-    spans = runs.groupBy(F.col(id_col).alias("__lx_id")).agg(F.collect_set(F.struct("start_char", "end_char")).alias("__lx_spans"))
-    joined = docs.join(spans, docs[id_col] == spans["__lx_id"], "left")
+    runs = _marked_runs(docs, id_col, text_col, unit, min_words)
+    spans = runs.groupBy(F.col(id_col).alias("__lx_id"), F.col("mark").alias("__lx_mark")).agg(F.collect_set(F.struct("start_char", "end_char")).alias("__lx_spans"))
+    same_text = (spans["__lx_mark"] == 0) | (spans["__lx_mark"] == F.xxhash64(docs[text_col].cast("string")))
+    joined = docs.join(spans, (docs[id_col] == spans["__lx_id"]) & same_text, "left")
     text = F.when(F.col("__lx_spans").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("__lx_spans")))
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

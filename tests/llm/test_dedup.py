@@ -176,6 +176,13 @@ def test_passages_in_rows_that_repeat_an_id(spark):
     assert tuple(got) == (2, 0, len(text), 6, 54, 1)
 
 
+def test_passages_go_only_from_the_text_they_repeat_in(spark):
+    text = " ".join(" ".join(f"word{k}x{n}" for k in range(9)) + "." for n in range(6))
+    other = " ".join(f"other{k}" for k in range(70))
+    got = substring_dedup.drop_repeated_passages(frame(spark, [text, text, other, None], [1, 2, 2, None])).collect()
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in got) == [(0, ""), (1, text), (2, ""), (2, other)]
+
+
 def test_units_without_words_do_not_break_a_run(spark):
     half = [" ".join(f"{c}{k}" for k in range(20)) + "." for c in "ab"]
     text = f"{half[0]}\n---\n{half[1]}"

@@ -172,11 +172,15 @@ def test_masks_survive_substitutions():
 # licences
 
 
-def test_licences_against_brute_force(spark):
+@pytest.mark.parametrize("inline", [10_000, 0])
+def test_licences_against_brute_force(spark, monkeypatch, inline):
+    """Templates in one row, and joined by keys; a notice cut in the middle by 300 words counts whole."""
+    monkeypatch.setattr(license_scan, "MAX_INLINE_KEYS", inline)
     r, words = random.Random(6), vocabulary()
     names = sorted(license_scan.TEMPLATES)
     texts = [sentences(r, words, 5) + " " + license_scan.TEMPLATES[n].upper() + "\n" + sentences(r, words, 5) for n in names]
     long = license_scan.TEMPLATES["gpl-3.0-header"].split()
+    texts += [" ".join(long[:20]) + " " + sentences(r, words, 60) + " " + " ".join(long[20:])]
     texts += [" ".join(long[:20] + ["really"] + long[20:]), " ".join(long[3:]), " ".join(long[12:]), sentences(r, words, 9), None, "", "x " * 40_000]
     tok = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).split()
     sh = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
