@@ -14,8 +14,10 @@ def factor(n: int) -> tuple[int, int]:
     return n // q, q
 
 
-def tile_shape(m: int, n: int, processes: int, policy: str = "square") -> tuple[int, int]:
-    """Rows and columns of a tile: one band of rows or columns a process, or a grid of processes."""
+def tile_shape(m: int, n: int, processes: int, policy: str | tuple[int, int] = "square") -> tuple[int, int]:
+    """Rows and columns of a tile: one band of rows or columns a process, a grid of processes, or the given shape, clamped to the matrix."""
+    if not isinstance(policy, str):
+        return min(policy[0], m), min(policy[1], n)
     if policy == "row":
         return -(-m // processes), n
     if policy == "column":

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -14,6 +16,8 @@ class Registry:
     """Functions of one provider.  ``native`` ones build Columns; ``remote`` ones run in Python on Arrow batches."""
 
     provider: str = "default"
+    #: Scheduler pool in which the provider's actions run.
+    pool: str | None = None
     _native: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = field(default_factory=dict)
     _remote: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = field(default_factory=dict)
 
@@ -31,6 +35,16 @@ class Registry:
             raise TypeError(f"{self.provider}.{name} takes {len(types)} arguments, not {len(args)}")
         return fn(*[a.cast(t) for a, t in zip(args, types, strict=True)])
 
+    def run(self, spark: SparkSession, action: Callable):
+        """An action in the provider's own pool."""
+        context = spark.sparkContext
+        before = context.getLocalProperty("spark.scheduler.pool")
+        context.setLocalProperty("spark.scheduler.pool", self.pool)
+        try:
+            return action()
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", before)
+
     def publish(self, spark: SparkSession) -> None:
         """Make the remote functions callable from SQL as <provider>_<name>."""
         for name, (_, fn) in self._remote.items():
@@ -42,6 +56,41 @@ def call_on_host(df: DataFrame, host: str, fn: Callable, schema: str) -> DataFra
     return df.repartition(host).mapInArrow(fn, schema)
 
 
+def timed(spark: SparkSession, seconds: float, action: Callable):
+    """The action's result, or ``TimeoutError`` once it takes longer: its jobs are then cancelled."""
+    context, tag = spark.sparkContext, f"timed-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the call took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
+def table_function(spark: SparkSession, name: str, fn: Callable[..., Iterator[tuple]], returns: str):
+    """A generator as a table function: callable here with Columns, and from SQL (LATERAL too) by its name."""
+
+    class Rows:
+        def eval(self, *args):
+            yield from fn(*args)
+
+    made = F.udtf(Rows, returnType=returns)
+    spark.udtf.register(name, made)
+    return made
+
+
 def notify(df: DataFrame, fn: Callable) -> None:
     """A call without an answer: ``fn`` gets each partition's rows."""
     df.foreachPartition(fn)

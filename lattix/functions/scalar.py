@@ -53,6 +53,35 @@ def csv_cells(line: Column) -> Column:
     return F.split(line, ",", -1)
 
 
+def bulk_prefix(text: Column, local: Column, remote: Column) -> Column:
+    """What a bulk transfer moves of an ASCII text: as many bytes as the smaller of both buffers has."""
+    return F.left(text, F.least(local, remote))
+
+
+def djb2(text: Column) -> Column:
+    """64-bit djb2 over the UTF-8 bytes (h = 33 h + byte from 5381), as an unsigned number in decimal text."""
+    low = F.lit((1 << 32) - 1)
+    digits = F.hex(F.encode(text, "UTF-8"))
+    bytes_ = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, 2), 16, 10).cast("bigint"))
+    start = F.struct(F.lit(0).cast("bigint").alias("hi"), F.lit(5381).cast("bigint").alias("lo"))
+
+    def step(h: Column, b: Column) -> Column:
+        lo = h["lo"] * 33 + b
+        return F.struct((h["hi"] * 33 + F.shiftright(lo, 32)).bitwiseAND(low).alias("hi"), lo.bitwiseAND(low).alias("lo"))
+
+    join = lambda h: F.conv(F.hex(F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"])), 16, 10)
+    return F.aggregate(F.when(F.length(digits) > 0, bytes_).otherwise(F.array().cast("array<bigint>")), start, step, join)
+
+
+def multiply_hash(key: Column) -> Column:
+    return key * 107
+
+
+def xor_hash(values: Column) -> Column:
+    """First value, XORed with itself for each further one: 0 for an even number of values, else the first."""
+    return F.when(F.size(values) % 2 == 0, F.lit(0)).otherwise(F.get(values, F.lit(0)))
+
+
 def prefix(text: Column, n: int) -> Column:
     """What a bulk pull of ``n`` bytes leaves of an ASCII text."""
     return F.left(text, F.lit(n))

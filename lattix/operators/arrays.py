@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattix.plans.lineage import durable
+
 
 def _checked(index: Column, n: int) -> Column:
     """The index, or an error if it lies outside [0, n)."""
@@ -18,8 +21,8 @@ def put(array: DataFrame, writes: DataFrame, n: int) -> DataFrame:
 
 
 def get(array: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Values at the places of ``wanted`` (idx)."""
-    return wanted.select(_checked(F.col("idx"), n).alias("idx")).join(array, "idx")
+    """Values at the places of ``wanted`` (idx, and any other columns)."""
+    return wanted.withColumn("idx", _checked(F.col("idx"), n)).join(array, "idx")
 
 
 def get_range(array: DataFrame, start: int, stop: int, n: int) -> DataFrame:
@@ -41,10 +44,39 @@ def interleaved(*arrays: str) -> Column:
 
 def shuffled(df: DataFrame, key: str, seed: int, by: list[str] | None = None) -> DataFrame:
     """A repeatable random order, as a rank: the order in which a thief visits victims."""
-    w = Window.partitionBy(*(by or [])).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    w = Window.partitionBy(*(by or [])).orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"))), key)
     return df.withColumn("visit", F.row_number().over(w) - 1)
 
 
+def global_positions(df: DataFrame, key: Column, out: str = "pos") -> DataFrame:
+    """Place of each row in the order of ``key``, which must tell rows apart: a sort by ranges, then each range's offset."""
+    placed = durable(df.withColumn("_key", key).orderBy("_key").withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1
+    return placed.join(F.broadcast(before), "_part").withColumn(out, (inside + F.col("_before")).cast("int")).drop("_key", "_part", "_before")
+
+
+def preview(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in ``order``: each task keeps ``n``."""
+    return df.orderBy(*order).limit(n)
+
+
+def inversions(df: DataFrame, host: str, value: str) -> DataFrame:
+    """Rows of each host, and how many stand before a smaller one of the host in the frame's own order."""
+
+    def count(batches):
+        held = None
+        for x in batches:
+            h, v = x.column(0).to_pylist(), x.column(1).to_pylist()
+            worse = [int(held is not None and held[0] == a and held[1] > b) if k == 0 else int(h[k - 1] == a and v[k - 1] > b) for k, (a, b) in enumerate(zip(h, v, strict=True))]
+            held = (h[-1], v[-1]) if h else held
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(worse, pa.int64())], [host, "worse"])
+
+    rows = df.select(host, value).mapInArrow(count, f"{host} {df.schema[host].dataType.simpleString()}, worse bigint")
+    return rows.groupBy(host).agg(F.count("*").alias("n"), F.sum("worse").alias("inversions"))
+
+
 def row_slices(df: DataFrame, row: str, n_rows: int, ranks: int, truncate: bool = False) -> DataFrame:
     """Rank of each row's slice; ``truncate`` drops the rows that do not fill equal slices."""
     size = n_rows // ranks if truncate else -(-n_rows // ranks)

@@ -85,9 +85,26 @@ def split_world(rank: Column, n_ranks: int, parts: int) -> Column:
     return F.floor(rank / -(-n_ranks // parts))
 
 
-def cap_moves(candidates: DataFrame, rank: str, order: list[str], queue_size: Column, cap: int = 1) -> DataFrame:
-    """Tasks that may move now: at most ``cap`` a rank, from queues of two tasks or more."""
+def cap_moves(
+    candidates: DataFrame,
+    rank: str,
+    order: list[str],
+    queue_size: Column,
+    cap: int = 1,
+    exchanged: Column | None = None,
+    chosen: DataFrame | None = None,
+    task: str | None = None,
+) -> DataFrame:
+    """Tasks that may move now: at most ``cap`` a rank, from queues of two tasks or more.
+
+    ``exchanged`` tells ranks whose loads have been exchanged since the last decision (others
+    wait); ``chosen`` (task, to_rank), if given, are the only tasks that may move, and where.
+    """
     w = Window.partitionBy(rank).orderBy(*order)
+    if exchanged is not None:
+        candidates = candidates.filter(exchanged)
+    if chosen is not None:
+        candidates = candidates.join(chosen, task)
     return candidates.filter(queue_size >= 2).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
 
 

@@ -45,7 +45,14 @@ def life3d_step(alive: DataFrame, depth: int, height: int) -> DataFrame:
     return counts.filter((F.col("near") == 3) | ((F.col("near") == 2) & (F.col("self") == 1))).select("x", "y", "z")
 
 
-def board_text(alive: DataFrame, columns: int, live: str = "1", dead: str = "0") -> DataFrame:
-    """One line of text a board row that has a live cell."""
+def alive_per_block(alive: DataFrame, axis: str, size: int) -> DataFrame:
+    """Live cells of each block of ``size`` planes along an axis (blocks without any are left out)."""
+    return alive.groupBy(F.floor(F.col(axis) / size).alias("block")).agg(F.count("*").alias("alive"))
+
+
+def board_text(alive: DataFrame, rows: int, columns: int, live: str = "1", dead: str = "0") -> DataFrame:
+    """One line of text for each of the board's rows."""
     cells = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.when(F.array_contains("_on", c.cast("bigint")), live).otherwise(dead))
-    return alive.groupBy("row").agg(F.collect_set(F.col("col").cast("bigint")).alias("_on")).select("row", F.array_join(cells, "").alias("line"))
+    found = alive.groupBy("row").agg(F.collect_set(F.col("col").cast("bigint")).alias("_on"))
+    every = alive.sparkSession.range(rows).withColumnRenamed("id", "row").join(found, "row", "left")
+    return every.withColumn("_on", F.coalesce("_on", F.array().cast("array<bigint>"))).select("row", F.array_join(cells, "").alias("line"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lattix.plans.lineage import durable
 
+#: Rounds of a DAG's levels between two checkpoints.
+STEPS = 4
 #: Centroids are a parameter of the model, not of the data: this bounds what is broadcast.
 MAX_CENTROIDS = 10_000
 
@@ -39,6 +41,28 @@ def kmeans(points: DataFrame, order: str, clusters: int, passes: int) -> DataFra
     return centroids
 
 
+def dag_levels(edges: DataFrame) -> DataFrame:
+    """Topological level of each node of ``edges`` (a before b): one more than its highest predecessor, 0 without any.
+
+    Each round keeps one row a node, so paths aren't enumerated; a cycle is an error, as
+    levels would exceed the number of nodes.
+    """
+    edges = durable(edges.select("a", "b").distinct())
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    levels = durable(nodes.withColumn("level", F.lit(0)))
+    most = levels.count()
+    for _ in range(0, most + 1, STEPS):
+        new = levels
+        for _ in range(STEPS):
+            pushed = edges.join(new.select(F.col("node").alias("a"), "level"), "a").groupBy(F.col("b").alias("node")).agg((F.max("level") + 1).alias("least"))
+            new = new.select("node", F.col("level").alias("was")).join(pushed, "node", "left").select("node", "was", F.coalesce("least", F.lit(0)).alias("level"))
+        new = durable(new)
+        levels = new.select("node", "level")
+        if new.filter("level != was").limit(1).count() == 0:
+            return levels
+    raise ValueError("the edges have a cycle")
+
+
 def barrier_payoff(normals: Column, strike: float, barrier: float, start: float, sigma: float, mu: float, rate: float, dt: float, years: float) -> Column:
     """Discounted payoff of a down-and-out call along one path of normals; the path stops once it touches the barrier."""
     zero = F.lit(float(start))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattix.operators.ordered import sums_before
+
 
 def upsert_last(writes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The table after all writes in ``order``: the last write of each key wins.
@@ -51,8 +54,81 @@ def find_or_insert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def fetch_add(df: DataFrame, cell: list[str], order: list[str], amount: Column, out: str = "before") -> DataFrame:
     """Value that each fetch-and-add sees: the sum of the cell's earlier amounts, 0 for the first."""
+    return sums_before(df, cell, order, amount, out)
+
+
+def fetch_before(df: DataFrame, cell: list[str], order: list[str], **aggregates: Column) -> DataFrame:
+    """Value that each fetch-and-op sees: the aggregate (bit_or, bit_xor, bit_and, min, ..) of the cell's earlier operands, null for the first."""
     w = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(amount).over(w), F.lit(0)))
+    return df.withColumns({n: a.over(w) for n, a in aggregates.items()})
+
+
+def compare_and_swap(df: DataFrame, cell: str, order: str, expected: str, new: str, start: int = 0) -> DataFrame:
+    """Outcome of each attempt to swap a cell's value: (cell, order, seen, swapped), in ``order``.
+
+    Each outcome depends on the one before it, so a cell's attempts are one group.
+    """
+
+    def play(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        value, seen, swapped = start, [], []
+        for old, to in zip(t.column(expected).to_pylist(), t.column(new).to_pylist(), strict=True):
+            seen.append(value)
+            swapped.append(value == old)
+            value = to if swapped[-1] else value
+        return pa.table({cell: t.column(cell), order: t.column(order), "seen": pa.array(seen, pa.int64()), "swapped": pa.array(swapped, pa.bool_())})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(cell, order, expected, new).groupBy(cell).applyInArrow(play, f"{cell} {kinds[cell]}, {order} {kinds[order]}, seen bigint, swapped boolean")
+
+
+def insert_bounded(df: DataFrame, host: str, order: str, key: str, capacity: int) -> DataFrame:
+    """Inserts into each host's table of ``capacity`` slots: (host, order, key, slot, accepted).
+
+    A key probes the slots key + p * p, so an insert may fail before the table is full; a
+    key that is there already keeps its slot.  A slot depends on all earlier inserts, so a
+    host's table is one group, of which ``capacity`` entries are held.
+    """
+
+    def play(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        table: dict[int, int] = {}
+        slots = []
+        for k in t.column(key).to_pylist():
+            found = next((s for p in range(capacity) if table.get(s := (k + p * p) % capacity, k) == k), None)
+            if found is not None:
+                table[found] = k
+            slots.append(found)
+        return pa.table({host: t.column(host), order: t.column(order), key: t.column(key), "slot": pa.array(slots, pa.int32()), "accepted": pa.array([s is not None for s in slots])})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(host, order, key).groupBy(host).applyInArrow(play, f"{host} {kinds[host]}, {order} {kinds[order]}, {key} {kinds[key]}, slot int, accepted boolean")
+
+
+def segment(slot: Column, slots: int, hosts: int) -> Column:
+    """Host that holds a slot when the table is cut into equal segments."""
+    return F.floor(slot / -(-slots // hosts))
+
+
+def insert_local(df: DataFrame, host: str, slot: Column, slots: int, hosts: int) -> DataFrame:
+    """Inserts that a host may do in its own segment: ``accepted`` is false where the slot lies elsewhere."""
+    return df.withColumn("accepted", segment(slot, slots, hosts) == F.col(host))
+
+
+def iterate(df: DataFrame, key: str, host: Column) -> DataFrame:
+    """Local iteration: entries, first and last key of each host's part."""
+    return df.groupBy(host.alias("host")).agg(F.count("*").alias("entries"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+
+
+def reference(probe: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """``m[k]``: the store's values, null where the key is absent."""
+    return probe.join(store, key, "left")
+
+
+def lookup_entries(args: DataFrame, entries: DataFrame, target: str) -> DataFrame:
+    """Host entries of the targets that tasks name as arguments; a target without one is an error."""
+    got = args.join(entries.withColumn("_there", F.lit(True)), target, "left")
+    return got.filter(F.when(F.col("_there"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no entry for "), F.col(target).cast("string"))).cast("boolean"))).drop("_there")
 
 
 def fetch_bits(df: DataFrame, cell: list[str], value: Column) -> DataFrame:
@@ -61,10 +137,12 @@ def fetch_bits(df: DataFrame, cell: list[str], value: Column) -> DataFrame:
 
 
 def bloom_shape(n: int, p: float = 0.01, hosts: int = 1) -> tuple[int, int]:
-    """(bits set an element, buckets of 64 bits) for ``n`` elements and false-positive rate ``p``."""
+    """(bits set an element, buckets of 64 bits) for ``n`` elements and false-positive rate ``p`` (below 1)."""
     k = max(1, round(math.log2(1 / p)))
-    per_element = -math.log(p) / math.log(2) ** 2
-    buckets = max(1, round(n / (64 / per_element)))
+    per_element = math.log2(1 / p) / math.log(2)
+    # a block of one word holds fewer elements than a filter of independent bits: by a factor of -ln p
+    per_bucket = 64 / per_element / math.log(1 / p)
+    buckets = max(1, round(n / per_bucket))
     return k, -(-buckets // hosts) * hosts
 
 
@@ -90,7 +168,25 @@ def bloom_probe(df: DataFrame, bloom: DataFrame, key: str, k: int, buckets: int)
     return hit.filter(F.col("word").bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("bucket", "_mask", "word")
 
 
+def bloom_insert_flags(df: DataFrame, key: str, order: list[str], k: int, buckets: int) -> DataFrame:
+    """Each insert's ``maybe_present``: whether all its bits were set by earlier inserts."""
+    bucket, mask = _slot(F.col(key), k, buckets)
+    w = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumns({"_bucket": bucket, "_mask": mask}).withColumn("_set", F.coalesce(F.bit_or("_mask").over(w), F.lit(0).cast("bigint")))
+    return rows.withColumn("maybe_present", F.col("_set").bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("_bucket", "_mask", "_set")
+
+
+#: Words (8 bytes, and as much for their numbers) of a filter that may be broadcast.
+MAX_BROADCAST_WORDS = 1_000_000
+
+
 def bloom_semi_join(df: DataFrame, members: DataFrame, key: str, n: int, p: float = 0.01) -> DataFrame:
-    """Exact semi join behind a Bloom filter that drops most non-members first."""
+    """Exact semi join behind a Bloom filter that drops most non-members before the shuffle.
+
+    The filter is broadcast, as its size follows from ``n``; where it would be too large, a
+    plain semi join shuffles the probe side once.
+    """
     k, buckets = bloom_shape(n, p)
-    return present(bloom_probe(df, bloom_build(members, key, k, buckets), key, k, buckets), members, key)
+    if buckets > MAX_BROADCAST_WORDS:
+        return present(df, members, key)
+    return present(bloom_probe(df, F.broadcast(bloom_build(members, key, k, buckets)), key, k, buckets), members, key)

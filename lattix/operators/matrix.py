@@ -88,8 +88,29 @@ def assign_tile(m: DataFrame, new: DataFrame, bi: int, bj: int) -> DataFrame:
     return m.filter(~((F.col("bi") == bi) & (F.col("bj") == bj))).unionByName(new)
 
 
-def binary(a: DataFrame, b: DataFrame, fn: Callable[[Column, Column], Column], how: str = "inner") -> DataFrame:
-    """Cell by cell; ``how="full"`` for sparse matrices, whose absent cells count as 0."""
+def same_shape(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+    if a != b:
+        raise ValueError(f"shapes differ: {a} and {b}")
+    return a
+
+
+def ieee_divide(a: Column, b: Column) -> Column:
+    """Quotient of doubles; by zero it is infinite, or not a number for 0 / 0."""
+    a, b = a.cast("double"), b.cast("double")
+    infinite = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    return F.when(b != 0, F.try_divide(a, b)).otherwise(infinite)
+
+
+def binary(
+    a: DataFrame,
+    b: DataFrame,
+    fn: Callable[[Column, Column], Column],
+    how: str = "inner",
+    shapes: tuple[tuple[int, int], tuple[int, int]] | None = None,
+) -> DataFrame:
+    """Cell by cell; ``how="full"`` for sparse matrices, whose absent cells count as 0.  Given ``shapes`` must be equal."""
+    if shapes is not None:
+        same_shape(*shapes)
     x = a.select("i", "j", F.col("v").alias("_a"))
     y = b.select("i", "j", F.col("v").alias("_b"))
     both = x.join(y, ["i", "j"], how)
@@ -109,9 +130,23 @@ def shifted(m: DataFrame, di: int, dj: int) -> DataFrame:
     return m.select((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), "v")
 
 
-def gemm(a: DataFrame, b: DataFrame, semiring: str = "plus_times", c: DataFrame | None = None) -> DataFrame:
-    """A times B over a semiring, added to C if given."""
-    times, plus = SEMIRINGS[semiring]
+Semiring = tuple[Callable[[Column, Column], Column], Callable[[Column], Column]]
+
+
+def gemm(
+    a: DataFrame,
+    b: DataFrame,
+    semiring: str | Semiring = "plus_times",
+    c: DataFrame | None = None,
+    shapes: tuple[tuple[int, int], tuple[int, int]] | None = None,
+) -> DataFrame:
+    """A times B over a named semiring or one given as (multiply, add), added to C if given.
+
+    ``add`` is an aggregate function.  Given ``shapes`` must have equal inner dimensions.
+    """
+    if shapes is not None:
+        product_shape(*shapes)
+    times, plus = SEMIRINGS[semiring] if isinstance(semiring, str) else semiring
     x = a.select("i", F.col("j").alias("k"), F.col("v").alias("_a"))
     y = b.select(F.col("i").alias("k"), "j", F.col("v").alias("_b"))
     cells = x.join(y, "k").select("i", "j", times(F.col("_a"), F.col("_b")).alias("v"))
@@ -134,6 +169,22 @@ def product_shape(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
     return a[0], b[1]
 
 
+def complementary_shape(a: tuple[int, int], product: tuple[int, int]) -> tuple[int, int]:
+    """Shape of B for A (m x k) and A B (m x n)."""
+    if a[0] != product[0]:
+        raise ValueError(f"rows differ: {a} and {product}")
+    return a[1], product[1]
+
+
+def tile_row(m: DataFrame, tm: int, i: int) -> DataFrame:
+    """Row ``i`` with the tile row that holds it as a predicate, which prunes files."""
+    return m.filter((F.col("bi") == i // tm) & (F.col("i") == i))
+
+
+def element(m: DataFrame, tm: int, tn: int, i: int, j: int) -> DataFrame:
+    return m.filter((F.col("bi") == i // tm) & (F.col("bj") == j // tn) & (F.col("i") == i) & (F.col("j") == j))
+
+
 def stats(m: DataFrame) -> DataFrame:
     return m.agg(F.count("*").alias("nnz"), F.sum("v").alias("sum_values"), F.sum("j").alias("sum_indices"))
 

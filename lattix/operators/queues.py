@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattix.operators.ordered import positions
+
 
 def fifo(df: DataFrame, host: str, order: list[str], out: str = "pos") -> DataFrame:
-    """Position of each row in its host's queue, from 0."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(host).orderBy(*order)) - 1)
+    """Position of each row in its host's queue, from 0, by ranges of the first order column."""
+    return positions(df, [host], order, out)
 
 
 def push_bounded(df: DataFrame, host: str, order: list[str], capacity: int) -> DataFrame:
@@ -27,7 +29,7 @@ def pop_first(df: DataFrame, host: str, order: list[str], n: int) -> DataFrame:
 
 def pop_batch(df: DataFrame, host: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each queue that holds at least ``n``; nothing of shorter ones."""
-    sized = fifo(df, host, order).withColumn("_size", F.count("*").over(Window.partitionBy(host)))
+    sized = positions(df, [host], order, "pos", "_size")
     return sized.filter((F.col("_size") >= n) & (F.col("pos") < n)).drop("_size")
 
 
@@ -36,10 +38,34 @@ def size_after(df: DataFrame, host: str, pushed: Column, popped: Column) -> Data
     return df.groupBy(host).agg((F.count(F.when(pushed, 1)) - F.count(F.when(popped, 1))).alias("size"))
 
 
-def snapshot(df: DataFrame, host: str, order: str, value: str) -> DataFrame:
-    """Each queue as one array, in order (for queues that fit a row)."""
-    rows = F.array_sort(F.collect_list(F.struct(order, value)))
-    return df.groupBy(host).agg(F.transform(rows, lambda s: s[value]).alias("items"))
+def snapshot(df: DataFrame, host: str, order: str, value: str, popped: Column | None = None) -> DataFrame:
+    """Each queue as one array, in order (for queues that fit a row).
+
+    ``popped`` tells rows that have left the queue: a queue whose head has moved can't be
+    taken as an array, so its items are null and ``refused`` is true.
+    """
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
+    if popped is None:
+        return df.groupBy(host).agg(rows.alias("items"))
+    taken = df.groupBy(host).agg(rows.alias("_items"), F.bool_or(F.coalesce(popped, F.lit(False))).alias("refused"))
+    return taken.select(host, F.when(~F.col("refused"), F.col("_items")).alias("items"), "refused")
+
+
+def resize(df: DataFrame, host: str, order: list[str], capacity: int) -> DataFrame:
+    """The queues in rings of another capacity: each row's slot, in the old order; rows beyond it do not fit."""
+    sized = positions(df, [host], order, "pos", "_size")
+    return sized.withColumns({"slot": F.when(F.col("pos") < capacity, F.col("pos")), "fits": F.col("_size") <= capacity}).drop("_size")
+
+
+def phases(ops: DataFrame, phase: str, pushes: Column, pops: Column) -> DataFrame:
+    """Pushes and pops of each phase between two barriers, and whether it keeps to one kind, as a phased queue must."""
+    counts = ops.groupBy(phase).agg(F.count_if(pushes).alias("pushes"), F.count_if(pops).alias("pops"))
+    return counts.withColumn("valid", (F.col("pushes") == 0) | (F.col("pops") == 0))
+
+
+def push_in_rounds(df: DataFrame, host: str, order: list[str], capacity: int) -> DataFrame:
+    """Buffered pushes to queues of ``capacity`` that are drained between rounds: refused rows try again, in their order."""
+    return fifo(df, host, order).withColumn("round", F.floor(F.col("pos") / capacity).cast("int"))
 
 
 def migrate(df: DataFrame, host: str, source: int, target: int) -> DataFrame:
@@ -71,13 +97,19 @@ def topology(ranks: DataFrame, rank: str, ranks_per_server: int, n_ranks: Column
     )
 
 
-def checksummed(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumn("_checksum", F.xxhash64(*columns))
+def _checksum(columns: list[str], wrap: Column | None) -> Column:
+    plain = F.xxhash64(*columns)
+    return plain if wrap is None else F.when(wrap % 2 == 1, F.bitwise_not(plain)).otherwise(plain)
+
+
+def checksummed(df: DataFrame, columns: list[str], wrap: Column | None = None) -> DataFrame:
+    """With the checksum of ``columns``; on odd turns (``wrap``) of a ring it is complemented, so that an old value isn't taken for a new one."""
+    return df.withColumn("_checksum", _checksum(columns, wrap))
 
 
-def valid(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose payload still has its checksum."""
-    return df.filter(F.col("_checksum") == F.xxhash64(*columns)).drop("_checksum")
+def valid(df: DataFrame, columns: list[str], wrap: Column | None = None) -> DataFrame:
+    """Rows whose payload still has its checksum, of the turn that is read."""
+    return df.filter(F.col("_checksum") == _checksum(columns, wrap)).drop("_checksum")
 
 
 def steal(df: DataFrame, host: str, order: list[str], share: float = 0.5) -> DataFrame:
@@ -86,8 +118,7 @@ def steal(df: DataFrame, host: str, order: list[str], share: float = 0.5) -> Dat
     The thief compares its count with ``share`` of a queue that shrinks by each
     theft, so of s rows it takes ceil(s * share / (1 + share)): a third for one half.
     """
-    w = Window.partitionBy(host)
-    sized = fifo(df, host, order).withColumn("victim_size", F.count("*").over(w))
+    sized = positions(df, [host], order, "pos", "victim_size")
     return sized.filter(F.col("pos") < F.ceil(F.col("victim_size") * share / (1 + share)))
 
 
@@ -99,7 +130,12 @@ def schedule(df: DataFrame, host: str, kind: str, order: str) -> DataFrame:
     """Execution rank of each task on its host, from 0: by class, first in first out, replicated local last in first out."""
     prio = F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv])[F.col(kind)]
     place = F.when(F.col(kind) == "replicated_local", -F.col(order)).otherwise(F.col(order))
-    return df.withColumn("priority", prio).withColumn("rank", F.row_number().over(Window.partitionBy(host).orderBy("priority", place)) - 1)
+    placed = df.withColumns({"priority": prio, "_place": place})
+    # each class is a group of its own, which comes after the more urgent ones
+    ranked = positions(placed, [host, "priority"], ["_place"], "_rank")
+    sizes = placed.groupBy(host, "priority").agg(F.count("*").alias("_n"))
+    before = sizes.select(host, "priority", (F.sum("_n").over(Window.partitionBy(host).orderBy("priority")) - F.col("_n")).alias("_urgent"))
+    return ranked.join(before, [host, "priority"]).withColumn("rank", (F.col("_rank") + F.col("_urgent")).cast("int")).drop("_place", "_rank", "_urgent")
 
 
 def encode_task(owner: Column, index: Column) -> Column:

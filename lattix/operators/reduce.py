@@ -36,6 +36,20 @@ def rates(df: DataFrame, size: Column, seconds: Column, by: list[str]) -> DataFr
     return timed.groupBy(*by).agg(F.count("*").alias("samples"), (F.sum(size) / (1e6 * F.sum(seconds))).alias("mb_per_s"))
 
 
+def task_rates(df: DataFrame, seconds: Column, by: list[str]) -> DataFrame:
+    """Tasks a second of each group (null without any duration)."""
+    return df.groupBy(*by).agg(F.count("*").alias("tasks"), F.try_divide(F.count("*"), F.sum(seconds)).alias("tasks_per_s"))
+
+
+def shares(df: DataFrame, elapsed: Column, by: list[str], **parts: Column) -> DataFrame:
+    """Percentage of the elapsed time that each part takes."""
+    return df.groupBy(*by).agg(*[(100 * F.try_divide(F.sum(c), F.sum(elapsed))).alias(n) for n, c in parts.items()])
+
+
+def speed_up(df: DataFrame, without: Column, with_: Column, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.try_divide(F.sum(without), F.sum(with_)).alias("speed_up"))
+
+
 def histogram(df: DataFrame, worker: str) -> DataFrame:
     """Tasks of each worker and its share of all."""
     counts = df.groupBy(worker).agg(F.count("*").alias("tasks"))

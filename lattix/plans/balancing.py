@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattix.operators import balance
+from lattix.operators import arrays, balance
 from lattix.plans.lineage import table
 from lattix.plans.registry import query
 
@@ -93,12 +93,27 @@ def replication_round_robin(spark, sf):
     return balance.round_robin(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", ["o_orderkey"], 3)
 
 
-@query("SELECT count(*) AS ranks, count(DISTINCT rank) AS distinct_visits, 0 AS lowest FROM (SELECT DISTINCT l_suppkey % 8 AS rank FROM lineitem)")
+@query(f"SELECT rank, (row_number() OVER (ORDER BY md5('3:' || rank), rank) - 1)::INT AS visit FROM ({_LOADS})")
 def victim_order(spark, sf):
-    from lattix.operators import arrays
+    return arrays.shuffled(_loads(spark, sf), "rank", seed=3).select("rank", "visit")
 
-    visits = arrays.shuffled(_loads(spark, sf), "rank", seed=3)
-    return visits.agg(F.count("*").alias("ranks"), F.count_distinct("visit").alias("distinct_visits"), F.min("visit").alias("lowest"))
+
+@query(
+    """SELECT l_suppkey, l_orderkey, l_linenumber, to_rank FROM (
+         SELECT *, (l_orderkey + 1) % 8 AS to_rank, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS k FROM (
+           SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS q FROM lineitem) WHERE q >= 2 AND l_suppkey % 3 <> 0 AND l_orderkey % 5 = 0)
+       WHERE k <= 2"""
+)
+def migration_guard_chosen(spark, sf):
+    """At most two tasks a rank, from ranks whose loads were exchanged, of the tasks that the user chose."""
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    sizes = lines.groupBy("l_suppkey").agg(F.count("*").alias("q"))
+    chosen = lines.filter("l_orderkey % 5 = 0").select("l_orderkey", ((F.col("l_orderkey") + 1) % 8).alias("to_rank")).distinct()
+    got = balance.cap_moves(
+        lines.join(sizes, "l_suppkey"), "l_suppkey", ["l_orderkey", "l_linenumber"], F.col("q"), cap=2,
+        exchanged=F.col("l_suppkey") % 3 != 0, chosen=chosen, task="l_orderkey",
+    )
+    return got.select("l_suppkey", "l_orderkey", "l_linenumber", "to_rank")
 
 
 @query(

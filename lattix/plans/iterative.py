@@ -50,11 +50,16 @@ def life3d_yz(spark, sf):
     return grid.life3d_step(cells.select("x", "y", "z"), 16, 32)
 
 
+@query(f"SELECT row // 16 AS block, count(*) AS alive FROM ({_CELLS}) GROUP BY 1")
+def life_block_counts(spark, sf):
+    return grid.alive_per_block(_board(spark, sf), "row", 16)
+
+
 @query(
-    f"WITH g AS ({_CELLS}), r AS (SELECT DISTINCT row, unnest(range(64)) AS c FROM g) SELECT r.row, string_agg(CASE WHEN g.col IS NULL THEN '0' ELSE '1' END, '' ORDER BY c) AS line FROM r LEFT JOIN g ON g.row = r.row AND g.col = c GROUP BY r.row"
+    f"WITH g AS ({_CELLS}), r AS (SELECT r.range AS row, c.range AS c FROM range(64) r, range(64) c) SELECT r.row, string_agg(CASE WHEN g.col IS NULL THEN '0' ELSE '1' END, '' ORDER BY c) AS line FROM r LEFT JOIN g ON g.row = r.row AND g.col = c GROUP BY r.row"
 )
 def life2d_board(spark, sf):
-    return grid.board_text(_board(spark, sf), 64)
+    return grid.board_text(_board(spark, sf), 64, 64)
 
 
 def _points(spark, sf):
@@ -100,6 +105,19 @@ def barrier_option(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(payoff, 6).alias("payoff"))
 
 
+@query(
+    """WITH RECURSIVE p(vec_id, n, s, z) AS (
+         SELECT vec_id, 0, 100.0::DOUBLE, embedding FROM embeddings
+         UNION ALL SELECT vec_id, n + 1, CASE WHEN s > 95 THEN s + 0.1::DOUBLE * s * 0.015625::DOUBLE + 0.2::DOUBLE * s * (z[n + 1]::DOUBLE * 0.125::DOUBLE) ELSE s END, z FROM p WHERE n < len(z))
+       SELECT count(*) AS paths, round(avg(CASE WHEN s > 95 THEN greatest(s - 100, 0) ELSE 0 END * exp(-0.05::DOUBLE)), 6) AS price FROM p WHERE n = len(z)"""
+)
+def barrier_option_price(spark, sf):
+    """The option's price: the mean payoff over all paths."""
+    z = F.transform("embedding", lambda x: x.cast("double") * 0.125)
+    payoff = iterate.barrier_payoff(z, strike=100, barrier=95, start=100, sigma=0.2, mu=0.1, rate=0.05, dt=0.015625, years=1.0)
+    return table(spark, sf, "embeddings").agg(F.count("*").alias("paths"), F.round(F.avg(payoff), 6).alias("price"))
+
+
 @query("SELECT round(sum(i * 3.14::DOUBLE), 2) AS total FROM range(100000) t(i)")
 def loop_sum(spark, sf):
     return spark.range(100_000).agg(F.round(F.sum(F.col("id") * 3.14), 2).alias("total"))

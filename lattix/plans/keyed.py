@@ -86,14 +86,96 @@ def bloom_semijoin(spark, sf):
     return kv.bloom_semi_join(lines, parts, "l_partkey", parts.count())
 
 
+@query("SELECT p_size < 10 AS member, count(*) AS keys, 0::BIGINT AS refused_members, true AS accepts_few_others FROM part GROUP BY 1")
+def bloom_membership(spark, sf):
+    """Members are never refused; of the others, fewer than three times the asked share are accepted."""
+    parts = table(spark, sf, "part").select("p_partkey", (F.col("p_size") < 10).alias("member"))
+    members = parts.filter("member")
+    k, buckets = kv.bloom_shape(members.count(), 0.01)
+    maybe = kv.bloom_probe(parts, kv.bloom_build(members, "p_partkey", k, buckets), "p_partkey", k, buckets).select("p_partkey", F.lit(1).alias("hit"))
+    seen = parts.join(maybe, "p_partkey", "left").groupBy("member").agg(F.count("*").alias("keys"), F.count("hit").alias("hits"))
+    refused = F.when(F.col("member"), F.col("keys") - F.col("hits")).otherwise(F.lit(0).cast("bigint"))
+    few = F.col("member") | (F.col("hits") < 0.03 * F.col("keys") + 2)
+    return seen.select("member", "keys", refused.alias("refused_members"), few.alias("accepts_few_others"))
+
+
+@query("SELECT count(*) - count(DISTINCT l_partkey) AS repeats, count(*) - count(DISTINCT l_partkey) AS flagged_repeats, true AS few_first_flagged FROM lineitem")
+def bloom_insert_flags(spark, sf):
+    """An insert of a key that is there is always flagged; of first inserts, fewer than three times the asked share are."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    keys = lines.select("l_partkey").distinct().count()
+    got = kv.bloom_insert_flags(lines, "l_partkey", ["l_orderkey", "l_linenumber"], *kv.bloom_shape(keys, 0.01))
+    by_key = got.groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_if("maybe_present").alias("flagged"))
+    flagged_first = F.sum(F.when(F.col("flagged") == F.col("n"), 1).otherwise(0))
+    return by_key.agg(
+        F.sum(F.col("n") - 1).alias("repeats"), F.sum(F.least("flagged", F.col("n") - 1)).alias("flagged_repeats"), (flagged_first < 0.03 * F.count("*") + 2).alias("few_first_flagged")
+    )
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, bit_or(l_partkey) OVER w AS or_before, xor_before, bit_and(l_partkey) OVER w AS and_before, min(l_tax) OVER w AS min_before
+       FROM (SELECT *, bit_xor(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS xor_before FROM lineitem)
+       WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def fetch_ops_before(spark, sf):
+    part = F.col("l_partkey")
+    got = kv.fetch_before(
+        table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"],
+        or_before=F.bit_or(part), xor_before=F.bit_xor(part), and_before=F.bit_and(part), min_before=F.min("l_tax"),
+    )
+    return got.select("l_orderkey", "l_linenumber", "or_before", "xor_before", "and_before", "min_before")
+
+
 @query(
-    """SELECT count(*) AS members, 0 AS false_negatives FROM (SELECT DISTINCT p_partkey FROM part WHERE p_size < 10)"""
+    """WITH RECURSIVE t AS (SELECT user_id % 16 AS cell, event_id, event_id % 3 AS old, (event_id + user_id) % 3 AS new,
+                                   row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS k FROM events),
+       r(cell, k, event_id, seen, swapped, value) AS (
+         SELECT cell, k, event_id, 0::BIGINT, old = 0, CASE WHEN old = 0 THEN new ELSE 0 END FROM t WHERE k = 1
+         UNION ALL SELECT t.cell, t.k, t.event_id, r.value, t.old = r.value, CASE WHEN t.old = r.value THEN t.new ELSE r.value END FROM r JOIN t ON t.cell = r.cell AND t.k = r.k + 1)
+       SELECT cell, event_id, seen, swapped FROM r"""
 )
-def bloom_no_false_negatives(spark, sf):
-    parts = table(spark, sf, "part").filter("p_size < 10").select("p_partkey").distinct()
-    k, buckets = kv.bloom_shape(parts.count())
-    maybe = kv.bloom_probe(parts, kv.bloom_build(parts, "p_partkey", k, buckets), "p_partkey", k, buckets)
-    return parts.agg(F.count("*").alias("members")).crossJoin(kv.absent(parts, maybe, "p_partkey").agg(F.count("*").cast("int").alias("false_negatives")))
+def compare_and_swap(spark, sf):
+    events = table(spark, sf, "events").select((F.col("user_id") % 16).alias("cell"), "event_id", (F.col("event_id") % 3).alias("old"), ((F.col("event_id") + F.col("user_id")) % 3).alias("new"))
+    return kv.compare_and_swap(events, "cell", "event_id", "old", "new")
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT c_nationkey AS host, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+       r(host, k, c_custkey, slot, slots) AS (
+         SELECT host, 0::BIGINT, NULL::BIGINT, NULL::INT, list_transform(range(48), lambda x: NULL::BIGINT) FROM (SELECT DISTINCT host FROM c)
+         UNION ALL
+         SELECT host, k, c_custkey, slot, CASE WHEN slot IS NULL THEN slots ELSE list_concat(slots[1:slot], [c_custkey], slots[slot + 2:]) END FROM (
+           SELECT c.host, c.k, c.c_custkey, r.slots,
+                  list_filter(list_transform(range(48), lambda p: ((c.c_custkey + p * p) % 48)::INT), lambda s: r.slots[s + 1] IS NULL OR r.slots[s + 1] = c.c_custkey)[1] AS slot
+           FROM r JOIN c ON c.host = r.host AND c.k = r.k + 1))
+       SELECT host, c_custkey, slot, slot IS NOT NULL AS accepted FROM r WHERE k > 0"""
+)
+def kv_bounded_insert(spark, sf):
+    customer = table(spark, sf, "customer").select(F.col("c_nationkey").alias("host"), "c_custkey", F.col("c_custkey").alias("key"))
+    return kv.insert_bounded(customer, "host", "c_custkey", "key", 48).drop("key")
+
+
+@query("SELECT o_orderkey, o_custkey % 8 AS host, ((o_orderkey % 1000) // 125) = o_custkey % 8 AS accepted FROM orders")
+def kv_insert_local(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 8).alias("host"))
+    return kv.insert_local(orders, "host", F.col("o_orderkey") % 1000, 1000, 8)
+
+
+@query("SELECT o_custkey % 8 AS host, count(*) AS entries, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1")
+def kv_iterate(spark, sf):
+    return kv.iterate(table(spark, sf, "orders"), "o_orderkey", F.col("o_custkey") % 8)
+
+
+@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def kv_reference(spark, sf):
+    store = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return kv.reference(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), store, "o_custkey").select("o_orderkey", "c_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, p_name AS host_entry FROM lineitem JOIN part ON l_partkey = p_partkey")
+def data_entry_lookup(spark, sf):
+    entries = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("host_entry"))
+    return kv.lookup_entries(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), entries, "l_partkey").drop("l_partkey")
 
 
 @query(
@@ -151,10 +233,39 @@ def all_reduce(spark, sf):
     return reduce.all_reduce(nation, F.sum("n_regionkey"), "total")
 
 
-@query("SELECT count(*)::INT AS ranks, sum(n_regionkey)::BIGINT AS total FROM nation")
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS pos, n_nationkey, n_regionkey AS v FROM nation")
 def all_gather(spark, sf):
-    got = reduce.all_gather(table(spark, sf, "nation").withColumn("v", F.col("n_regionkey").cast("bigint")), "n_nationkey", ["v"])
-    return got.select(F.size("gathered").alias("ranks"), F.aggregate("gathered", F.lit(0).cast("bigint"), lambda a, x: a + x["v"]).alias("total"))
+    got = reduce.all_gather(table(spark, sf, "nation").withColumn("v", F.col("n_regionkey")), "n_nationkey", ["v"])
+    return got.select(F.posexplode("gathered").alias("pos", "g")).select("pos", "g.n_nationkey", "g.v")
+
+
+@query("SELECT n_nationkey, (SELECT bool_and(n_regionkey < 5) FROM nation) AS all_known, (SELECT bool_and(n_regionkey < 3) FROM nation) AS all_low FROM nation")
+def all_reduce_and(spark, sf):
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    known = reduce.all_reduce(nation, F.bool_and(F.col("n_regionkey") < 5), "all_known")
+    return reduce.all_reduce(known, F.bool_and(F.col("n_regionkey") < 3), "all_low").drop("n_regionkey")
+
+
+@query("SELECT l_suppkey % 8 AS worker, count(*) AS tasks, round(count(*) / sum(l_quantity), 9) AS tasks_per_s FROM lineitem GROUP BY 1")
+def task_rates(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("worker", F.col("l_suppkey") % 8)
+    return reduce.task_rates(lines, F.col("l_quantity"), ["worker"]).withColumn("tasks_per_s", F.round("tasks_per_s", 9))
+
+
+@query(
+    """SELECT l_returnflag, round(100 * sum(l_discount) / sum(l_discount + l_tax + 1), 6) AS steal, round(100 * sum(l_tax) / sum(l_discount + l_tax + 1), 6) AS response,
+              round(100 * count(*) / sum(l_discount + l_tax + 1), 6) AS multiply FROM lineitem GROUP BY 1"""
+)
+def time_shares(spark, sf):
+    steal, response, multiply = F.col("l_discount"), F.col("l_tax"), F.lit(1)
+    got = reduce.shares(table(spark, sf, "lineitem"), steal + response + multiply, ["l_returnflag"], steal=steal, response=response, multiply=multiply)
+    return got.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("steal", "response", "multiply")])
+
+
+@query("SELECT l_linestatus, round(sum(l_extendedprice) / sum(l_extendedprice * (1 - l_discount)), 8) AS speed_up FROM lineitem GROUP BY 1")
+def speed_up(spark, sf):
+    price = F.col("l_extendedprice")
+    return reduce.speed_up(table(spark, sf, "lineitem"), price, price * (1 - F.col("l_discount")), ["l_linestatus"]).withColumn("speed_up", F.round("speed_up", 8))
 
 
 @query("SELECT max(abs(l_quantity - 25)) AS max_error FROM lineitem")

@@ -7,7 +7,8 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from lattix.functions import codec, learning, scalar
-from lattix.functions.registry import Registry
+from lattix.functions import registry
+from lattix.functions.registry import Registry, call_on_host
 from lattix.plans.lineage import table
 from lattix.plans.registry import query
 
@@ -36,6 +37,102 @@ def ols_simple(spark, sf):
     return got.select("l_suppkey", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
 
 
+def _descent_sql(epochs: int) -> str:
+    d = "w * x + b - y"
+    steps = ["p0 AS (SELECT 0.0::DOUBLE AS w, 0.0::DOUBLE AS b)"]
+    for k in range(1, epochs + 1):
+        steps.append(
+            f"""p{k} AS (SELECT w - 0.5::DOUBLE * gw AS w, b - 0.5::DOUBLE * gb AS b, loss FROM (SELECT w, b, avg(CASE WHEN abs({d}) < 1 THEN 0.5 * ({d}) * ({d}) ELSE abs({d}) - 0.5 END) AS loss,
+                   avg(CASE WHEN abs({d}) < 1 THEN {d} ELSE sign({d}) END * x) AS gw, avg(CASE WHEN abs({d}) < 1 THEN {d} ELSE sign({d}) END) AS gb
+                 FROM (SELECT l_discount * 10 AS x, l_quantity / 20 AS y FROM lineitem), p{k - 1} GROUP BY w, b))"""
+        )
+    rows = " UNION ALL ".join(f"SELECT {k} AS epoch, round(w, 7) AS w, round(b, 7) AS b, round(loss, 7) AS loss FROM p{k}" for k in range(1, epochs + 1))
+    return f"WITH {', '.join(steps)} {rows}"
+
+
+@query(_descent_sql(5))
+def smooth_l1_descent(spark, sf):
+    steps = learning.smooth_l1_descent(table(spark, sf, "lineitem"), F.col("l_discount") * 10, F.col("l_quantity") / 20, rate=0.5, most=5)
+    rows = [(k + 1, w, b, loss) for k, (w, b, loss) in enumerate(steps)]
+    return spark.createDataFrame(rows, "epoch int, w double, b double, loss double").select("epoch", *[F.round(c, 7).alias(c) for c in ("w", "b", "loss")])
+
+
+@query(
+    """WITH l AS (SELECT *, l_quantity::BIGINT AS q FROM lineitem), m AS (SELECT regr_slope(l_extendedprice, q) AS a, regr_intercept(l_extendedprice, q) AS c FROM l WHERE l_orderkey < 5000)
+       SELECT l_orderkey, l_linenumber, l_extendedprice AS target, round(a * q + c, 3) AS prediction FROM l, m WHERE l_orderkey >= 5000"""
+)
+def ols_train_validate(spark, sf):
+    """Fitted on one range of rows, predicted on another."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("target"))
+    got = learning.fit_in_range(lines, ["q"], "target", "l_orderkey", (0, 5000), (5000, 1 << 60))
+    return got.select("l_orderkey", "l_linenumber", "target", F.round("prediction", 3).alias("prediction"))
+
+
+@query()
+def mlp_linear(spark, sf):
+    """Four layers without activation, trained on all rows: predictions of the linear function that they are."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("q"), F.col("l_discount").alias("d"), (0.7 * F.col("l_quantity") / 50 + 2 * F.col("l_discount") + F.col("l_tax")).alias("y"))
+    weights, biases, _ = learning.linear_mlp(lines, ["q", "d"], "y", epochs=60, rate=0.05)
+    (wq, wd), b = learning.mlp_formula(weights, biases)
+    return lines.select("l_orderkey", "l_linenumber", "y", (float(wq) * F.col("q") + float(wd) * F.col("d") + b).alias("prediction"))
+
+
+@query("SELECT c_custkey, list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (h * 33 + c) % 18446744073709551616)::VARCHAR AS djb2, c_custkey * 107 AS multiplied, CASE WHEN len(c_name) % 2 = 0 THEN 0 ELSE ord(c_name[1]) END AS xored FROM customer")
+def hashes(spark, sf):
+    codes = F.transform(F.split("c_name", ""), F.ascii)
+    return table(spark, sf, "customer").select("c_custkey", scalar.djb2(F.col("c_name")).alias("djb2"), scalar.multiply_hash(F.col("c_custkey")).alias("multiplied"), scalar.xor_hash(codes).alias("xored"))
+
+
+@query("SELECT o_orderkey, round(sqrt(o_totalprice), 9) AS root, (o_orderkey + o_custkey) AS total FROM orders")
+def shared_calculations(spark, sf):
+    calls = Registry("calc")
+    calls.native("sqrt", ["double"], F.sqrt)
+    calls.native("sum", ["bigint", "bigint"], lambda a, b: a + b)
+    return table(spark, sf, "orders").select("o_orderkey", F.round(calls.call("sqrt", F.col("o_totalprice")), 9).alias("root"), calls.call("sum", F.col("o_orderkey"), F.col("o_custkey")).alias("total"))
+
+
+@query("SELECT n_nationkey, n_nationkey + n_regionkey AS total, n_nationkey - n_regionkey AS difference FROM nation")
+def rpc_struct(spark, sf):
+    calls = Registry("demo")
+    calls.remote("both", ["int", "int"], "struct<total:int,difference:int>", _remote_both)
+    return table(spark, sf, "nation").select("n_nationkey", calls.call("both", F.col("n_nationkey"), F.col("n_regionkey")).alias("r")).select("n_nationkey", "r.*")
+
+
+def _remote_both(x: pa.Array, y: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([pc.add(x, y), pc.subtract(x, y)], ["total", "difference"])
+
+
+@query("SELECT p_partkey, left(p_name, least(p_size, 12)) AS moved FROM part")
+def rpc_bulk_min(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", scalar.bulk_prefix(F.col("p_name"), F.col("p_size"), F.lit(12)).alias("moved"))
+
+
+@query("SELECT o_custkey % 8 AS host, count(*) AS calls, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1")
+def rpc_on_host(spark, sf):
+    """A call that runs where its host's rows are, on batches of them; each batch answers."""
+    orders = table(spark, sf, "orders").select((F.col("o_custkey") % 8).alias("host"), "o_orderkey")
+    answers = call_on_host(orders, "host", _count_batch, "host bigint, calls bigint, total bigint")
+    return answers.groupBy("host").agg(F.sum("calls").alias("calls"), F.sum("total").alias("total"))
+
+
+def _count_batch(batches):
+    for b in batches:
+        t = pa.Table.from_batches([b]).group_by("host").aggregate([("o_orderkey", "count"), ("o_orderkey", "sum")])
+        yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("host", "o_orderkey_count", "o_orderkey_sum")], ["host", "calls", "total"])
+
+
+@query("SELECT n_nationkey, i::INT AS pos, n_name[i + 1] AS letter FROM (SELECT n_nationkey, n_name, unnest(range(len(n_name))) AS i FROM nation)")
+def table_function(spark, sf):
+    """A generator called for each row, as LATERAL in SQL."""
+    registry.table_function(spark, "lattix_letters", _letters, "pos int, letter string")
+    return spark.sql("SELECT n_nationkey, pos, letter FROM {nation}, LATERAL lattix_letters(n_name)", nation=table(spark, sf, "nation"))
+
+
+def _letters(text):
+    for k, c in enumerate(text):
+        yield k, c
+
+
 @query()
 def ols_lag(spark, sf):
     rows = learning.lag_features(_daily(spark, sf), "day", "n", 3, by=["event_type"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattix.operators import queues
+from lattix.operators import iterate, queues, tasks
 from lattix.plans.lineage import table
 from lattix.plans.registry import query
 
@@ -56,6 +56,43 @@ def queue_snapshot(spark, sf):
     return got.select("host", F.aggregate(F.slice("items", 1, 10), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("first_ten"), F.size("items").alias("items"))
 
 
+@query(
+    f"""SELECT host, CASE WHEN NOT bool_or(event_id % 4000 = 0) THEN list_sum(list(cents ORDER BY event_id)[1:10])::BIGINT END AS first_ten, bool_or(event_id % 4000 = 0) AS refused
+        FROM ({_EVENTS}) GROUP BY host"""
+)
+def queue_snapshot_heads(spark, sf):
+    """A queue whose head has moved, as rows were popped, can't be taken as an array."""
+    got = queues.snapshot(_events(spark, sf), "host", "event_id", "cents", popped=F.col("event_id") % 4000 == 0)
+    return got.select("host", F.aggregate(F.slice("items", 1, 10), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("first_ten"), "refused")
+
+
+@query(f"SELECT event_id, host, CASE WHEN pos < 1250 THEN pos::INT END AS slot, size <= 1250 AS fits FROM ({_FIFO})")
+def queue_resize(spark, sf):
+    return queues.resize(_events(spark, sf), "host", ORDER, 1250).select("event_id", "host", "slot", "fits")
+
+
+@query(f"SELECT event_id, host, (pos // 200)::INT AS round FROM ({_FIFO})")
+def queue_push_in_rounds(spark, sf):
+    return queues.push_in_rounds(_events(spark, sf), "host", ORDER, 200).select("event_id", "host", "round")
+
+
+@query(
+    """SELECT event_id // 100 AS phase, count(*) FILTER (WHERE event_type <> 'click') AS pushes, count(*) FILTER (WHERE event_type = 'click') AS pops,
+              count(*) FILTER (WHERE event_type <> 'click') = 0 OR count(*) FILTER (WHERE event_type = 'click') = 0 AS valid FROM events GROUP BY 1"""
+)
+def queue_phases(spark, sf):
+    events = table(spark, sf, "events").withColumn("phase", F.floor(F.col("event_id") / 100))
+    return queues.phases(events, "phase", F.col("event_type") != "click", F.col("event_type") == "click")
+
+
+@query(f"SELECT host, count(*) AS valid FROM ({_FIFO}) WHERE (pos // 100) % 2 = 1 GROUP BY host")
+def queue_checksum_wraps(spark, sf):
+    """Of a ring of 100 slots that is read on an odd turn, values of even turns are not valid."""
+    placed = queues.fifo(_events(spark, sf), "host", ORDER).withColumn("turn", F.floor(F.col("pos") / 100))
+    written = queues.checksummed(placed, ["event_id", "cents"], F.col("turn"))
+    return queues.valid(written, ["event_id", "cents"], F.lit(1)).groupBy("host").agg(F.count("*").alias("valid"))
+
+
 @query(
     f"""SELECT event_id, host, (row_number() OVER (PARTITION BY host ORDER BY ts, event_id) - 1)::INT AS pos
         FROM (SELECT event_id, ts, CASE WHEN host = 3 THEN 0 ELSE host END AS host FROM ({_EVENTS}))"""
@@ -131,15 +168,38 @@ def who_ran_what(spark, sf):
     return events.groupBy("day").pivot("block", ["b0", "b1", "b2", "b3"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
+_EDGES = "SELECT DISTINCT p_size AS a, (p_size + 1 + p_partkey % 7)::INT AS b FROM part"
+
+
 @query(
-    """WITH e(a, b) AS (VALUES (1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (6, 5), (2, 7)),
-       RECURSIVE_L AS (WITH RECURSIVE l(node, level) AS (
-         SELECT DISTINCT a, 0 FROM e WHERE a NOT IN (SELECT b FROM e) UNION SELECT e.b, level + 1 FROM l JOIN e ON node = a) SELECT * FROM l)
-       SELECT node, max(level) AS level FROM RECURSIVE_L GROUP BY node"""
+    f"""WITH RECURSIVE e AS ({_EDGES}), l(node, level) AS (
+          SELECT a, 0 FROM e UNION SELECT b, 0 FROM e UNION SELECT e.b, level + 1 FROM l JOIN e ON node = a)
+        SELECT node, max(level) AS level FROM l GROUP BY node"""
 )
 def dag_levels(spark, sf):
-    return spark.sql(
-        """WITH RECURSIVE e(a, b) AS (VALUES (1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (6, 5), (2, 7)),
-           l(node, level) AS (SELECT DISTINCT a, 0 FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT e.b, level + 1 FROM l JOIN e ON node = a)
-           SELECT node, max(level) AS level FROM l GROUP BY node"""
-    )
+    edges = table(spark, sf, "part").select(F.col("p_size").alias("a"), (F.col("p_size") + 1 + F.col("p_partkey") % 7).cast("int").alias("b"))
+    return iterate.dag_levels(edges)
+
+
+@query(
+    """WITH old AS (SELECT o_custkey % 8 AS rank, (row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1) AS k FROM orders WHERE o_orderstatus = 'O'),
+       lasts AS (SELECT rank, max(k) + 1 AS next FROM old GROUP BY rank)
+       SELECT o_orderkey, ((o_custkey % 8) << 24) | (coalesce(next, 0) + row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1) AS task, o_totalprice > 100000 AS finished
+       FROM orders LEFT JOIN lasts ON rank = o_custkey % 8 WHERE o_orderstatus <> 'O'"""
+)
+def task_lifecycle(spark, sf):
+    """Tasks are added after those of their rank that exist, and asked whether they are finished."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_custkey") % 8).alias("rank"))
+    none = spark.createDataFrame([], "task bigint")
+    old = tasks.create(none, orders.filter("o_orderstatus = 'O'"), "rank", ["o_orderkey"])
+    new = tasks.create(old, orders.filter("o_orderstatus <> 'O'"), "rank", ["o_orderkey"])
+    return tasks.finished(new, new.filter("o_totalprice > 100000")).select("o_orderkey", "task", "finished")
+
+
+@query(
+    """WITH t AS (SELECT o_custkey % 8 AS rank, ((o_custkey % 8) << 24) | (row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1) AS task FROM orders)
+       SELECT rank, max(task) AS last_id FROM t GROUP BY rank"""
+)
+def task_last_ids(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 8).alias("rank"))
+    return tasks.last_ids(tasks.create(spark.createDataFrame([], "task bigint"), orders, "rank", ["o_orderkey"]))

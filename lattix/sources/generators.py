@@ -30,7 +30,8 @@ def linspace(spark: SparkSession, start: float, stop: float, n: int) -> DataFram
 
 
 def sine_series(spark: SparkSession, n: int, noise: float = 0.0, seed: int = 0) -> DataFrame:
-    jitter = F.rand(seed) * noise if noise else F.lit(0.0)
+    # from a hash of the place: the same whatever the partitioning
+    jitter = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") / float(1 << 53) * noise if noise else F.lit(0.0)
     x = F.col("id").cast("double")
     return spark.range(n).select(x.alias("x"), ((F.sin(x) + 1) * 10 + 2 * x + jitter).alias("y"))
 

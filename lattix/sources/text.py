@@ -21,10 +21,12 @@ def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def read_number_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One row a line after the header: cells (array<double>), text that isn't a number being 0."""
-    lines = spark.read.text(path)
-    header = lines.limit(1).first()
-    rows = lines.filter(F.col("value") != F.lit(header["value"])) if header else lines
+    """One row a line after each file's first: cells (array<double>), text that isn't a number being 0.  Blank lines are skipped.
+
+    The CSV source drops the header by its place; with a separator that no text holds, it leaves the line whole.
+    """
+    whole = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").option("enforceSchema", True)
+    rows = whole.csv(path).filter("value is not null")
     return rows.select(F.transform(csv_cells(F.col("value")), lenient_float).alias("cells"))
 
 

@@ -6,14 +6,16 @@ in micro-batches, and ends when nothing is outstanding.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lattix.operators.balance import migrate_default
+from lattix.plans.lineage import shared_folder
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -22,10 +24,7 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share; machine-local only where no shared one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
-    return tempfile.mkdtemp(prefix="lattix-stream-")
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(query_df: DataFrame, each_batch: Callable[[DataFrame, int], None], mode: str = "update", folder: str | None = None) -> None:
@@ -54,6 +53,57 @@ def final_state(stream: DataFrame, key: str, value: str) -> DataFrame:
     return seen.groupBy(key).agg(F.max_by(F.struct("n", "total"), "batch").alias("s")).select(key, "s.n", "s.total")
 
 
+def user_state(stream: DataFrame, key: str, value: str, fn: Callable[[int, int], int], start: int) -> DataFrame:
+    """State of each key by a user's function of (state, value), once the input is drained: (key, state, updates).
+
+    The function runs on the executors, on each key's new values of a batch; the engine keeps the state.
+    """
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+    kind = stream.schema[key].dataType.simpleString()
+
+    def step(keys, frames, state):
+        held, n = state.get if state.exists else (start, 0)
+        for frame in frames:
+            for v in frame[value]:
+                held, n = fn(held, int(v)), n + 1
+        state.update((held, n))
+        yield pd.DataFrame({key: [keys[0]], "state": [held], "updates": [n]})
+
+    changes = stream.select(key, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, state bigint, updates bigint", "state bigint, updates bigint", "update", "NoTimeout")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/state/part={number}")
+
+    drain(changes, keep, "update", folder)
+    seen = spark.read.parquet(f"{folder}/state").drop("part")
+    return seen.groupBy(key).agg(F.max_by(F.struct("state", "updates"), "batch").alias("s")).select(key, "s.state", "s.updates")
+
+
+def answered(stream: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A request loop: each request of the stream gets its answer by a function without state; all answers, once drained."""
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/answers/part={number}")
+
+    drain(answer(stream), keep, "append", folder)
+    return spark.read.parquet(f"{folder}/answers").drop("part")
+
+
+def consumed(stream: DataFrame) -> DataFrame:
+    """Rows of each micro-batch until the input is empty: (batch, taken)."""
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.agg(F.count("*").alias("taken")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/taken/part={number}")
+
+    drain(stream, keep, "append", folder)
+    return spark.read.parquet(f"{folder}/taken").drop("part")
+
+
 def windowed_counts(stream: DataFrame, time: str, lateness: str, width: str, by: list[str]) -> DataFrame:
     """Tumbling counts with a watermark (an extension); times without zone are taken as UTC."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
@@ -61,17 +111,22 @@ def windowed_counts(stream: DataFrame, time: str, lateness: str, width: str, by:
 
 
 def load_exchange(stream: DataFrame, rank: str, load: str) -> DataFrame:
-    """Decisions of a load exchange: after each batch, if the outstanding sum changed, who gives how much to whom."""
+    """Decisions of a load exchange: after each batch, if the outstanding sum changed, who gives how much to whom.
+
+    Each batch's sum is written beside the decisions, so a restarted query compares with the batch before and decides once.
+    """
     spark = stream.sparkSession
     folder = work_folder(spark)
-    last: list[int | None] = [None]
+    sums = "batch int, total bigint"
 
     def decide(batch: DataFrame, number: int) -> None:
         loads = batch.select(F.col(rank).alias("rank"), F.col(load).alias("load"))
         total = loads.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
-        if total != last[0]:
-            last[0] = total
-            migrate_default(loads).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/moves/part={number}")
+        seen = spark.read.schema(sums).parquet(f"{folder}/totals").filter(F.col("batch") < number) if number else spark.createDataFrame([], sums)
+        before = seen.agg(F.max_by("total", "batch")).first()[0]
+        changed = migrate_default(loads).filter(F.lit(total != before))
+        changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/moves/part={number}")
+        spark.createDataFrame([(number, total)], sums).write.mode("overwrite").parquet(f"{folder}/totals/part={number}")
 
     drain(stream.groupBy(rank).agg(F.sum(load).alias(load)), decide, "complete", folder)
     return spark.read.parquet(f"{folder}/moves").drop("part")

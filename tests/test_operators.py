@@ -106,7 +106,21 @@ def test_bloom_shape_and_false_negatives(spark):
     members = spark.range(1000)
     bloom = kv.bloom_build(members, "id", k, buckets)
     assert kv.bloom_probe(members, bloom, "id", k, buckets).count() == 1000
-    assert kv.bloom_probe(spark.range(1000, 3000), bloom, "id", k, buckets).count() < 200
+    assert kv.bloom_probe(spark.range(1000, 3000), bloom, "id", k, buckets).count() < 60
+
+
+@pytest.mark.parametrize("p", [0.1, 0.01, 0.001])
+def test_bloom_keeps_the_asked_rate(spark, p):
+    k, buckets = kv.bloom_shape(5000, p)
+    bloom = kv.bloom_build(spark.range(5000), "id", k, buckets)
+    wrong = kv.bloom_probe(spark.range(5000, 105_000), bloom, "id", k, buckets).count()
+    assert wrong < 2 * p * 100_000
+
+
+def test_bloom_semi_join_beyond_the_filters_bound(spark, monkeypatch):
+    few = kv.bloom_semi_join(spark.range(100), spark.range(50, 70), "id", 20)
+    monkeypatch.setattr(kv, "MAX_BROADCAST_WORDS", 0)
+    assert rows(few) == rows(kv.bloom_semi_join(spark.range(100), spark.range(50, 70), "id", 20)) == [(k,) for k in range(50, 70)]
 
 
 def test_upsert_keeps_the_last_write(spark):
@@ -143,7 +157,7 @@ def test_blinker_has_period_two(spark):
     once = grid.life2d_step(blinker, 3, 3)
     assert rows(once) == [(0, 1), (1, 1), (2, 1)]
     assert rows(grid.life2d(blinker, 3, 3, 2, every=1)) == rows(blinker)
-    assert rows(grid.board_text(blinker, 3)) == [(1, "111")]
+    assert rows(grid.board_text(blinker, 3, 3)) == [(0, "000"), (1, "111"), (2, "000")]
 
 
 def test_life3d_keeps_planes_apart_and_wraps_z(spark):
