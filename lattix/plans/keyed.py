@@ -65,12 +65,12 @@ def kv_find_or_insert(spark, sf):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey
+    """SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM lineitem"""
 )
 def kv_fetch_add(spark, sf):
     lines = table(spark, sf, "lineitem")
-    got = kv.fetch_add(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_quantity").cast("bigint"))
+    got = kv.fetch_add(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_quantity").cast("bigint"))
     return got.select("l_orderkey", "l_linenumber", "before")
 
 
@@ -114,13 +114,13 @@ def bloom_insert_flags(spark, sf):
 
 @query(
     """SELECT l_orderkey, l_linenumber, bit_or(l_partkey) OVER w AS or_before, xor_before, bit_and(l_partkey) OVER w AS and_before, min(l_tax) OVER w AS min_before
-       FROM (SELECT *, bit_xor(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS xor_before FROM lineitem)
-       WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+       FROM (SELECT *, bit_xor(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS xor_before FROM lineitem)
+       WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 )
 def fetch_ops_before(spark, sf):
     part = F.col("l_partkey")
     got = kv.fetch_before(
-        table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"],
+        table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_tax"],
         or_before=F.bit_or(part), xor_before=F.bit_xor(part), and_before=F.bit_and(part), min_before=F.min("l_tax"),
     )
     return got.select("l_orderkey", "l_linenumber", "or_before", "xor_before", "and_before", "min_before")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -103,18 +104,23 @@ class _MtxReader(DataSourceReader):
         self.path, self.base = options["path"], 0 if options.get("oneBased", "true") == "false" else 1
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
+        path = Path(self.path)
+        files = sorted(str(p) for p in path.iterdir() if p.name[0] not in "._") if path.is_dir() else [self.path]
+        # of several files, those with a banner have a size line
+        return [InputPartition((f, len(files) == 1 or open(f).read(len(BANNER)) == BANNER)) for f in files]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value) as lines:
+        file, has_size = partition.value
+        with open(file) as lines:
             body = (x.split() for x in lines if x.strip() and not x.startswith("%"))
-            next(body)
+            if has_size:
+                next(body, None)
             for w in body:
                 yield int(w[0]) - self.base, int(w[1]) - self.base, float(w[2]) if len(w) > 2 else 1.0
 
 
 class MtxDataSource(DataSource):
-    """``spark.read.format("mtx").load(file)`` for one file on a mounted file system; ``read_mtx`` reads any store, in splits."""
+    """``spark.read.format("mtx").load(path)`` for a file or a folder of parts on a mounted file system; ``read_mtx`` reads any store, in splits."""
 
     @classmethod
     def name(cls) -> str:
