@@ -14,8 +14,9 @@ hot keys adaptive execution splits.
 
 Edge cases: of equal texts the largest ``doc_id`` stays.  A null id counts in
 ``group_size`` but stays only if its group has no other id.  Rows that repeat an
-id are one document, so all or none of them are kept.  An empty table gives an
-empty result.  Other columns are ignored, whatever their names.
+id are one document, so all or none of them are kept.  Whole texts are compared,
+however long (a text is one row).  An empty table gives an empty result.  Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ rows are dealt to partitions and sorted inside them by a key hashed from
 Edge cases: a null source is a source of its own.  A source without characters
 gets rate 1.  A source missing from ``weights`` gets target 0.  Null ids draw as
 the empty id.  Rows that repeat an id draw the same count.  A null text weighs 0
-characters but is replicated like any other.  Columns named as the added ones are
-replaced.  An empty table gives an empty result.
+characters but is replicated like any other.  A text of any length counts whole.
+Columns named as the added ones are replaced, others kept, whatever their names.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -78,9 +78,9 @@ def piece_features(p: Piece) -> np.ndarray:
     counts = np.zeros(n * N_CLASSES, dtype=np.int64)
     for at in range(0, len(p.data), CHUNK_BYTES):
         x = p.data[at : at + CHUNK_BYTES]
-        text = np.searchsorted(p.offsets, np.arange(at, at + len(x)), side="right") - 1
-        lo = int(text[0])
-        part = np.bincount((text - lo) * N_CLASSES + _CLASS[x])
+        lo, hi = np.searchsorted(p.offsets, [at, at + len(x) - 1], side="right") - 1
+        bounds = np.clip(p.offsets[lo : hi + 2], at, at + len(x))
+        part = np.bincount(np.repeat(np.arange(hi - lo + 1) * N_CLASSES, np.diff(bounds)) + _CLASS[x])
         counts[lo * N_CLASSES : lo * N_CLASSES + len(part)] += part
     counts = counts.reshape(n, N_CLASSES)
     out[:, :N_CLASSES] = np.sqrt(counts / np.maximum(size, 1)[:, None])
