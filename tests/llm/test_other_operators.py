@@ -315,10 +315,12 @@ def test_urls_with_rules_of_many_shapes(spark):
         assert (x["rule"], x["verdict"]) == ((best[0] + best[1], "block" if known[best] else "allow") if best else (None, "allow"))
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("local", [200_000, 0])
+def test_cascade_is_exact_over_its_universe(spark, monkeypatch, local):
+    monkeypatch.setattr(url_filter, "MAX_LOCAL_KEYS", local)
     keys = lambda df: df.select(F.xxhash64("id").alias("ka"), F.xxhash64("id", F.lit(1)).alias("kb"))
     universe = spark.range(3000)
-    listed = keys(spark.range(0, 3000, 3))
+    listed = keys(spark.range(0, 3000, 3)).persist()
     cascade = url_filter.build_cascade(listed, lambda level: keys(universe), 3000)
     probed = universe.withColumns({"ka": F.xxhash64("id"), "kb": F.xxhash64("id", F.lit(1))}).toPandas()
     a, b = (probed[c].to_numpy().view(np.uint64) for c in ("ka", "kb"))
