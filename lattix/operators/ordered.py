@@ -1,8 +1,9 @@
-"""Positions and running sums in an order, computed by ranges so that no task sees a whole group.
+"""Positions and running sums in an order, by a window a group, or by ranges where a group is too large for one task.
 
-The order column's values are cut into ranges at approximate quantiles; each (group,
-range) is counted first, then rows are numbered inside their range only.  A group may
-hold any share of all rows: it is spread over the ranges.
+A count proves that no group has more than ``GROUP_ROWS`` rows; then one window is best.
+Otherwise the order column's values are cut into ranges at approximate quantiles; each
+(group, range) is counted first, then rows are numbered inside their range only.  A
+group may hold any share of all rows: it is spread over the ranges.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
+#: Rows of a group that one task may sort (it spills).
+GROUP_ROWS = 4_000_000
 #: Ranges that an order is cut into: an upper bound of the numbers that reach the driver.
 RANGES = 64
 
@@ -22,12 +25,24 @@ def range_of(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
     cuts = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
     if not cuts:
         return F.lit(0)
-    bounds = F.array(*[F.lit(c).cast(df.schema[order].dataType) for c in sorted(set(cuts))])
-    return F.size(F.filter(bounds, lambda b: b <= F.col(order)))
+    bounds = [F.lit(c).cast(df.schema[order].dataType) for c in sorted(set(cuts))]
+    return F.coalesce(sum((F.col(order) >= b).cast("int") for b in bounds), F.lit(0))
 
 
-def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos", size: str | None = None) -> DataFrame:
+def _fits(df: DataFrame, by: list[str], limit: int | None) -> bool:
+    """Whether every group's rows fit one task: by the count of all rows, else by the largest group."""
+    limit = GROUP_ROWS if limit is None else limit
+    if df.count() <= limit:
+        return True
+    return (df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= limit
+
+
+def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos", size: str | None = None, group_rows: int | None = None) -> DataFrame:
     """Place of each row among its group's by ``order``, from 0, and with ``size`` the group's rows."""
+    if _fits(df, by, group_rows):
+        w = Window.partitionBy(*by)
+        placed = df.withColumn(out, (F.row_number().over(w.orderBy(*order)) - 1).cast("int"))
+        return placed.withColumn(size, F.count("*").over(w)) if size else placed
     ranged = df.withColumn("_range", range_of(df, order[0]))
     counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by)
@@ -39,8 +54,11 @@ def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos",
     return joined.withColumn(out, (inside + F.col("_before")).cast("int")).drop("_range", "_before")
 
 
-def sums_before(df: DataFrame, by: list[str], order: list[str], amount: Column, out: str) -> DataFrame:
+def sums_before(df: DataFrame, by: list[str], order: list[str], amount: Column, out: str, group_rows: int | None = None) -> DataFrame:
     """Sum of the amounts of the group's earlier rows, 0 for the first."""
+    if _fits(df, by, group_rows):
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(amount).over(w), F.lit(0)))
     ranged = df.withColumns({"_range": range_of(df, order[0]), "_amount": amount})
     totals = ranged.groupBy(*by, "_range").agg(F.sum("_amount").alias("_n"))
     offsets = totals.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n"))

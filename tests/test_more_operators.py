@@ -20,21 +20,22 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+@pytest.mark.parametrize("most", [1000, 0])
 @pytest.mark.parametrize("kind", ["bigint", "string", "timestamp"])
-def test_positions_of_a_hot_group(spark, kind):
-    """One group holds most rows; null groups and tied orders count too."""
+def test_positions_of_a_hot_group(spark, kind, most):
+    """One group holds most rows; null groups and tied orders count too; by a window, and by ranges."""
     r = random.Random(3)
     data = [(None if k % 17 == 0 else (0 if k % 3 else k % 5), r.randrange(50), k) for k in range(600)]
     df = spark.createDataFrame(data, "g bigint, o bigint, k bigint")
     order = {"bigint": F.col("o"), "string": F.lpad(F.col("o").cast("string"), 3, "0"), "timestamp": F.timestamp_seconds(F.col("o"))}[kind]
-    got = ordered.positions(df.withColumn("o", order), ["g"], ["o", "k"], "pos", "n")
+    got = ordered.positions(df.withColumn("o", order), ["g"], ["o", "k"], "pos", "n", group_rows=most)
     want = []
     for g in {x[0] for x in data}:
         own = sorted((x for x in data if x[0] == g), key=lambda x: (x[1], x[2]))
         want += [(x[2], p, len(own)) for p, x in enumerate(own)]
     assert rows(got.select("k", "pos", "n")) == sorted(want)
     if kind == "bigint":
-        sums = ordered.sums_before(df, ["g"], ["o", "k"], F.col("k"), "before")
+        sums = ordered.sums_before(df, ["g"], ["o", "k"], F.col("k"), "before", group_rows=most)
         want = []
         for g in {x[0] for x in data}:
             total = 0
