@@ -31,6 +31,11 @@ def get_range(array: DataFrame, start: int, stop: int, n: int) -> DataFrame:
     return array.filter((F.col("idx") >= start) & (F.col("idx") < stop))
 
 
+def at_work_item(df: DataFrame, item: str, n: int) -> DataFrame:
+    """Rows of one work item."""
+    return df.filter(F.col(item) == n)
+
+
 def sort_per_host(df: DataFrame, host: str, order: list[str]) -> DataFrame:
     """Each host's rows together and in order: one shuffle, no global sort."""
     return df.repartition(host).sortWithinPartitions(host, *order)

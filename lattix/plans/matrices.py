@@ -273,6 +273,11 @@ def sorted_per_host(spark, sf):
     return arrays.inversions(arrays.sort_per_host(lines, "host", ["l_orderkey"]), "host", "l_orderkey")
 
 
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+def one_work_item(spark, sf):
+    return arrays.at_work_item(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey", 7)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def preview(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("down"))
