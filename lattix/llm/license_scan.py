@@ -62,12 +62,14 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(ws: Column) -> Column:
+    """Hash of each run of five words, from the words' own hashes."""
+
     def hashes(w: Column) -> Column:
         n = F.size(w) - (SHINGLE - 1)
         at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
 
-    return let(ws, hashes)
+    return let(F.transform(ws, lambda x: F.xxhash64(x)), hashes)
 
 
 def _min_hashes(h: Column, step: int, seed: int) -> Column:

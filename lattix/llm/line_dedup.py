@@ -116,17 +116,31 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _marked_blocks(docs, id_col, text_col, min_words).drop("text_mark")
 
 
-def _marked_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    def pairs(ls: Column, h: Column, n: Column) -> Column:
-        one = lambda i: F.struct(
-            i.alias("line"), F.get(n, i).alias("words"), F.get(n, i + 1).alias("next_words"), F.unhex(F.concat(F.get(h, i), F.get(h, i + 1))).alias("digest")
-        )
-        return F.when(F.size(ls) > 1, F.transform(F.sequence(F.lit(0), F.size(ls) - 2), one))
+def _pairs_of_lines(docs: DataFrame, id_col: str, text_col: str, with_words: bool) -> DataFrame:
+    """One row a pair of adjacent lines: id, text_mark, line, digest, and the words of both lines if asked for."""
+
+    def pairs(h: Column, n: Column | None) -> Column:
+        def one(i: Column) -> Column:
+            fields = [i.alias("line"), F.unhex(F.concat(F.get(h, i), F.get(h, i + 1))).alias("digest")]
+            return F.struct(*fields, *([] if n is None else [F.get(n, i).alias("words"), F.get(n, i + 1).alias("next_words")]))
+
+        return F.when(F.size(h) > 1, F.transform(F.sequence(F.lit(0), F.size(h) - 2), one))
+
+    def of_lines(ls: Column) -> Column:
+        hashes = F.transform(ls, F.md5)
+        if not with_words:
+            return let(hashes, lambda h: pairs(h, None))
+        return let(hashes, lambda h: let(F.transform(ls, lambda x: F.regexp_count(x, F.lit("\\S+"))), lambda n: pairs(h, n)))
 
-    made = let(F.split("text", "\n", -1), lambda ls: let(F.transform(ls, F.md5), lambda h: let(F.transform(ls, lambda x: F.regexp_count(x, F.lit("\\S+"))), lambda n: pairs(ls, h, n))))
     # outer, for the same reason as above
-    each = _texts(docs, id_col, text_col).select("id", "text_mark", F.inline_outer(made)).filter("line is not null")
-    firsts = each.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last")
+    rows = _texts(docs, id_col, text_col).select("id", "text_mark", F.inline_outer(let(F.split("text", "\n", -1), of_lines)))
+    return rows.filter("line is not null")
+
+
+def _marked_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    keys = _pairs_of_lines(docs, id_col, text_col, False)
+    firsts = keys.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last")
+    each = _pairs_of_lines(docs, id_col, text_col, True)
     repeats = fresh_join(each, firsts, ["digest"]).filter("id > keeper").groupBy("id", "text_mark", "line").agg(F.max("words").alias("words"), F.max("next_words").alias("next_words"))
     by_line = Window.partitionBy("id", "text_mark").orderBy("line")
     begins = F.coalesce(F.col("line") - F.lag("line").over(by_line) > 1, F.lit(True)).cast("int")
