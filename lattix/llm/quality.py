@@ -10,22 +10,25 @@ Where the bracket falls below zero its gradient is turned around, which undoes
 overfitting of the unlabelled part.
 
 The class prior is estimated from positives and unlabelled text alone: a first fit
-with prior 1/2 ranks texts.  Above a high score both samples hold positives only, so
+with prior 1/2 ranks texts.  Above a high score both sets hold positives only, so
 there (unlabelled share / positive share) is the prior; the median over thresholds at
-the positives' quantiles 0.1 to 0.7 is taken, at most ``MAX_PRIOR``.
+the positives' quantiles 0.1 to 0.7 is taken, at most ``MAX_PRIOR``.  The unlabelled
+shares are counted over all texts of the corpus.
 
 Features describe the form of the text, not its words: shares of byte classes and
 punctuation marks, upper case, word and line lengths, shares of distinct words, word
 pairs and lines, and the most frequent word's and line's share.
 
-Training takes ``max_train_docs`` rows at most (half positives that are not held out,
-half unlabelled rows, both chosen by a hash of the id); their features, not texts,
-come to the driver.  The unlabelled rows' share of all documents decides nothing, so
-the prior's sampling error (about 0.01 of 4,000 rows) is the sample's only trace.
-Scoring covers whole texts on the executors with a model of one number a feature.
+The risk is minimised on ``max_train_docs`` rows at most (half positives that are not
+held out, half unlabelled rows, both chosen by a hash of the id); their features, not
+texts, come to the driver.  The features' means and spreads, like the prior's counts,
+cover all texts, as sums of integers, which no order of rows can change.  The features
+of a text are written once (about 0.2 KB) and read by each of these steps and by the
+scoring, which applies a model of one number a feature on the executors.
 
 Edge cases: null and empty texts are scored like any other (all shares 0); a null or
-empty text never trains.  Without positives the score is 0.5 everywhere.  Rows with a
+empty text never trains, nor counts in means, spreads and prior.  Each row counts there,
+repeated ones too.  Without positives the score is 0.5 everywhere.  Rows with a
 null id count as not held out.  Repeated rows are scored alike.  Of rows that repeat a
 training id with different texts, the one with the least features is learnt from.  A
 text is scored whole, however long.  Other columns are ignored, whatever their names;
@@ -43,10 +46,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out
+from .common import durable, is_held_out
 from .kernels import CHUNK_BYTES, Piece, pieces, shingles, words
 
 MAX_PRIOR = 0.97
+#: Features are summed in units of 1 / _UNIT.
+_UNIT = 1 << 32
 _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 #: Byte classes: lower case, upper case, digit, white space, line break, control, non-ASCII, then each mark.
 _CLASS = np.full(256, 5)
@@ -145,53 +150,120 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400, rate: f
     return theta[:-1], float(theta[-1])
 
 
+def _ratio_points(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """The ranking scorer's weights and bias, its thresholds in rising order, and the share of ``p`` at or above each."""
+    w, b = nn_pu(p, u, 0.5)
+    g = p @ w + b
+    at = np.quantile(g, np.arange(0.1, 0.7, 0.02))
+    return w, b, at, (g[:, None] >= at).mean(0)
+
+
+def _counts_above(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many values are at or above each of the rising thresholds."""
+    return len(g) - np.searchsorted(np.sort(g), at, side="left")
+
+
+def _prior(of_unlabelled: np.ndarray, of_positive: np.ndarray) -> float:
+    return float(min(MAX_PRIOR, max(0.05, np.median(of_unlabelled / of_positive))))
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives in ``u``: positives are ranked high, so above high scores both hold positives only."""
-    w, b = nn_pu(p, u, 0.5)
-    gp, gu = p @ w + b, u @ w + b
-    ratios = [(gu >= np.quantile(gp, q)).mean() / (gp >= np.quantile(gp, q)).mean() for q in np.arange(0.1, 0.7, 0.02)]
-    return float(min(MAX_PRIOR, max(0.05, np.median(ratios))))
+    w, b, at, shares = _ratio_points(p, u)
+    return _prior(_counts_above(u @ w + b, at) / len(u), shares)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model | None:
-    if not len(positive) or not len(unlabelled):
-        return None
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    p, u = (_expand((x - mean) / scale) for x in (positive, unlabelled))
-    prior = estimate_prior(p, u) if prior is None else prior
-    w, b = nn_pu(p, u, prior)
-    return Model(mean, scale, w, b, prior)
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, filled (the text is neither null nor empty), x (the features as float32)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = text_features(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "filled", "x"])
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_train_docs: int = 8000) -> Model | None:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), (text != "").alias("filled"), text.alias("text")).mapInArrow(run, "id bigint, filled boolean, x binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES)
+
+
+def _corpus_sums(rows: DataFrame, names: list[str], of_batch) -> dict[str, np.ndarray]:
+    """Sums over all filled rows: ``of_batch`` makes of a batch's features one array of int64 a name, all of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                part = of_batch(_matrix(batch.column(0)))
+                total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+                n += batch.num_rows
+        if total is not None:
+            k = len(total[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(np.full(k, n)), *map(pa.array, total)], ["k", "n", *names])
+
+    parts = rows.filter("filled").select("x").mapInArrow(run, "k bigint, n bigint, " + ", ".join(f"{c} bigint" for c in names))
+    # decimals: exact beyond the range of bigint
+    sums = parts.groupBy("k").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", *names)]).orderBy("k").collect()
+    return {c: np.array([float(r[c]) for r in sums]) for c in ("n", *names)}
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of each feature over all filled rows."""
+
+    def of_batch(x: np.ndarray) -> list[np.ndarray]:
+        x = x.astype(np.float64)
+        return [np.rint(v * _UNIT).astype(np.int64).sum(0) for v in (x, x * x)]
+
+    sums = _corpus_sums(rows, ["s", "ss"], of_batch)
+    mean = sums["s"] / sums["n"] / _UNIT
+    return mean, np.sqrt(np.maximum(sums["ss"] / sums["n"] / _UNIT - mean * mean, 0)) + 1e-3
+
+
+def train_on(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_train_docs: int = 8000) -> Model | None:
+    """The model learnt from a frame that ``features`` made, which is read several times."""
     half = max_train_docs // 2
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).filter("_id is not null and y = 1")
-    positives = known.filter(~is_held_out(F.col("_id"))).select("_id").distinct().orderBy(F.xxhash64("_id")).limit(half).withColumn("_set", F.lit(1))
+    positives = known.filter(~is_held_out(F.col("_id"))).select(F.col("_id").cast("bigint")).distinct().orderBy(F.xxhash64("_id")).limit(half).withColumn("_set", F.lit(1))
     # unlabelled: any rows, whatever labels they may have
-    others = docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id", F.lit(1))).limit(half).withColumn("_set", F.lit(0))
+    others = rows.select(F.col("id").alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id", F.lit(1))).limit(half).withColumn("_set", F.lit(0))
     chosen = F.broadcast(positives.unionByName(others))  # max_train_docs rows at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text != ''").join(chosen, "_id")
+    got = rows.filter("filled").join(chosen, F.col("id") == F.col("_id")).groupBy("id", "_set").agg(F.min("x").alias("x")).orderBy("_set", "id").toArrow()
+    x, which = _matrix(got.column("x")), got.column("_set").to_numpy()
+    if not (which == 1).any() or not (which == 0).any():
+        return None
+    mean, scale = _moments(rows)
+    p, u = (_expand((x[which == k] - mean) / scale) for k in (1, 0))
+    w, b, at, shares = _ratio_points(p, u)
+    above = _corpus_sums(rows, ["above"], lambda y: [_counts_above(_expand((y - mean) / scale) @ w + b, at)])
+    prior = _prior(above["above"] / above["n"], shares)
+    return Model(mean, scale, *nn_pu(p, u, prior), prior)
+
+
+def score_rows(rows: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
+    """One row a row of ``features``: id, score."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = text_features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_set"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "which", "x"])
+            x = _matrix(batch.column(1))
+            s = np.full(len(x), 0.5) if shared.value is None else shared.value.score(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.astype(np.float64))], ["id", "score"])
+
+    return rows.select("id", "x").mapInArrow(run, "id bigint, score double").withColumnRenamed("id", id_col)
 
-    got = rows.select("_id", "_set", "text").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, which int, x binary").groupBy("id", "which").agg(F.min("x").alias("x")).orderBy("which", "id").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES)
-    which = got.column("which").to_numpy()
-    return fit(x[which == 1], x[which == 0])
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_train_docs: int = 8000) -> Model | None:
+    return train_on(durable(features(docs, id_col, text_col)), labels, id_col, label, max_train_docs)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return score_rows(features(docs, id_col, text_col), model, id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = text_features(batch.column(1))
-            s = np.full(len(x), 0.5) if shared.value is None else shared.value.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.astype(np.float64))], ["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id bigint, score double").withColumnRenamed("id", id_col)
+def train_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_train_docs: int = 8000) -> DataFrame:
+    """``score`` of ``train``, with the texts read once."""
+    rows = durable(features(docs, id_col, text_col))
+    return score_rows(rows, train_on(rows, labels, id_col, label, max_train_docs), id_col)

@@ -458,6 +458,25 @@ def test_quality_on_held_out_documents(spark):
     assert auc([got[i] for i, _, _ in test], [q for _, q, _ in test]) > 0.97
 
 
+def test_quality_statistics_cover_all_documents(spark):
+    """Means, spreads and prior against plain sums over every text, whatever sample the risk is minimised on."""
+    docs, labels, known = labelled(spark)
+    texts = [x["text"] for x in docs.collect()] + [None, ""]
+    docs = docs.unionByName(frame(spark, [None, ""], [-1, -2]).select(docs.columns))
+    model = quality.train(docs, labels, max_train_docs=200)
+    every = quality.text_features(pa.array([t for t in texts if t])).astype(np.float64)
+    assert np.allclose(model.mean, every.mean(0), atol=1e-7) and np.allclose(model.scale, every.std(0) + 1e-3, atol=1e-5)
+    p = quality._expand((every[[i for i, q, _ in known if q and not held_out(i)][:100]] - model.mean) / model.scale)
+    w, b, at, shares = quality._ratio_points(p, quality._expand((every - model.mean) / model.scale))
+    rows = quality.features(docs)
+    g = quality._expand((every - model.mean) / model.scale) @ w + b
+    counted = quality._corpus_sums(rows, ["n_above"], lambda x: [quality._counts_above(quality._expand((x - model.mean) / model.scale) @ w + b, at)])
+    assert counted["n_above"].tolist() == [sum(v >= t for v in g) for t in at] and set(counted["n"]) == {len(every)}
+    assert np.allclose(shares, [np.mean([v >= t for v in p @ w + b]) for t in at])
+    scored = {x["doc_id"]: x["score"] for x in quality.train_and_score(docs, labels, max_train_docs=200).collect()}
+    assert len(scored) == len(texts) and scored == {x["doc_id"]: x["score"] for x in quality.score(docs, model).collect()}
+
+
 def test_risk_is_not_negative_on_separable_samples():
     r = np.random.default_rng(0)
     p, u = r.normal(2, 1, (300, 3)), np.concatenate([r.normal(2, 1, (150, 3)), r.normal(-2, 1, (150, 3))])
