@@ -1,13 +1,15 @@
-"""Substring deduplication by hashing normalised units (sentences of lines, or lines).
+"""Substring deduplication by hashing normalised units (lines, paragraphs, or sentences of lines).
 
-A text is cut at line breaks and, with ``unit="sentence"``, also after sentence
-ends inside a line, so that a repeated passage is found wherever its line begins.
+A text is cut at line breaks (``unit="line"``), at blank lines (``unit="paragraph"``) or
+at line breaks and after sentence ends inside a line (``unit="sentence"``), so that a
+repeated passage is found wherever its line begins.
 Units are normalised to their words (runs of letters and digits, in lower case
 letter by letter), digested to 128 bits and grouped globally.  The
 occurrence in the smallest ``doc_id`` (there, the first) stays; all others are
 repeats.
 
-Passages that begin or end inside a unit are found by spans of ``min_words`` words.
+Passages that begin or end inside a unit are found by spans of ``span_words`` words
+(none if it is null: then lines or paragraphs alone, with ``min_words=1`` every repeat).
 A span is chosen where its hash is the smallest of a window of spans that covers
 ``PASSAGE_WORDS`` words, so every passage of that many words or more has chosen
 spans, the same ones wherever it stands.  Spans are repeats if a smaller id has
@@ -15,7 +17,7 @@ them too; inside one document only units repeat, as spans overlap each other.
 
 Repeats that touch or overlap form a run; runs of ``min_words`` words or more are
 removed, with their offsets in the original text retained.  Of a passage that
-begins or ends inside a unit, fewer than ``PASSAGE_WORDS - min_words + 1`` words
+begins or ends inside a unit, fewer than ``PASSAGE_WORDS - span_words + 1`` words
 outside whole units may stay at each end.
 
 Grouping takes (digest, id) rows only; hot units are combined before the shuffle
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-_UNITS = {"line": re.compile(r"[^\n]+"), "sentence": re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*|[.!?]+[^\S\n]*")}
+_UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"\S[^\n]*(?:\n[^\S\n]*+\S[^\n]*)*"), "sentence": re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*|[.!?]+[^\S\n]*")}
 _GAPS = re.compile(r"[\W_]+")
 #: Rows are packed, because all of them are shuffled: characters are start << 31 | end; words have, above
 #: start << 31 | end, a bit that tells units from spans and one for the first of equal units of a text.
@@ -140,7 +142,7 @@ def _spans(sums: list[np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray]
     return chosen, [h[chosen] for h in both]
 
 
-def _rows_of(text: str, pattern: re.Pattern, min_words: int) -> list[np.ndarray]:
+def _rows_of(text: str, pattern: re.Pattern, span_words: int | None) -> list[np.ndarray]:
     """Columns of ``_SCHEMA`` but for the id: first the units that have words, then the chosen spans."""
     pack = lambda a, b: a.astype(np.int64) << _BITS | b
     starts, ends, hashes = _words(text)
@@ -152,16 +154,17 @@ def _rows_of(text: str, pattern: re.Pattern, min_words: int) -> list[np.ndarray]
     digest = _digests(sums, first, end, (end - first).astype(np.uint64))
     here = np.zeros(len(first), bool)
     here[np.unique(digest[0], return_index=True)[1]] = True
-    at, of_span = _spans(sums, min_words)
+    n_span = span_words or PASSAGE_WORDS + 1  # none is chosen then
+    at, of_span = _spans(sums, n_span)
     units = pack(first, end) | _UNIT | here * np.int64(_FIRST)
     return [
-        np.concatenate([pack(bounds[:, 0], bounds[:, 1]), pack(starts[at], ends[at + min_words - 1])]),
-        np.concatenate([units, pack(at, at + min_words) | _FIRST]),
+        np.concatenate([pack(bounds[:, 0], bounds[:, 1]), pack(starts[at], ends[at + n_span - 1])]),
+        np.concatenate([units, pack(at, at + n_span) | _FIRST]),
         *(np.concatenate([u.view(np.int64), v.view(np.int64)]) for u, v in zip(digest, of_span, strict=True)),
     ]
 
 
-def _unit_rows(unit: str, min_words: int):
+def _unit_rows(unit: str, span_words: int | None):
     pattern = _UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +181,7 @@ def _unit_rows(unit: str, min_words: int):
 
         for batch in batches:
             for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                columns = _rows_of(text.as_py(), pattern, min_words)
+                columns = _rows_of(text.as_py(), pattern, span_words)
                 n = len(columns[0])
                 out.append([np.full(n, doc_id, np.int64), np.full(n, mark, np.int64), *columns])
                 held += n
@@ -191,26 +194,28 @@ def _unit_rows(unit: str, min_words: int):
     return run
 
 
-def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30) -> DataFrame:
+def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", span_words: int | None = 30) -> DataFrame:
     """Packed rows of units and chosen spans."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text != ''")
     # tells apart different texts of one id; a constant where there are none, which takes no space in a shuffle
     repeats = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
     rows = rows.select("id", (F.xxhash64("text") if repeats else F.lit(0).cast("bigint")).alias("mark"), "text")
-    return rows.mapInArrow(_unit_rows(unit, min_words), _SCHEMA)
+    return rows.mapInArrow(_unit_rows(unit, span_words), _SCHEMA)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30, span_words: int | None = 30
+) -> DataFrame:
     """One row a removed run: id, start_char, end_char, n_units, n_words, first_<id> (smallest keeper of its units and spans).
 
     Offsets count characters of the original text, the end is exclusive.  A run of spans alone has no units.
     """
-    return _marked_runs(docs, id_col, text_col, unit, min_words).drop("mark")
+    return _marked_runs(docs, id_col, text_col, unit, min_words, span_words).drop("mark")
 
 
-def _marked_runs(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int) -> DataFrame:
+def _marked_runs(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int, span_words: int | None) -> DataFrame:
     """The runs with ``mark``: 0, or the hash of the text if some id has several rows."""
-    units = text_units(docs, id_col, text_col, unit, min_words)
+    units = text_units(docs, id_col, text_col, unit, span_words)
     # the other key makes both sides of the join shuffle anew, so that adaptive execution can split hot digests
     other = F.col("high").bitwiseXOR(F.lit(_ODD[0] >> 1)).alias("other")
     keepers = units.groupBy("high", "low").agg(F.min("id").alias("keeper"), F.count("*").alias("n"))
@@ -263,9 +268,11 @@ def _without(text: Column, spans: Column) -> Column:
     return let(F.array_sort(spans), lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), lambda k: part(s, k)), ""))
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30) -> DataFrame:
+def drop_repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 30, span_words: int | None = 30
+) -> DataFrame:
     """``docs``, same columns and rows, without the repeated runs."""
-    runs = _marked_runs(docs, id_col, text_col, unit, min_words)
+    runs = _marked_runs(docs, id_col, text_col, unit, min_words, span_words)
     spans = runs.groupBy(F.col(id_col).alias("__lx_id"), F.col("mark").alias("__lx_mark")).agg(F.collect_set(F.struct("start_char", "end_char")).alias("__lx_spans"))
     same_text = (spans["__lx_mark"] == 0) | (spans["__lx_mark"] == F.xxhash64(docs[text_col].cast("string")))
     joined = docs.join(spans, (docs[id_col] == spans["__lx_id"]) & same_text, "left")

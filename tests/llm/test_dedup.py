@@ -161,6 +161,31 @@ def test_passages_that_begin_and_end_inside_sentences(spark):
     assert not got
 
 
+@pytest.mark.parametrize(("unit", "cut"), [("line", r"\n"), ("paragraph", r"\n[^\S\n]*\n\s*")])
+def test_every_repeated_line_or_paragraph_goes(spark, unit, cut):
+    """Units alone: each is removed but for its earliest occurrence, by id and then by place."""
+    r = random.Random(11)
+    units = [" ".join(r.choice("red green blue Grey".split()) for _ in range(r.randint(1, 3))) for _ in range(30)] + ["---", "Red, green!"]
+    gaps = ["\n", "\n", "\n\n", "\n \n"]
+    texts = ["".join(r.choice(units) + r.choice(gaps) for _ in range(r.randint(0, 12))) for _ in range(40)]
+    runs = {}
+    for x in substring_dedup.repeated_passages(frame(spark, texts), unit=unit, min_words=1, span_words=None).collect():
+        runs.setdefault(x["doc_id"], []).append((x["start_char"], x["end_char"]))
+    seen = set()
+    for k, text in enumerate(texts):
+        at = 0
+        for m in [*re.finditer(cut, text), None]:
+            start, end = at, m.start() if m else len(text.rstrip())
+            at = m.end() if m else end
+            words = tuple(w for w in re.split(r"[\W_]+", text[start:end].lower()) if w)
+            if words:
+                inside = any(a <= start and end <= b for a, b in runs.get(k, []))
+                apart = all(b <= start or end <= a for a, b in runs.get(k, []))
+                assert inside if words in seen else apart, (k, start, end)
+                seen.add(words)
+    assert len(runs) > 20
+
+
 def test_spans_are_the_same_in_pieces(monkeypatch):
     r, words = random.Random(13), vocabulary()
     text = " ".join(r.choice(words) + r.choice(["", ",", "É", " -- "]) for _ in range(3000))
