@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
+from .alignment import align
 from .common import is_held_out, table
 from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine_hard_negatives
 from .license_scan import TEMPLATES, scan_licenses
 from .line_dedup import repeated_line_chunks
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .substring_dedup import repeated_passages
 from .url_filter import filter_urls, rules_frame
+from .vector_dedup import near_duplicate_vectors
 
 #: The rules of op3 as (host, path, action).
 URL_RULES = [
@@ -75,6 +78,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Where the public tokenizers' vocabulary files lie on every executor.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model", links="ends")
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity,
@@ -87,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_hyperminhash_dedup,
         op10_exact_dedup,
+        op11_token_alignment,
+        op12_embedding_dedup,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in own}
 
@@ -192,6 +215,41 @@ g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) O
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_OP12 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93::DOUBLE
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b, r FROM reach JOIN l ON a = id WHERE r < b),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+_OP13 = f"""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+), s AS (
+  SELECT a.id AS anchor_id, a.label AS anchor_label, b.id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+  FROM p JOIN s USING (anchor_id) WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -201,4 +259,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": _OP8,
         "op9_hyperminhash_dedup": _OP9,
         "op10_exact_dedup": _OP10,
+        "op12_embedding_dedup": _OP12,
+        "op13_hard_negatives": _OP13,
     }
