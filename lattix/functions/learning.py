@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -20,6 +21,27 @@ def lag_features(series: DataFrame, order: str, value: str, length: int, by: lis
     return rows.filter(F.col("_n") > length).select(*(by or []), order, *lags, "target")
 
 
+def series_lags(series: DataFrame, order: list[str], value: str, length: int) -> DataFrame:
+    """As ``lag_features``, of all rows as one series however long: ranges of the order, each with the last rows of those before it.
+
+    ``value`` is taken as double (a null as not a number); columns ``order``, a0 .. a<length-1>, target.
+    """
+    from lattix.operators.scans import in_ranges, with_halo
+
+    names = [f"a{k}" for k in range(length)]
+    ranged = in_ranges(series.select(*order, F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("target")), order)
+
+    def lags(t: pa.Table, halo: int) -> pa.Table:
+        v, first = t.column("target").to_numpy(), max(halo, length)
+        out = t.slice(first)
+        for k, name in enumerate(names):
+            out = out.append_column(name, pa.array(v[first - length + k :][: out.num_rows]))
+        return out.select([*order, *names, "target"])
+
+    kinds = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in order)
+    return with_halo(ranged, length, lags, f"{kinds}, " + ", ".join(f"{n} double" for n in [*names, "target"]))
+
+
 def simple_ols(df: DataFrame, y: Column, x: Column, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattix.operators.scans import in_ranges, latest, scan
+from lattix.plans.lineage import durable
+
 #: Least relative imbalance, share of the difference that moves, share of tasks that is replicated.
 MIN_RELATIVE, MOVE_SHARE, REPLICATED_SHARE = 0.05, 0.5, 0.1
 
@@ -19,9 +24,8 @@ def default_load(tasks: DataFrame, rank: str, local: Column, replicated_local: C
 
 def sorted_positions(loads: DataFrame) -> DataFrame:
     """Position of each rank by (load, rank), from 0, and the number of ranks."""
-    return loads.withColumns(
-        {"pos": F.row_number().over(Window.orderBy("load", "rank")) - 1, "n": F.count("*").over(Window.partitionBy())}
-    )
+    placed = scan(in_ranges(loads, ["load", "rank"]), [], {"pos": F.lit(1).cast("bigint")}, lambda a, b: {"pos": a["pos"] + b["pos"]}, {"pos": 0})
+    return placed.crossJoin(F.broadcast(loads.agg(F.count("*").alias("n"))))
 
 
 def migrate_default(loads: DataFrame) -> DataFrame:
@@ -45,19 +49,84 @@ def migrate_default(loads: DataFrame) -> DataFrame:
 def migrate_aggressive(loads: DataFrame) -> DataFrame:
     """Moves that bring all ranks to the mean (rounded down): surplus meets deficit greedily in rank order.
 
-    Surplus and deficit become adjacent intervals by running sums; overlaps are the moves.
+    Surplus and deficit become adjacent intervals by running sums (a scan over the ranks);
+    their overlaps are the moves, found by a sweep over both.
     """
     with_mean = loads.crossJoin(F.broadcast(loads.agg(F.floor(F.sum("load") / F.count("*")).alias("mean"))))
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    gap = (F.col("load") - F.col("mean")).cast("bigint")
+    amounts = {"give": F.greatest(gap, F.lit(0).cast("bigint")), "take": F.greatest(-gap, F.lit(0).cast("bigint"))}
+    summed = scan(in_ranges(with_mean, ["rank"]), [], amounts, lambda a, b: {k: a[k] + b[k] for k in a}, {"give": 0, "take": 0})
+    side = lambda amount, start: durable(summed.select(F.col("rank").cast("bigint").alias("id"), F.col(start).alias("lo"), (F.col(start) + amount).alias("hi")).filter("hi > lo"))
+    both = sweep_disjoint(side(amounts["give"], "give"), side(amounts["take"], "take"))
+    return both.select(F.col("a").alias("from_rank"), F.col("b").alias("to_rank"), (F.col("hi") - F.col("lo")).alias("n_tasks"))
+
+
+def sweep_disjoint(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Overlaps (a, b, lo, hi) of intervals (id, lo, hi) that don't overlap on their own side: a merge of both sides' starts.
+
+    Each start sees the last interval of the other side that began before it, by one scan
+    over all starts; an overlap begins with the later of its two starts.
+    """
+    mark = lambda df, s: df.select(*[(F.col(c) if k == s else F.lit(0).cast("bigint")).alias(f"{k}_{c}") for k in "ab" for c in ("id", "lo", "hi")], F.col("lo").alias("at"), F.lit(s).alias("side"))
+    starts = in_ranges(mark(a, "a").unionByName(mark(b, "b")), ["at", "side"])
+    state = {f"{s}{c}": F.col(f"{s}_{c}") for s in "ab" for c in ("id", "lo", "hi")}
+    state |= {f"{s}set": (F.col("side") == s).cast("bigint") for s in "ab"}
 
-    def intervals(amount: Column, name: str, lo: str, hi: str) -> DataFrame:
-        rows = with_mean.select(F.col("rank").alias(name), amount.alias("amount"), "rank").filter("amount > 0")
-        return rows.select(name, (F.sum("amount").over(w) - F.col("amount")).alias(lo), F.sum("amount").over(w).alias(hi))
+    def newest(x, y):
+        out = {}
+        for s in "ab":
+            mine = lambda v: {("set" if k[1:] == "set" else k): v[k] for k in v if k[0] == s}  # noqa: B023, E731
+            out |= {(s + "set" if k == "set" else k): v for k, v in latest(mine(x), mine(y)).items()}
+        return out
 
-    give = intervals(F.col("load") - F.col("mean"), "from_rank", "g0", "g1")
-    take = intervals(F.col("mean") - F.col("load"), "to_rank", "t0", "t1")
-    both = give.join(take, (F.col("g0") < F.col("t1")) & (F.col("t0") < F.col("g1")))
-    return both.select("from_rank", "to_rank", (F.least("g1", "t1") - F.greatest("g0", "t0")).cast("bigint").alias("n_tasks"))
+    seen = scan(starts, [], state, newest, dict.fromkeys(state, 0), inclusive=True).filter("aset = 1 AND bset = 1")
+    lo, hi = F.greatest("alo", "blo"), F.least("ahi", "bhi")
+    # the later start begins the overlap; of two equal ones the row of side b, which comes second
+    begins = (F.col("at") == lo) & ((F.col("alo") != F.col("blo")) | (F.col("side") == "b"))
+    return seen.filter(begins & (hi > lo)).select(F.col("aid").alias("a"), F.col("bid").alias("b"), lo.alias("lo"), hi.alias("hi"))
+
+
+#: Ranges of an overlap join, an upper bound of the cuts that reach the driver.
+SWEEP_RANGES = 256
+
+
+def overlap_join(a: DataFrame, b: DataFrame, ranges: int = SWEEP_RANGES) -> DataFrame:
+    """All overlapping pairs (a, b) of half-open intervals (id bigint, lo, hi bigint), which may overlap on their own side too.
+
+    The starts' quantiles cut the axis into ranges; an interval goes to each range that it
+    touches, so a range knows what is open at its beginning.  Inside a range both sides are
+    sorted by start: what begins inside an interval is one slice of the other side's
+    starts.  A pair is made in the range where its later start lies, so once.  Intervals
+    with a null or without length overlap nothing.
+    """
+    full = lambda df, s: df.filter("lo < hi").select("id", "lo", "hi", F.lit(s).alias("side"))
+    both = durable(full(a, 0).union(full(b, 1)))
+    cuts = both.agg(F.percentile_approx("lo", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    cuts = np.array(sorted(set(cuts)), np.int64)
+    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if len(cuts) else F.array().cast("array<bigint>")
+    place = lambda x: F.size(F.filter(bounds, lambda c: c <= x))
+    dealt = both.withColumn("_range", F.explode(F.sequence(place(F.col("lo")), place(F.col("hi") - 1))))
+
+    def sweep(t: pa.Table) -> pa.Table:
+        r, side = t.column("_range")[0].as_py(), t.column("side").to_numpy()
+        begin = int(cuts[r - 1]) if r else np.iinfo(np.int64).min
+        ids, lo, hi = (t.column(c).to_numpy() for c in ("id", "lo", "hi"))
+        lo = np.maximum(lo, begin)
+        made = []
+        for s in (0, 1):  # rows of the other side that begin inside mine; of equal starts side 0's row counts as first
+            mine, other = np.flatnonzero(side == s), np.flatnonzero(side != s)
+            other = other[np.argsort(lo[other], kind="stable")]
+            first = np.searchsorted(lo[other], lo[mine], "left" if s == 0 else "right")
+            n = np.maximum(np.searchsorted(lo[other], hi[mine], "left") - first, 0)
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            x, y = np.repeat(mine, n), other[at]
+            # both began before this range: an earlier one has made the pair
+            new = (np.maximum(t.column("lo").to_numpy()[x], t.column("lo").to_numpy()[y]) >= begin) if r else np.ones(len(x), bool)
+            x, y = x[new], y[new]
+            made.append((ids[x], ids[y]) if s == 0 else (ids[y], ids[x]))
+        return pa.table({"a": np.concatenate([m[0] for m in made]), "b": np.concatenate([m[1] for m in made])})
+
+    return dealt.groupBy("_range").applyInArrow(sweep, "a bigint, b bigint")
 
 
 def replicate_ring(loads: DataFrame, share: float = REPLICATED_SHARE) -> DataFrame:

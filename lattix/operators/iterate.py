@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,33 @@ def dag_levels(edges: DataFrame) -> DataFrame:
     raise ValueError("the edges have a cycle")
 
 
+def rolling_barrier_payoffs(
+    series: DataFrame, order: list[str], normal: str, steps: int, strike: float, barrier: float, start: float, sigma: float, mu: float, rate: float, dt: float, years: float
+) -> DataFrame:
+    """As ``barrier_payoff``, of paths that overlap: each row of one series ends a path of its own and the ``steps`` - 1 normals before it.
+
+    Rows (order, payoff); the first rows, which end no path, go.  The series is cut into
+    ranges, each with the last normals of those before it, so a normal is read once.
+    """
+    from lattix.operators.scans import in_ranges, with_halo
+
+    ranged = in_ranges(series.select(*order, F.col(normal).cast("double").alias("_z")), order)
+
+    def payoffs(t: pa.Table, halo: int) -> pa.Table:
+        z, first = t.column("_z").to_numpy(), max(halo, steps - 1)
+        out = t.slice(first).drop(["_z"])
+        if len(z) < steps:
+            return out.append_column("payoff", pa.array([], pa.float64()))
+        s = np.full(len(z) - steps + 1, float(start))
+        for step in np.lib.stride_tricks.sliding_window_view(z, steps).T:
+            s = np.where(s > barrier, s + mu * s * dt + sigma * s * step, s)
+        paid = np.where(s > barrier, np.maximum(s - strike, 0.0), 0.0) * np.exp(-rate * years)
+        return out.append_column("payoff", pa.array(paid[first - steps + 1 :]))
+
+    kinds = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in order)
+    return with_halo(ranged, steps - 1, payoffs, f"{kinds}, payoff double")
+
+
 def barrier_payoff(normals: Column, strike: float, barrier: float, start: float, sigma: float, mu: float, rate: float, dt: float, years: float) -> Column:
     """Discounted payoff of a down-and-out call along one path of normals; the path stops once it touches the barrier."""
     zero = F.lit(float(start))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.operators.ordered import sums_before
+from lattix.operators.scans import in_ranges, scan
 
 
 def upsert_last(writes: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -57,10 +59,28 @@ def fetch_add(df: DataFrame, cell: list[str], order: list[str], amount: Column,
     return sums_before(df, cell, order, amount, out)
 
 
-def fetch_before(df: DataFrame, cell: list[str], order: list[str], **aggregates: Column) -> DataFrame:
-    """Value that each fetch-and-op sees: the aggregate (bit_or, bit_xor, bit_and, min, ..) of the cell's earlier operands, null for the first."""
-    w = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({n: a.over(w) for n, a in aggregates.items()})
+#: Operations of fetch-and-op: the function of two operands, and the operand that changes nothing.
+FETCH_OPS = {
+    "or": (np.bitwise_or, 0),
+    "xor": (np.bitwise_xor, 0),
+    "and": (np.bitwise_and, -1),
+    "add": (np.add, 0),
+    "min": (np.minimum, float("inf")),
+    "max": (np.maximum, float("-inf")),
+}
+
+
+def fetch_before(df: DataFrame, cell: list[str], order: list[str], **operands: tuple[str, Column]) -> DataFrame:
+    """Value that each fetch-and-op sees: (op, operand) of ``FETCH_OPS`` over the cell's earlier operands, null for the first.
+
+    One scan serves all operations; a cell may hold any share of all rows, even all of them
+    (``cell=[]``).  Operands of or, xor, and, add are bigint, those of min and max double.
+    """
+    ops = {n: FETCH_OPS[op] for n, (op, _) in operands.items()}
+    state = {n: c.cast("double" if isinstance(ops[n][1], float) else "bigint") for n, (_, c) in operands.items()}
+    combine = lambda a, b: {k: ops[k][0](a[k], b[k]) if k in ops else a[k] + b[k] for k in a}
+    seen = scan(in_ranges(df, [*cell, *order]), cell, state | {"_n": F.lit(1).cast("bigint")}, combine, {n: i for n, (_, i) in ops.items()} | {"_n": 0})
+    return seen.withColumns({n: F.when(F.col("_n") > 0, F.col(n)) for n in ops}).drop("_n")
 
 
 def compare_and_swap(df: DataFrame, cell: str, order: str, expected: str, new: str, start: int = 0) -> DataFrame:

@@ -156,11 +156,15 @@ def gemm(
 
 
 def split_gemm(a: DataFrame, b: DataFrame, parts: int) -> DataFrame:
-    """A product in two steps, for a few hot inner indices: partial sums by ranges of k first."""
-    x = a.select("i", F.col("j").alias("k"), F.col("v").alias("_a"))
-    y = b.select(F.col("i").alias("k"), "j", F.col("v").alias("_b"))
-    partial = x.join(y, "k").withColumn("part", F.pmod("k", F.lit(parts))).groupBy("i", "j", "part").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
-    return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    """A product for a few hot inner indices: A's rows are dealt over ``parts`` keys an index, and B's row goes to each of them."""
+    x = a.select("i", F.col("j").alias("k"), F.col("v").alias("_a"), F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int").alias("part"))
+    y = b.select(F.col("i").alias("k"), "j", F.col("v").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return x.join(y, ["k", "part"]).groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+
+
+def append_columns(a: DataFrame, b: DataFrame, columns: int) -> DataFrame:
+    """B's columns to the right of A's ``columns``, row by row."""
+    return a.select("i", "j", "v").unionByName(shifted(b, 0, columns))
 
 
 def product_shape(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.operators.ordered import positions
+from lattix.operators.scans import clamps, in_ranges, latest, scan
+from lattix.plans.lineage import durable
 
 
 def fifo(df: DataFrame, host: str, order: list[str], out: str = "pos") -> DataFrame:
@@ -73,9 +75,65 @@ def migrate(df: DataFrame, host: str, source: int, target: int) -> DataFrame:
     return df.withColumn(host, F.when(F.col(host) == source, F.lit(target)).otherwise(F.col(host)))
 
 
-def insert_after(df: DataFrame, order: str, after: Column, new: Column) -> Column:
-    """Order value between ``after`` and the next one: a fraction, so nothing is renumbered."""
-    return (after + new) / 2
+def replay_bounded(ops: DataFrame, host: str, order: list[str], push: Column, item: str, capacity: int) -> DataFrame:
+    """What becomes of each push and pop of queues that hold ``capacity`` items, in ``order``: the operations with
+    ``size_before``, ``accepted`` and, for a pop that finds the queue not empty, the popped ``item`` of type bigint.
+
+    A push changes the size to min(size + 1, capacity), a pop to max(size - 1, 0).  Such
+    functions compose to functions of the same form, so the size before each operation is
+    a scan over their composition, and a host with most operations is spread over many
+    ranges.  As the queue is first in first out, its k-th accepted pop takes the item of the
+    k-th accepted push.  A null in ``push`` is a pop.
+    """
+    push = F.coalesce(push, F.lit(False))
+    step = {"add": F.when(push, 1).otherwise(-1).cast("bigint"), "lo": F.lit(0).cast("bigint"), "hi": F.lit(capacity).cast("bigint")}
+    most = 1 << 62
+    before = scan(in_ranges(ops.withColumn("_push", push), [host, *order]), [host], step, clamps, {"add": 0, "lo": -most, "hi": most})
+    size = F.least(F.greatest(F.col("add"), F.col("lo")), F.col("hi"))  # the composed function of an empty queue
+    sized = before.withColumn("size_before", size).drop("add", "lo", "hi")
+    sized = durable(sized.withColumn("accepted", F.when(F.col("_push"), F.col("size_before") < capacity).otherwise(F.col("size_before") > 0)))
+    done = lambda kind: F.when(F.col("accepted") & (F.col("_push") == kind), 1).otherwise(0).cast("bigint")
+    add = lambda a, b: {k: a[k] + b[k] for k in a}
+    turn = scan(sized, [host], {"_pushes": done(True), "_pops": done(False)}, add, {"_pushes": 0, "_pops": 0})
+    turn = turn.withColumn("_turn", F.when(F.col("accepted"), F.when(F.col("_push"), F.col("_pushes")).otherwise(F.col("_pops")))).drop("_pushes", "_pops")
+    given = turn.filter("_push AND accepted").select(F.col(host).alias("_host"), F.col("_turn").alias("_number"), F.col(item).cast("bigint").alias("popped"))
+    taken = turn.join(given, (~F.col("_push")) & F.col(host).eqNullSafe(F.col("_host")) & (F.col("_turn") == F.col("_number")), "left")
+    return taken.drop("_push", "_turn", "_host", "_number")
+
+
+def list_order(inserts: DataFrame, node: str, after: str, order: str) -> DataFrame:
+    """Positions, from 0, in a list that is built by inserting each ``node`` directly after another one: (node, pos).
+
+    ``inserts`` happen by rising ``order``; ``after`` is null for inserts at the list's head.
+    Nodes that were inserted after one node form a tree: a node comes before all that were
+    inserted after it, the latest first.  A walk around the tree enters and leaves each
+    node once; each step's successor is known from the node's latest child, its earlier
+    sibling, or its parent.  Pointer doubling ranks the walk: every round adds the count of
+    the step that a pointer leads to and doubles its reach, so 2n steps take log2(2n)
+    rounds, each one join on unique keys, checkpointed.  Nodes and orders are unique; what
+    was inserted after a node that is nowhere inserted doesn't appear.
+    """
+    rows = inserts.select(F.col(node).alias("node"), F.col(after).alias("parent"), F.col(order).alias("at"))
+    # the sibling that was inserted before: the latest earlier row of the same parent
+    elder = scan(in_ranges(rows, ["parent", "at"]), ["parent"], {"set": F.lit(1).cast("bigint"), "_elder": F.col("node").cast("bigint")}, latest, {"set": 0, "_elder": 0})
+    nodes = durable(elder.select("node", "parent", "at", F.when(F.col("set") == 1, F.col("_elder")).alias("elder")))
+    youngest = nodes.groupBy("parent").agg(F.max_by("node", "at").alias("child"))
+    enter = lambda c: F.when(c.isNotNull(), c * 2)  # noqa: E731  steps: twice the node to enter it, and one more to leave it
+    leave = lambda c: F.when(c.isNotNull(), c * 2 + 1)
+    children = youngest.select(F.col("parent").alias("node"), "child").filter("node IS NOT NULL")
+    into = nodes.join(children, "node", "left").select(enter(F.col("node")).alias("step"), F.coalesce(enter(F.col("child")), leave(F.col("node"))).alias("next"), F.lit(1).cast("bigint").alias("n"))
+    out = nodes.select(leave(F.col("node")).alias("step"), F.coalesce(enter(F.col("elder")), leave(F.col("parent"))).alias("next"), F.lit(0).cast("bigint").alias("n"))
+    walk = durable(into.union(out))
+    open_steps = walk.filter("next IS NOT NULL").limit(1).count()
+    while open_steps:  # n: nodes entered from the step on, before the step that ``next`` leads to
+        to = walk.select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("n").alias("_n"), F.lit(True).alias("_met"))
+        moved = walk.filter("next IS NOT NULL").join(to, "next", "left")
+        moved = moved.select("step", F.col("_next").alias("next"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_met", F.lit(False)).alias("met"))
+        walk = durable(moved.filter("met").drop("met").union(walk.filter("next IS NULL")))
+        open_steps = walk.filter("next IS NOT NULL").limit(1).count()
+    # from the first step all nodes are entered, from the last node's step one
+    total = F.broadcast(walk.agg(F.max("n").alias("_total")))
+    return walk.filter("step % 2 = 0").crossJoin(total).select(F.floor(F.col("step") / 2).alias("node"), (F.col("_total") - F.col("n")).alias("pos"))
 
 
 def distribute(df: DataFrame, host: Column, n: int, name: str = "host") -> DataFrame:
@@ -139,7 +197,9 @@ def schedule(df: DataFrame, host: str, kind: str, order: str) -> DataFrame:
 
 
 def encode_task(owner: Column, index: Column) -> Column:
-    return F.shiftleft(owner.cast("bigint"), 24).bitwiseOR(index.cast("bigint"))
+    """One number of the owner and of an index below 2 ** 24; a larger index is an error, as it would name another owner's task."""
+    fits = F.when(index.between(0, (1 << 24) - 1), index.cast("bigint")).when(index.isNotNull(), F.raise_error(F.lit("a task's index is beyond 24 bits")).cast("bigint"))
+    return F.shiftleft(owner.cast("bigint"), 24).bitwiseOR(fits)
 
 
 def task_owner(task: Column) -> Column:

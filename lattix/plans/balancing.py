@@ -47,6 +47,19 @@ def migrate_aggressive(spark, sf):
     return balance.migrate_aggressive(_loads(spark, sf))
 
 
+@query(
+    """SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_orderkey % 2 = 0 AND b.o_orderkey % 2 = 1
+       AND a.o_orderkey * 10 < b.o_orderkey * 10 + 5 + (b.o_totalprice::BIGINT) % 60 AND b.o_orderkey * 10 < a.o_orderkey * 10 + 5 + (a.o_totalprice::BIGINT) % 90"""
+)
+def interval_sweep(spark, sf):
+    """Tasks of two kinds that run at the same time: both kinds' intervals overlap among themselves too."""
+    start = F.col("o_orderkey") * 10
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), start.alias("lo"), F.round("o_totalprice").cast("bigint").alias("p"))
+    even = orders.filter("id % 2 = 0").select("id", "lo", (F.col("lo") + 5 + F.col("p") % 90).alias("hi"))
+    odd = orders.filter("id % 2 = 1").select("id", "lo", (F.col("lo") + 5 + F.col("p") % 60).alias("hi"))
+    return balance.overlap_join(even, odd)
+
+
 @query(
     f"""WITH l AS (SELECT rank, floor(load * 0.1 / 2)::BIGINT AS n_tasks, count(*) OVER () AS n FROM ({_LOADS}))
         SELECT DISTINCT rank AS from_rank, (rank + d + n) % n AS to_rank, n_tasks FROM l, (VALUES (-1), (1)) v(d) WHERE n > 1 AND n_tasks > 0"""

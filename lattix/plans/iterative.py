@@ -32,7 +32,27 @@ def life2d_step(spark, sf):
 
 @query("WITH g0 AS (" + _CELLS + ")" + "".join(f", g{k} AS ({_step_sql(f'g{k - 1}')})" for k in range(1, 11)) + " SELECT row, col FROM g10")
 def life2d_10(spark, sf):
-    return grid.life2d(_board(spark, sf), 64, 64, 10)
+    return grid.life2d(_board(spark, sf), 64, 64, 10, block=16)
+
+
+def _plane_step_sql(source: str) -> str:
+    return f"""SELECT x, y, z FROM (
+         SELECT x, y, z, sum(near) AS near, max(self) AS self FROM (
+           SELECT x, y + a AS y, (z + b + 16) % 16 AS z, 1 AS near, 0 AS self FROM {source}, (VALUES (-1), (0), (1)) p(a), (VALUES (-1), (0), (1)) q(b) WHERE a <> 0 OR b <> 0
+           UNION ALL SELECT x, y, z, 0, 1 FROM {source})
+         WHERE y BETWEEN 0 AND 31 GROUP BY x, y, z)
+       WHERE near = 3 OR (near = 2 AND self = 1)"""
+
+
+_PLANES = "SELECT l_linenumber % 4 AS x, l_partkey % 32 AS y, l_suppkey % 16 AS z FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1"
+
+
+@query(f"WITH g0 AS ({_PLANES})" + "".join(f", g{k} AS ({_plane_step_sql(f'g{k - 1}')})" for k in range(1, 8)) + " SELECT x, y, z FROM g7")
+def life3d_7(spark, sf):
+    """Seven generations of planes whose z is periodic, in two exchanges."""
+    axes = {"x": F.col("l_linenumber") % 4, "y": F.col("l_partkey") % 32, "z": F.col("l_suppkey") % 16}
+    cells = table(spark, sf, "lineitem").groupBy(*[c.alias(n) for n, c in axes.items()]).agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    return grid.life3d(cells, 16, 32, 7, every=4, block=12)
 
 
 @query(
@@ -118,9 +138,25 @@ def barrier_option_price(spark, sf):
     return table(spark, sf, "embeddings").agg(F.count("*").alias("paths"), F.round(F.avg(payoff), 6).alias("price"))
 
 
-@query("SELECT round(sum(i * 3.14::DOUBLE), 2) AS total FROM range(100000) t(i)")
+@query(
+    """WITH RECURSIVE z AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS k, ((round(value * 100)::BIGINT % 201) - 100)::DOUBLE / 800 AS z FROM events),
+       p(k, n, s) AS (SELECT k, 0, 100.0::DOUBLE FROM z WHERE k <= (SELECT max(k) FROM z) - 11
+         UNION ALL SELECT p.k, n + 1, CASE WHEN s > 95 THEN s + 0.1::DOUBLE * s * 0.015625::DOUBLE + 0.2::DOUBLE * s * z.z ELSE s END FROM p JOIN z ON z.k = p.k + n WHERE n < 12)
+       SELECT e.ts, e.event_id, round(CASE WHEN s > 95 THEN greatest(s - 100, 0) ELSE 0 END * exp(-0.05::DOUBLE), 6) AS payoff
+       FROM p JOIN z ON z.k = p.k + 11 JOIN events e USING (event_id) WHERE n = 12"""
+)
+def barrier_overlapping_paths(spark, sf):
+    """A price path of twelve normals ends at each event, so that neighbouring paths share eleven of them."""
+    z = ((F.round(F.col("value") * 100).cast("bigint") % 201) - 100).cast("double") / 800
+    events = table(spark, sf, "events").select("ts", "event_id", z.alias("z"))
+    got = iterate.rolling_barrier_payoffs(events, ["ts", "event_id"], "z", 12, strike=100, barrier=95, start=100, sigma=0.2, mu=0.1, rate=0.05, dt=0.015625, years=1.0)
+    return got.withColumn("payoff", F.round("payoff", 6))
+
+
+@query("SELECT l_returnflag, round(sum(round(l_quantity)::BIGINT) * 3.14::DOUBLE, 2) AS total FROM lineitem GROUP BY 1")
 def loop_sum(spark, sf):
-    return spark.range(100_000).agg(F.round(F.sum(F.col("id") * 3.14), 2).alias("total"))
+    """A loop's scaled sum, over a table's rows."""
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.round("l_quantity").cast("bigint")) * 3.14, 2).alias("total"))
 
 
 @query("SELECT n_nationkey, factorial(least(n_nationkey, 20))::BIGINT AS f FROM nation")

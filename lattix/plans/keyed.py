@@ -49,9 +49,9 @@ def kv_present(spark, sf):
     return kv.present(table(spark, sf, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
 def kv_absent(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return kv.absent(table(spark, sf, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
@@ -121,11 +121,26 @@ def fetch_ops_before(spark, sf):
     part = F.col("l_partkey")
     got = kv.fetch_before(
         table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_tax"],
-        or_before=F.bit_or(part), xor_before=F.bit_xor(part), and_before=F.bit_and(part), min_before=F.min("l_tax"),
+        or_before=("or", part), xor_before=("xor", part), and_before=("and", part), min_before=("min", F.col("l_tax")),
     )
     return got.select("l_orderkey", "l_linenumber", "or_before", "xor_before", "and_before", "min_before")
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, bit_or(l_partkey) OVER w AS or_before, bit_xor(l_partkey) OVER w AS xor_before, bit_and(l_partkey + 1048576) OVER w AS and_before,
+              min(l_extendedprice) OVER w AS min_before, sum(l_quantity::BIGINT) OVER w AS sum_before
+       FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def fetch_ops_one_cell(spark, sf):
+    """All rows of the table meet in one cell."""
+    part = F.col("l_partkey")
+    got = kv.fetch_before(
+        table(spark, sf, "lineitem"), [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"],
+        or_before=("or", part), xor_before=("xor", part), and_before=("and", part + 1048576), min_before=("min", F.col("l_extendedprice")), sum_before=("add", F.col("l_quantity")),
+    )
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", "or_before", "xor_before", "and_before", "min_before", "sum_before")
+
+
 @query(
     """WITH RECURSIVE t AS (SELECT user_id % 16 AS cell, event_id, event_id % 3 AS old, (event_id + user_id) % 3 AS new,
                                    row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS k FROM events),

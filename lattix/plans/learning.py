@@ -20,6 +20,15 @@ def _daily(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
 
 
+@query(
+    """SELECT ts, event_id, lag(value, 4) OVER w AS a0, lag(value, 3) OVER w AS a1, lag(value, 2) OVER w AS a2, lag(value, 1) OVER w AS a3, value AS target
+       FROM events WINDOW w AS (ORDER BY ts, event_id) QUALIFY row_number() OVER w > 4"""
+)
+def lag_features_one_series(spark, sf):
+    """All events are one series."""
+    return learning.series_lags(table(spark, sf, "events"), ["ts", "event_id"], "value", 4)
+
+
 @query(
     "SELECT event_type, day, " + ", ".join(f"lag(n, {6 - k}) OVER w AS a{k}" for k in range(6)) + f", n AS target FROM ({_DAILY}) "
     "WINDOW w AS (PARTITION BY event_type ORDER BY day) QUALIFY row_number() OVER w > 6"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattix.functions import blocking, scalar
-from lattix.operators import arrays, matrix
+from lattix.operators import arrays, matrix, sparse, tiles
 from lattix.plans.lineage import CachedCopy, table
 from lattix.plans.registry import query
 from lattix.sources import matrices
@@ -91,7 +91,29 @@ def dense_gemm(spark, sf):
     a = _dense(spark, sf)
     n = table(spark, sf, "embeddings").count()
     width = table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
-    return matrix.gemm(matrix.transpose(a), a, shapes=((width, n), (n, width)))
+    return tiles.gemm(matrix.transpose(a), a, ((width, n), (n, width)), layers=2)
+
+
+@query(_GRAM)
+def dense_gemm_cells(spark, sf):
+    """The same by a join of cells."""
+    a = _dense(spark, sf)
+    return matrix.gemm(matrix.transpose(a), a)
+
+
+@query(f"SELECT a.i, b.i AS j, sum(a.v * b.v)::BIGINT AS v FROM ({_DENSE}) a JOIN ({_DENSE}) b USING (j) WHERE b.i < 64 GROUP BY a.i, b.i")
+def dense_gemm_grid(spark, sf):
+    """All vectors against a batch of 64, on a grid of tiles."""
+    a = _dense(spark, sf)
+    n = table(spark, sf, "embeddings").count()
+    width = table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    return tiles.gemm(a, matrix.transpose(a.filter("i < 64")), ((n, width), (width, 64)), tile=32)
+
+
+@query(f"SELECT i, j, v FROM ({_DENSE}) UNION ALL SELECT i, (j + 64)::INT, v * 2 FROM ({_DENSE})")
+def append_columns(spark, sf):
+    a = _dense(spark, sf)
+    return matrix.append_columns(a, matrix.apply(a, lambda v: v * 2), 64)
 
 
 @query(_GRAM)
@@ -155,13 +177,24 @@ def _sparse_gram(times: str, where: str = "true") -> str:
 @query(_sparse_gram("sum(a.v * b.v)::BIGINT"))
 def sparse_gemm_plus_times(spark, sf):
     a = _sparse(spark, sf)
-    return matrix.gemm(matrix.transpose(a), a)
+    return sparse.gemm_rows(matrix.transpose(a), a)
 
 
 @query(_sparse_gram("min(a.v + b.v)"))
 def sparse_gemm_min_plus(spark, sf):
     a = _sparse(spark, sf)
-    return matrix.gemm(matrix.transpose(a), a, "min_plus")
+    return sparse.gemm_rows(matrix.transpose(a), a, "min_plus")
+
+
+@query(
+    f"""WITH s AS (SELECT CASE WHEN i % 3 = 0 THEN 0 ELSE i END AS i, j, sum(v)::BIGINT AS v FROM ({_SPARSE}) GROUP BY 1, 2), h AS (SELECT i, j, v FROM ({_SPARSE}))
+        SELECT a.j AS i, b.j, max(a.v * b.v) AS v FROM s a JOIN s b ON a.i = b.i GROUP BY a.j, b.j"""
+)
+def sparse_gemm_hot_index(spark, sf):
+    """A third of the rows share one inner index, which is salted."""
+    a = _sparse(spark, sf)
+    hot = a.groupBy(F.when(F.col("i") % 3 == 0, 0).otherwise(F.col("i")).alias("i"), "j").agg(F.sum("v").alias("v"))
+    return sparse.gemm_rows(matrix.transpose(hot), hot, "max_times", hot=10)
 
 
 @query(_sparse_gram("true", "a.v > 40 AND b.v > 40"))

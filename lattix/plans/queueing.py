@@ -108,11 +108,52 @@ def queue_checksum(spark, sf):
     return queues.valid(broken, ["event_id", "cents"]).groupBy("host").agg(F.count("*").alias("valid"))
 
 
-@query("SELECT n_nationkey, (row_number() OVER (ORDER BY CASE WHEN n_nationkey = 24 THEN 5.5 ELSE n_nationkey END) - 1)::INT AS pos FROM nation")
+# each part is inserted after another one: mostly after its predecessor (nested deeply), every fifth after one of a few (many children)
+_INSERTS = """SELECT p_partkey AS node, CASE WHEN p_partkey = (SELECT min(p_partkey) FROM part) THEN NULL
+                WHEN p_partkey % 5 = 1 THEN greatest(p_partkey - p_partkey % 500, (SELECT min(p_partkey) FROM part)) ELSE p_partkey - 1 END AS after FROM part"""
+
+
+@query(
+    f"""WITH RECURSIVE i AS ({_INSERTS}), t(node, path) AS (
+          SELECT node, [-node] FROM i WHERE after IS NULL
+          UNION ALL SELECT i.node, list_append(path, -i.node) FROM t JOIN i ON i.after = t.node AND i.node <> t.node)
+        SELECT node, row_number() OVER (ORDER BY path) - 1 AS pos FROM t"""
+)
 def queue_insert_after(spark, sf):
-    nation = table(spark, sf, "nation").select("n_nationkey", F.lit(0).alias("host"), F.col("n_nationkey").cast("double").alias("seq"))
-    placed = nation.withColumn("seq", F.when(F.col("n_nationkey") == 24, queues.insert_after(nation, "seq", F.lit(5.0), F.lit(6.0))).otherwise(F.col("seq")))
-    return queues.fifo(placed, "host", ["seq"]).select("n_nationkey", "pos")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
+    least = part.agg(F.min("node")).first()[0]
+    key = F.col("node")
+    after = F.when(key == least, F.lit(None)).when(key % 5 == 1, F.greatest(key - key % 500, F.lit(least))).otherwise(key - 1)
+    return queues.list_order(part.withColumn("after", after.cast("bigint")), "node", "after", "node")
+
+
+def _replay_sql(host: str) -> str:
+    return f"""WITH RECURSIVE o AS (SELECT {host} AS host, event_id, event_type NOT IN ('click', 'error') AS push, row_number() OVER (PARTITION BY {host} ORDER BY ts, event_id) AS k FROM events),
+       r(host, k, event_id, push, size_before, accepted, size) AS (
+         SELECT host, k, event_id, push, 0::BIGINT, push, push::BIGINT FROM o WHERE k = 1
+         UNION ALL SELECT o.host, o.k, o.event_id, o.push, r.size, CASE WHEN o.push THEN r.size < 20 ELSE r.size > 0 END,
+                          CASE WHEN o.push THEN least(r.size + 1, 20) ELSE greatest(r.size - 1, 0) END FROM r JOIN o ON o.host = r.host AND o.k = r.k + 1),
+       n AS (SELECT *, count(*) FILTER (WHERE accepted AND push) OVER (PARTITION BY host ORDER BY k) AS pushes, count(*) FILTER (WHERE accepted AND NOT push) OVER (PARTITION BY host ORDER BY k) AS pops FROM r)
+       SELECT n.event_id, n.host, n.size_before, n.accepted, g.event_id AS popped
+       FROM n LEFT JOIN n g ON g.push AND g.accepted AND NOT n.push AND n.accepted AND g.host = n.host AND g.pushes = n.pops"""
+
+
+def _replayed(spark, sf, host):
+    ops = table(spark, sf, "events").select("event_id", "ts", host.alias("host"), "event_type")
+    got = queues.replay_bounded(ops, "host", ["ts", "event_id"], ~F.col("event_type").isin("click", "error"), "event_id", 20)
+    return got.select("event_id", "host", "size_before", "accepted", "popped")
+
+
+@query(_replay_sql("user_id % 8"))
+def queue_push_pop(spark, sf):
+    """Pushes and pops in one order, of queues that are full or empty at times: three of five operations push."""
+    return _replayed(spark, sf, F.col("user_id") % 8)
+
+
+@query(_replay_sql("(user_id % 97 = 0)::BIGINT"))
+def queue_push_pop_hot(spark, sf):
+    """Nearly all operations are of one host."""
+    return _replayed(spark, sf, (F.col("user_id") % 97 == 0).cast("bigint"))
 
 
 @query(

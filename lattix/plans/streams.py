@@ -10,15 +10,23 @@ from lattix.streaming import state
 
 
 BATCHES = 4
+#: Rows of one file of the stream.
+FILE_ROWS = 1_000_000
 
 
 def _stream(spark, sf, name, key, columns):
-    """The table as a stream of four files, dealt by a key and written one after the other to a folder that all executors share."""
+    """The table as a stream of four batches, dealt by a key and written one after the other to a folder that all executors share.
+
+    A batch is as many files as its rows need, written in parallel and read together.
+    """
     rows = table(spark, sf, name)
     folder = state.work_folder(spark)
+    part = F.pmod(key, F.lit(BATCHES))
+    most = rows.groupBy(part).count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-most // FILE_ROWS))
     for k in range(BATCHES):
-        rows.filter(F.pmod(key, F.lit(BATCHES)) == k).select(*columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return state.file_stream(spark, f"{folder}/in", rows.select(*columns).schema)
+        rows.filter(part == k).select(*columns).repartition(files).write.mode("append").parquet(f"{folder}/in")
+    return state.file_stream(spark, f"{folder}/in", rows.select(*columns).schema, files)
 
 
 def _cents():
