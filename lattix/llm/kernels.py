@@ -74,11 +74,12 @@ class Piece:
 
 @dataclass
 class Chunk:
-    """Words that begin in one chunk of a piece; a word that goes on beyond it ends with it here."""
+    """Words that begin in one chunk of a piece; a word that goes on beyond it ends with it here, but ``whole`` is the hash of all of it."""
 
     start: np.ndarray
     end: np.ndarray
     sums: np.ndarray
+    whole: np.ndarray
 
     def prefix(self, k: int) -> np.ndarray:
         """Hash of each word's first ``k`` bytes (of the whole word if it is shorter); ``k`` is ``LOOK_BACK`` at most."""
@@ -137,6 +138,20 @@ def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
     return out
 
 
+def _hash_from(d: np.ndarray, start: int, limit: int, separators: np.ndarray) -> np.ndarray:
+    """Hash of the word that begins at ``start`` and ends before ``limit`` at the latest, read chunk by chunk."""
+    total, length = np.zeros(1, dtype=U), 0
+    while start + length < limit:
+        x = d[start + length : min(limit, start + length + CHUNK_BYTES)]
+        stops = np.flatnonzero(separators[x])
+        x = x[: stops[0]] if len(stops) else x
+        total += np.sum(_BYTE_VALUE[x] * _powers()[0][: len(x)], dtype=U, keepdims=True) * U(pow(int(_BASE), length, 1 << 64))
+        length += len(x)
+        if len(stops):
+            break
+    return mix(total + U(length))
+
+
 def words(p: Piece, separators: np.ndarray = WHITE, each: Callable[[Chunk], np.ndarray] | None = None) -> Words:
     """Words of a piece, found chunk by chunk, so that only what is kept for each word grows with a long text.
 
@@ -178,10 +193,16 @@ def words(p: Piece, separators: np.ndarray = WHITE, each: Callable[[Chunk], np.n
                 end, open_sum, open_len = end[1:], U(0), 0
         starts.append((start + at).astype(place))
         ends.append((end + at).astype(place))
-        if each is not None:
-            extra.append(each(Chunk(start, np.append(end, m) if len(start) > len(end) else end, sums)))
         whole = start[: len(end)]
         hashes.append(mix((sums[end] - sums[whole]) * inverse[whole] + (end - whole).astype(U)))
+        if each is not None:
+            hash_, upto = hashes[-1], end
+            if len(start) > len(end):
+                begun = at + int(start[-1])
+                after = int(np.searchsorted(texts, begun, side="right"))
+                limit = int(texts[after]) if after < len(texts) else n
+                hash_, upto = np.append(hash_, _hash_from(d, begun, limit, separators)), np.append(end, m)
+            extra.append(each(Chunk(start, upto, sums, hash_)))
         if len(start) > len(end):
             s = int(start[-1])
             open_sum, open_len = ((sums[m:] - sums[s : s + 1]) * inverse[s : s + 1])[0], m - s

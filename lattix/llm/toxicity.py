@@ -42,14 +42,12 @@ HASH_BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 #: Bytes of text that training takes at most, and of one text that is learnt from.
 MAX_TRAIN_BYTES, MAX_TEXT_BYTES = 64 << 20, 1 << 20
-#: A longer word counts by its first bytes.
-WORD_BYTES = 64
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
 
 def features(w: Chunk) -> np.ndarray:
-    """Feature numbers, one row a word: the word (its first ``WORD_BYTES``) and its beginnings."""
-    return np.stack([(w.prefix(k) >> U(64 - HASH_BITS)).astype(np.int32) for k in (WORD_BYTES, *PREFIXES)], axis=1)
+    """Feature numbers, one row a word: the whole word and its beginnings."""
+    return np.stack([(h >> U(64 - HASH_BITS)).astype(np.int32) for h in (w.whole, *map(w.prefix, PREFIXES))], axis=1)
 
 
 def characters(data: np.ndarray) -> int:
