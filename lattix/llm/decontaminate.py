@@ -27,6 +27,7 @@ be integers.  An empty benchmark or table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
 from .kernels import NOT_WORD, U, mix, pieces, words
 
 SPAN = 10
@@ -201,10 +203,14 @@ def find_overlaps(
 ) -> DataFrame:
     """One row a (document, item): id, item_id, first_word, end_word (in the document, end exclusive), item_first, n_matched, n_overlap, item_words."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text != ''")
-    found = None
-    for table in _tables(benchmark, item_id_col, item_text_col):
-        one = texts.mapInArrow(_scan(table, min_words), SCHEMA)
-        found = one if found is None else found.unionByName(one)
+    parts, table = [], None
+    for following in _tables(benchmark, item_id_col, item_text_col):
+        if table is not None:  # one slice's table at a time
+            parts[-1] = durable(parts[-1])
+            table.destroy()
+        table = following
+        parts.append(texts.mapInArrow(_scan(table, min_words), SCHEMA))
+    found = functools.reduce(DataFrame.unionByName, parts)
     return found.withColumnRenamed("id", id_col).withColumnRenamed("item_id", item_id_col).distinct()
 
 
@@ -217,7 +223,12 @@ def drop_contaminated(
     min_words: int = 12,
 ) -> DataFrame:
     """``docs``, same columns, without the rows whose text overlaps a benchmark item; rows are judged in place, without a join."""
-    for table in _tables(benchmark, item_id_col, item_text_col):
+    table = None
+    for following in _tables(benchmark, item_id_col, item_text_col):
+        if table is not None:  # one slice's table at a time
+            docs = durable(docs)
+            table.destroy()
+        table = following
         docs = docs.filter(~_contaminated(table, min_words)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return docs
 
