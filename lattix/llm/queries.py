@@ -66,6 +66,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def substring_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain form of op7: whole lines, every repeat of one."""
+    return repeated_passages(table(spark, sf_dir, "documents"), unit="line", min_words=1, span_words=None)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_line_chunks(table(spark, sf_dir, "documents"))
 
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_mix_sources,
         op6_license_scan,
         op7_substring_dedup,
+        substring_dedup_lines,
         op8_line_dedup,
         op9_hyperminhash_dedup,
         op10_exact_dedup,
@@ -170,6 +176,25 @@ SELECT doc_id, template, n::INT AS n_template, found::INT AS n_found, found / n
 FROM f JOIN tn USING (template) WHERE found / n >= 0.8
 """
 
+_LINES = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+w AS (
+  SELECT doc_id, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char,
+         length(line) AS n_chars, list_filter(regexp_split_to_array(lower(line), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM l
+), u AS (
+  SELECT doc_id, i, start_char, start_char + n_chars AS end_char, len(words) AS n_words, array_to_string(words, ' ') AS unit,
+         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place
+  FROM w WHERE len(words) > 0
+), k AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY unit) AS keeper, count(*) OVER (PARTITION BY unit) AS n, row_number() OVER (PARTITION BY unit, doc_id ORDER BY i) AS nth FROM u
+), r AS (
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM k WHERE n > 1 AND (doc_id <> keeper OR nth > 1)
+)
+SELECT doc_id, min(start_char)::INT AS start_char, max(end_char)::INT AS end_char, count(*) AS n_units, sum(n_words)::BIGINT AS n_words, min(keeper) AS first_doc_id
+FROM r GROUP BY doc_id, run
+"""
+
 _OP8 = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
@@ -256,6 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": _OP3,
         "op5_mix_sources": _OP5,
         "op6_license_scan": _OP6,
+        "substring_dedup_lines": _LINES,
         "op8_line_dedup": _OP8,
         "op9_hyperminhash_dedup": _OP9,
         "op10_exact_dedup": _OP10,

@@ -38,8 +38,8 @@ def test_chunks_do_not_change_words(monkeypatch):
     def read():
         out = []
         for p in kernels.pieces(pa.array(texts)):
-            w, e = kernels.words(p), kernels.words(p, each=lambda c: np.stack([c.prefix(4), c.prefix(64)], 1))
-            assert (w.start == e.start).all() and (w.end == e.end).all()
+            w, e = kernels.words(p), kernels.words(p, each=lambda c: np.stack([c.prefix(4), c.prefix(64), c.whole], 1))
+            assert (w.start == e.start).all() and (w.end == e.end).all() and (w.hash == e.extra[:, 2]).all()
             out += [x.tolist() for x in (w.hash, e.extra, w.of_text)]
         return out
 
@@ -422,7 +422,7 @@ def test_positive_unlabelled_risk_is_minimised():
     rng = np.random.default_rng(5)
     p, u = rng.normal(1, 1, (300, 3)), np.concatenate([rng.normal(1, 1, (200, 3)), rng.normal(-1, 1, (300, 3))])
     decay, prior = 1e-3, 0.4
-    w, b = quality.nn_pu(p, u, prior, rounds=3000, rate=0.01, decay=decay)
+    w, b = quality.nn_pu(p, u, prior, decay=decay)
 
     def risk(w, b):
         g = lambda rows, sign: sum(math.log1p(math.exp(-sign * (float(x @ w) + b))) for x in rows) / len(rows)
@@ -459,16 +459,28 @@ def test_quality_on_held_out_documents(spark):
 
 
 def test_quality_statistics_cover_all_documents(spark):
-    """Means, spreads and prior against plain sums over every text, whatever sample the risk is minimised on."""
+    """Means and spreads between quantiles, the unlabelled risk and the prior against plain sums over every text, however few positives are learnt from."""
     docs, labels, known = labelled(spark)
     texts = [x["text"] for x in docs.collect()] + [None, ""]
     docs = docs.unionByName(frame(spark, [None, ""], [-1, -2]).select(docs.columns))
     model = quality.train(docs, labels, max_train_docs=200)
     every = quality.text_features(pa.array([t for t in texts if t])).astype(np.float64)
-    assert np.allclose(model.mean, every.mean(0), atol=1e-7) and np.allclose(model.scale, every.std(0) + 1e-3, atol=1e-5)
+    inner = np.clip(every, *np.quantile(every, [quality.TAIL, 1 - quality.TAIL], axis=0, method="inverted_cdf"))
+    assert np.allclose(model.mean, inner.mean(0), atol=1e-3) and np.allclose(model.scale, inner.std(0) + 1e-3, atol=1e-3)
     p = quality._expand((every[[i for i, q, _ in known if q and not held_out(i)][:100]] - model.mean) / model.scale)
-    w, b, at, shares = quality._ratio_points(p, quality._expand((every - model.mean) / model.scale))
+    u = quality._expand((every - model.mean) / model.scale)
+    w, b, at, shares = quality._ratio_points(p, quality.losses_of(u))
     rows = quality.features(docs)
+    theta = np.append(w, b)
+    sums = quality._corpus_sums(rows, ["s"], lambda x: [np.rint(quality._loss_sums(quality._expand((x - model.mean) / model.scale), theta) * quality._UNIT).astype(np.int64)])
+    loss = lambda t: sum(math.log1p(math.exp(float(x @ t[:-1] + t[-1]))) for x in u) / len(u)
+    got_loss, slope, second = quality._of_sums(sums["s"] / quality._UNIT, sums["n"][0], len(theta))
+    assert abs(got_loss - loss(theta)) < 1e-6
+    for k in (0, 40, len(theta) - 1):  # derivatives against differences
+        moved = theta.copy()
+        moved[k] += 1e-5
+        assert abs((loss(moved) - got_loss) / 1e-5 - slope[k]) < 1e-3
+        assert np.allclose((quality.losses_of(u)(moved)[1] - slope) / 1e-5, second[k], atol=1e-3)
     g = quality._expand((every - model.mean) / model.scale) @ w + b
     counted = quality._corpus_sums(rows, ["n_above"], lambda x: [quality._counts_above(quality._expand((x - model.mean) / model.scale) @ w + b, at)])
     assert counted["n_above"].tolist() == [sum(v >= t for v in g) for t in at] and set(counted["n"]) == {len(every)}
@@ -477,6 +489,31 @@ def test_quality_statistics_cover_all_documents(spark):
     assert len(scored) == len(texts) and scored == {x["doc_id"]: x["score"] for x in quality.score(docs, model).collect()}
 
 
+def test_one_odd_text_moves_no_other_score_much(spark):
+    """A text that is one word of 1 MB, and one of marks alone, change neither sums nor other texts' scores by much."""
+    docs, labels, _ = labelled(spark)
+    n = docs.count()
+    alone = {x["doc_id"]: x["score"] for x in quality.train_and_score(docs, labels).collect()}
+    r = random.Random(4)
+    odd = frame(spark, ["".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(1 << 20)), "~" * 500_000], [10**9, 10**9 + 1]).select(docs.columns)
+    more = {x["doc_id"]: x["score"] for x in quality.train_and_score(docs.unionByName(odd), labels).collect()}
+    assert len(more) == n + 2 and all(math.isfinite(x) for x in more.values())
+    moved = [abs(alone[i] - more[i]) for i in alone]
+    assert max(moved) < 0.05 and sum(moved) / n < 0.01
+
+
+def test_words_that_differ_late_score_apart(spark):
+    long = "a" * 100
+    texts = [f"{long}{'x' if i % 3 == 0 else 'y'} plain words {i}" for i in range(120)] + [f"b{'c' * 600_000}{'x' if i % 3 == 0 else 'y'} word" for i in range(6)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    docs = frame(spark, texts)
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all((got[i] >= 0.3) == (i % 3 == 0) for i in range(120))
+    whole = [w.extra for p in kernels.pieces(pa.array(texts[120:])) for w in [kernels.words(p, kernels.NOT_WORD, toxicity.features)]]
+    first = [x[0, 0] for x in whole]
+    assert len(set(first)) == 2 and len({tuple(x[0, 1:]) for x in whole}) == 1
+
+
 def test_risk_is_not_negative_on_separable_samples():
     r = np.random.default_rng(0)
     p, u = r.normal(2, 1, (300, 3)), np.concatenate([r.normal(2, 1, (150, 3)), r.normal(-2, 1, (150, 3))])
