@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from lattix.functions import blocking, scalar
 from lattix.operators import arrays, matrix, sparse, tiles
 from lattix.plans.lineage import CachedCopy, table
 from lattix.plans.registry import query
-from lattix.sources import matrices
+from lattix.sources import csr, matrices
 from lattix.streaming.state import work_folder
 
 # embeddings as integers (value * 1000, truncated), so that sums are exact in any order
@@ -339,6 +341,17 @@ def binary_csr_roundtrip(spark, sf):
     return matrices.read_binary_csr(spark, folder)
 
 
+@query(f"SELECT i, j, v::DOUBLE AS v FROM ({_SPARSE})")
+def csr_file_roundtrip(spark, sf):
+    """Written as one file by several tasks, and read by several."""
+    folder = csr.mounted(work_folder(spark))
+    os.makedirs(folder)
+    a = _sparse(spark, sf)
+    size = a.agg(F.max("i") + 1, F.max("j") + 1).first()
+    csr.write_csr(a, f"{folder}/matrix.csr", (size[0], size[1]))
+    return csr.read_csr(spark, f"{folder}/matrix.csr", task_cells=10_000)
+
+
 @query(f"SELECT i, j, v::DOUBLE AS v, i // 100 AS bi, j // 25 AS bj FROM ({_SPARSE})")
 def mtx_roundtrip_tiled(spark, sf):
     """Written as MatrixMarket text by several tasks, then loaded by tile."""
