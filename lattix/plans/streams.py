@@ -44,6 +44,16 @@ def stream_user_state(spark, sf):
     return state.user_state(_stream(spark, sf, "events", F.col("event_id"), ["user_id", "event_id"]), "user_id", "event_id", lambda held, v: held ^ v, 0)
 
 
+@query(
+    """SELECT user_id, list_reduce(list_prepend(7::BIGINT, list(event_id ORDER BY ts, event_id)), lambda a, b: (a * 31 + b) % 1000003)::BIGINT AS state, count(*) AS updates
+       FROM events GROUP BY user_id"""
+)
+def stream_ordered_state(spark, sf):
+    """A fold that doesn't commute, over updates that arrive out of order."""
+    stream = _stream(spark, sf, "events", F.col("event_id"), ["user_id", "event_id", "ts"])
+    return state.ordered_state(stream, "user_id", "ts", "event_id", "event_id", lambda held, v: (held * 31 + v) % 1000003, 7, "3650 days")
+
+
 @query("SELECT event_id, user_id % 8 AS server, event_id * 2 AS answer FROM events")
 def stream_requests(spark, sf):
     """A request loop without state: each request is answered by itself."""

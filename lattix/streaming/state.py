@@ -7,11 +7,12 @@ in micro-batches, and ends when nothing is outstanding.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from lattix.operators.balance import migrate_default
@@ -56,7 +57,8 @@ def final_state(stream: DataFrame, key: str, value: str) -> DataFrame:
 def user_state(stream: DataFrame, key: str, value: str, fn: Callable[[int, int], int], start: int) -> DataFrame:
     """State of each key by a user's function of (state, value), once the input is drained: (key, state, updates).
 
-    The function runs on the executors, on each key's new values of a batch; the engine keeps the state.
+    The function runs on the executors, on each key's new values of a batch as they come, so it
+    must not depend on their order (``ordered_state`` takes any); the engine keeps the state.
     """
     spark = stream.sparkSession
     folder = work_folder(spark)
@@ -80,6 +82,81 @@ def user_state(stream: DataFrame, key: str, value: str, fn: Callable[[int, int],
     return seen.groupBy(key).agg(F.max_by(F.struct("state", "updates"), "batch").alias("s")).select(key, "s.state", "s.updates")
 
 
+class _OrderedFold(StatefulProcessor):
+    """A key's state as folded up to the watermark, and the later updates, which may still be preceded by others."""
+
+    def __init__(self, key: str, fn: Callable[[int, int], int], start: int):
+        self.key, self.fn, self.start = key, fn, start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "state bigint, updates bigint")
+        self.later = handle.getListState("later", "at bigint, tie bigint, value bigint")
+
+    def _held(self) -> tuple[tuple[int, int], list[tuple]]:
+        folded = tuple(self.folded.get()) if self.folded.exists() else (self.start, 0)
+        return folded, sorted(tuple(r) for r in self.later.get()) if self.later.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        folded, later = self._held()
+        new = [r for frame in rows for r in zip(frame["at"].tolist(), frame["tie"].tolist(), frame["value"].tolist(), strict=True)]
+        later = sorted(later + new)
+        self.later.put(later)
+        self.handle.registerTimer(later[-1][0] // 1000 + 1)  # milliseconds
+        state, n = folded
+        for _, _, v in later:
+            state, n = self.fn(state, v), n + 1
+        yield pd.DataFrame({self.key: [key[0]], "state": [state], "updates": [n]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Nothing earlier than the watermark can come any more: what lies before it is folded for good and forgotten."""
+        (state, n), later = self._held()
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        for _, _, v in (r for r in later if r[0] < upto):
+            state, n = self.fn(state, v), n + 1
+        self.folded.update((state, n))
+        rest = [r for r in later if r[0] >= upto]
+        if rest:
+            self.later.put(rest)
+        else:
+            self.later.clear()
+        yield pd.DataFrame({self.key: pd.Series([], dtype="int64"), "state": pd.Series([], dtype="int64"), "updates": pd.Series([], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_state(
+    stream: DataFrame, key: str, time: str, tie: str, value: str, fn: Callable[[int, int], int], start: int, lateness: str
+) -> DataFrame:
+    """State of each key by a user's function, applied in the order (``time``, ``tie``) whatever order updates arrive in: (key, state, updates), once drained.
+
+    Updates that are younger than the watermark (the largest time less ``lateness``) are
+    held as a list; a timer folds them for good once the watermark has passed them, so a
+    key's state doesn't grow with its history.  Updates that come later than the watermark
+    are dropped, as in any such stream.  Key, tie and value are bigint; times without zone are taken as UTC.
+    """
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+    provider, option = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(option)
+    timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", lateness)
+    rows = timed.select(F.col(key).cast("bigint").alias(key), "_time", F.unix_micros("_time").alias("at"), F.col(tie).cast("bigint").alias("tie"), F.col(value).cast("bigint").alias("value"))
+    fold = _OrderedFold(key, fn, start)
+    changes = rows.groupBy(key).transformWithStateInPandas(fold, f"{key} bigint, state bigint, updates bigint", "Update", "EventTime")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/state/part={number}")
+
+    spark.conf.set(option, provider)
+    try:
+        drain(changes, keep, "update", folder)
+    finally:
+        spark.conf.set(option, before)
+    seen = spark.read.parquet(f"{folder}/state").drop("part")
+    return seen.groupBy(key).agg(F.max_by(F.struct("state", "updates"), F.struct("batch", "updates")).alias("s")).select(key, "s.state", "s.updates")
+
+
 def answered(stream: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A request loop: each request of the stream gets its answer by a function without state; all answers, once drained."""
     spark = stream.sparkSession

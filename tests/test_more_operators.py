@@ -301,6 +301,27 @@ def test_user_state_over_batches(spark, tmp_path):
     assert rows(state.user_state(stream, "k", "v", max, 0)) == [(1, 9, 3), (2, 7, 2)]
 
 
+def test_ordered_state_with_timers(spark, tmp_path):
+    """Batches that overlap in time, out of order inside and among each other, with expiry on the way; what comes behind the watermark is dropped."""
+    r = random.Random(3)
+    updates = [(r.randrange(3), 10 * k, k) for k in range(60)]  # seconds
+    batches = [[], [], [], []]
+    for u in updates:
+        batches[min(3, max(0, u[2] // 15 + r.choice([0, 0, 1])))].append(u)
+    batches.append([(0, 5, 1000), (9, 2000, 1001)])  # the first is far behind the watermark
+    for b in batches:
+        r.shuffle(b)
+        rows_ = spark.createDataFrame(b, "k bigint, s bigint, v bigint").select("k", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("t"), "v")
+        rows_.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = state.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    got = state.ordered_state(stream, "k", "t", "v", "v", lambda held, v: (held * 31 + v) % 1000003, 7, "200 seconds")
+    want = {}
+    for k, _, v in [*updates, (9, 2000, 1001)]:
+        held, n = want.get(k, (7, 0))
+        want[k] = (held * 31 + v) % 1000003, n + 1
+    assert rows(got) == sorted((k, *s) for k, s in want.items())
+
+
 def test_windowed_counts_with_a_watermark(spark, tmp_path):
     times = [("2024-01-01 00:00:10", "a"), ("2024-01-01 00:00:50", "a"), ("2024-01-01 00:01:10", "a"), ("2024-01-01 02:00:00", "b")]
     spark.createDataFrame(times, "t string, k string").coalesce(1).write.parquet(str(tmp_path / "in"))
