@@ -2,8 +2,8 @@
 
 B's rows are packed to runs: the cells of one row and one block of ``WIDTH`` columns, sorted
 by column.  Each cell (i, k) of A meets the runs of B's row k, scaled on the way, and the
-runs that meet in one row and column block of C are merged: short ones by sorting and
-reducing, long ones in an array over the block (an accumulator).  A task merges what it has
+runs that meet in one row and column block of C are merged: dense ones in an array over
+the columns (an accumulator), sparse ones by sorting and reducing.  A task merges what it has
 made before anything is shuffled, so a heavy row of A is cut over the tasks that hold its
 inner indices; the tasks' runs, at most one a task, row and block, are merged once more.
 Runs come in order of row and block, so C's cells are sorted inside each task.
@@ -42,43 +42,42 @@ def runs(b: DataFrame, width: int = WIDTH) -> DataFrame:
     return packed.select("k", "block", F.col("cells.j").alias("js"), F.col("cells.v").alias("vs"))
 
 
-def accumulate(group: np.ndarray, j: np.ndarray, v: np.ndarray, add: np.ufunc, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of equal (group, j) added up, sorted.  ``group`` rises; a group's columns lie in one block.
+#: Cells of an accumulator, over as many rows and blocks as fit.
+TABLE = 1 << 22
 
-    Groups with more cells than a block has columns go through an array of the block, the
-    rest are sorted together.
+
+def accumulate(group: np.ndarray, j: np.ndarray, v: np.ndarray, add: np.ufunc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of equal (group, j) added up, sorted.  ``group`` rises.
+
+    Where the groups are dense enough, they go through a table of the columns that they
+    span, whose order is theirs, so nothing is sorted; else the cells are.
     """
-    n = np.bincount(group) if len(group) else np.empty(0, np.int64)
-    long = np.flatnonzero(n > width)
-    out = []
-    short = ~np.isin(group, long) if len(long) else np.ones(len(group), bool)
-    if short.any():
-        g, c, x = group[short], j[short], v[short]
-        order = np.lexsort((c, g))
-        g, c, x = g[order], c[order], x[order]
-        first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
-        out.append((g[first], c[first], add.reduceat(x, first)))
-    ends = np.cumsum(n)
-    for k in long.tolist():
-        c, x = j[ends[k] - n[k] : ends[k]], v[ends[k] - n[k] : ends[k]]
-        base = int(c.min())
-        there = np.unique(c)
-        table = np.zeros(int(there[-1]) - base + 1, v.dtype)
-        first = np.full(len(table), -1)
-        first[c[::-1] - base] = np.arange(len(c))[::-1]  # the first cell of each column starts its sum
-        table[there - base] = x[first[there - base]]
-        rest = np.ones(len(c), bool)
-        rest[first[there - base]] = False
-        add.at(table, c[rest] - base, x[rest])
-        out.append((np.full(len(there), k), there, table[there - base]))
-    if not out:
-        return group, j, v
-    g, c, x = (np.concatenate(parts) for parts in zip(*out, strict=True))
-    order = np.lexsort((c, g)) if len(long) else slice(None)
-    return g[order], c[order], x[order]
-
-
-def _merged(batches: Iterator[pa.RecordBatch], scale: np.ufunc | None, add: np.ufunc, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    starts, row = np.flatnonzero(new), np.cumsum(new) - 1
+    column = j - np.minimum.reduceat(j, starts)[row]
+    span = int(column.max()) + 1
+    if add not in (np.add, np.minimum, np.maximum) or 16 * len(j) < len(starts) * span:
+        order = np.argsort(row * span + column, kind="stable")
+        group, j, v = group[order], j[order], v[order]
+        first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (j[1:] != j[:-1])]))
+        return group[first], j[first], add.reduceat(v, first)
+    out, rows, ends = [], max(1, TABLE // span), np.append(starts, len(j))
+    for at in range(0, len(starts), rows):
+        a, z = ends[at], ends[min(at + rows, len(starts))]
+        key = (row[a:z] - at) * span + column[a:z]
+        size = (int(row[z - 1]) - at + 1) * span
+        table, met = np.zeros(size, v.dtype), np.zeros(size, bool)
+        met[key] = True
+        if add is not np.add:
+            table[key] = v[a:z]  # any value of a cell: the least and the largest don't change by it
+        add.at(table, key, v[a:z])
+        there = np.flatnonzero(met)
+        first = starts[at + there // span]
+        out.append((group[first], j[first] - column[first] + there % span, table[there]))
+    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+
+
+def _merged(batches: Iterator[pa.RecordBatch], scale: np.ufunc | None, add: np.ufunc) -> Iterator[tuple[np.ndarray, ...]]:
     """(i, block, j, v) of the cells of each batch of runs in order of (i, block); a row and block that a batch ends with goes on in the next."""
     held: tuple[np.ndarray, ...] | None = None
     for batch in batches:
@@ -97,7 +96,7 @@ def _merged(batches: Iterator[pa.RecordBatch], scale: np.ufunc | None, add: np.u
         new = np.concatenate([[True], (i[1:] != i[:-1]) | (block[1:] != block[:-1])])
         group = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
-        g, j, v = accumulate(group, j, v, add, width)
+        g, j, v = accumulate(group, j, v, add)
         i, block = i[starts][g], block[starts][g]
         last = int(np.searchsorted(g, g[-1]))
         if last:
@@ -122,14 +121,14 @@ def gemm_rows(a: DataFrame, b: DataFrame, semiring: str | tuple[np.ufunc, np.ufu
     met = salted.join(copied, ["k", "salt"]).select("i", "block", "a", "js", "vs").sortWithinPartitions("i", "block")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, block, j, v in _merged(batches, times, add, width):
+        for i, block, j, v in _merged(batches, times, add):
             starts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (block[1:] != block[:-1])]))
             offsets = pa.array(np.append(starts, len(i)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (j, v)]
             yield pa.RecordBatch.from_arrays([pa.array(i[starts]), pa.array(block[starts]), *lists], ["i", "block", "js", "vs"])
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, _, j, v in _merged(batches, None, add, width):
+        for i, _, j, v in _merged(batches, None, add):
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], ["i", "j", "v"])
 
     made = met.mapInArrow(local, f"i bigint, block bigint, js array<bigint>, vs array<{kind}>")

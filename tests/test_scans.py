@@ -232,16 +232,17 @@ def test_sparse_rows_over_semirings(small, name, width, hot):
         assert [(r.i, r.j) for r in part] == sorted((r.i, r.j) for r in part)
 
 
-def test_accumulators_of_long_and_short_groups():
+def test_accumulators_of_dense_and_sparse_groups(monkeypatch):
     g = np.random.default_rng(1)
     group = np.sort(g.integers(0, 5, 400))
     group[group == 3] = 2
     j, v = g.integers(100, 130, 400), g.integers(1, 9, 400)
     for add, fold in ((np.add, sum), (np.minimum, min), (np.maximum, max)):
-        for width in (16, 1000):
-            x, y, z = sparse.accumulate(group, j, v, add, width)
+        for spread, table in ((1, 40), (1, 1 << 22), (1000, 1 << 22)):  # dense in one or several tables, and sparse
+            monkeypatch.setattr(sparse, "TABLE", table)
+            x, y, z = sparse.accumulate(group, j * spread, v, add)
             want = sorted({(int(a), int(b)) for a, b in zip(group, j, strict=True)})
-            assert list(zip(x.tolist(), y.tolist(), strict=True)) == want
+            assert list(zip(x.tolist(), y.tolist(), strict=True)) == [(a, b * spread) for a, b in want]
             assert z.tolist() == [fold(v[(group == a) & (j == b)].tolist()) for a, b in want]
 
 
