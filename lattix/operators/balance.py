@@ -30,7 +30,8 @@ def sorted_positions(loads: DataFrame) -> DataFrame:
 
 def migrate_default(loads: DataFrame) -> DataFrame:
     """Moves (from_rank, to_rank, n_tasks): the upper half gives half the difference to its mirror in the lower half."""
-    s = sorted_positions(loads)
+    loads = durable(loads)
+    s = durable(sorted_positions(loads))
     extremes = loads.agg(F.min("load").alias("lo"), F.max("load").alias("hi"))
     mirror = s.select((F.col("n") - 1 - F.col("pos")).alias("pos"), F.col("rank").alias("to_rank"), F.col("load").alias("other"))
     pairs = s.join(mirror, "pos").crossJoin(F.broadcast(extremes))
@@ -52,6 +53,7 @@ def migrate_aggressive(loads: DataFrame) -> DataFrame:
     Surplus and deficit become adjacent intervals by running sums (a scan over the ranks);
     their overlaps are the moves, found by a sweep over both.
     """
+    loads = durable(loads)
     with_mean = loads.crossJoin(F.broadcast(loads.agg(F.floor(F.sum("load") / F.count("*")).alias("mean"))))
     gap = (F.col("load") - F.col("mean")).cast("bigint")
     amounts = {"give": F.greatest(gap, F.lit(0).cast("bigint")), "take": F.greatest(-gap, F.lit(0).cast("bigint"))}
