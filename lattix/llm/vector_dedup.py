@@ -23,8 +23,8 @@ Edge cases: vectors that are null, empty, zero or hold null or non-finite compon
 rows with a null label or a null id, link with nothing: 0 links, their own component.
 Vectors of different length don't link.  Copies link with each other.  Rows that repeat an
 id are each a vector with its own links; groups of copies that share their smallest id are
-one node of the components.  Ties can't occur: the smallest id stands for a component.  An empty table gives an empty result.  Other
-columns are ignored, whatever their names.
+one node of the components.  Ties can't occur: the smallest id stands for a component.  An
+empty table gives an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
