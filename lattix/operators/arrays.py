@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +69,22 @@ def preview(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def inversions(df: DataFrame, host: str, value: str) -> DataFrame:
-    """Rows of each host, and how many stand before a smaller one of the host in the frame's own order."""
+    """Rows of each host, and how many stand after a larger one of the host in the frame's own order (nulls are not compared)."""
 
     def count(batches):
         held = None
         for x in batches:
-            h, v = x.column(0).to_pylist(), x.column(1).to_pylist()
-            worse = [int(held is not None and held[0] == a and held[1] > b) if k == 0 else int(h[k - 1] == a and v[k - 1] > b) for k, (a, b) in enumerate(zip(h, v, strict=True))]
-            held = (h[-1], v[-1]) if h else held
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(worse, pa.int64())], [host, "worse"])
+            if not x.num_rows:
+                continue
+            t = pa.Table.from_batches([x]) if held is None else pa.concat_tables([held, pa.Table.from_batches([x])])
+            h, v = t.column(0).combine_chunks(), t.column(1).combine_chunks()
+            n = len(h) - 1
+            same = pc.or_kleene(pc.equal(h.slice(0, n), h.slice(1)), pc.and_(pc.is_null(h.slice(0, n)), pc.is_null(h.slice(1))))
+            worse = pc.fill_null(pc.and_kleene(same, pc.greater(v.slice(0, n), v.slice(1))), False).cast(pa.int64())
+            if held is None:  # nothing stands before the first row
+                worse = pa.concat_arrays([pa.array([0], pa.int64()), worse])
+            held = t.slice(n).combine_chunks()
+            yield pa.RecordBatch.from_arrays([x.column(0), worse], [host, "worse"])
 
     rows = df.select(host, value).mapInArrow(count, f"{host} {df.schema[host].dataType.simpleString()}, worse bigint")
     return rows.groupBy(host).agg(F.count("*").alias("n"), F.sum("worse").alias("inversions"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattix.operators.ordered import positions
 from lattix.operators.scans import in_ranges, latest, scan
 from lattix.plans.lineage import durable
 
@@ -184,8 +185,8 @@ def cancel(tasks: DataFrame, cancelled: DataFrame, task: str) -> DataFrame:
 
 
 def round_robin(tasks: DataFrame, rank: str, order: list[str], plans: int) -> DataFrame:
-    """Plan of each replicated task of a rank, in turn."""
-    return tasks.withColumn("plan", (F.row_number().over(Window.partitionBy(rank).orderBy(*order)) - 1) % plans)
+    """Plan of each replicated task of a rank, in turn; a rank may hold any share of all tasks."""
+    return positions(tasks, [rank], order, "plan").withColumn("plan", F.col("plan") % plans)
 
 
 #: Decisions by name; ``decide`` takes any function of the same form too.

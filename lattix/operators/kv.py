@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.operators.ordered import sums_before
-from lattix.operators.scans import in_ranges, scan
+from lattix.operators.ordered import groups_fit, sums_before
+from lattix.operators.scans import in_ranges, latest, scan
+from lattix.plans.lineage import durable
 
 
 def upsert_last(writes: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -83,23 +84,66 @@ def fetch_before(df: DataFrame, cell: list[str], order: list[str], **operands: t
     return seen.withColumns({n: F.when(F.col("_n") > 0, F.col(n)) for n in ops}).drop("_n")
 
 
-def compare_and_swap(df: DataFrame, cell: str, order: str, expected: str, new: str, start: int = 0) -> DataFrame:
+def compare_and_swap(df: DataFrame, cell: str, order: str, expected: str, new: str, start: int = 0, group_rows: int | None = None) -> DataFrame:
     """Outcome of each attempt to swap a cell's value: (cell, order, seen, swapped), in ``order``.
 
-    Each outcome depends on the one before it, so a cell's attempts are one group.
+    Equal places in the order are told apart by ``expected``, then ``new``.  A null
+    ``expected`` fits no value; a null ``new`` leaves a null, which nothing fits.  Cells that
+    a count proves to have at most ``group_rows`` attempts are played one group a task;
+    otherwise a cell may have any share of all attempts (``_swaps_in_ranges``).
     """
+    attempts = df.select(cell, order, F.col(expected).cast("bigint").alias("_old"), F.col(new).cast("bigint").alias("_new"))
+    if not groups_fit(df, [cell], group_rows):
+        return _swaps_in_ranges(attempts, cell, order, start)
 
     def play(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
+        t = t.sort_by([(order, "ascending"), ("_old", "ascending"), ("_new", "ascending")])
         value, seen, swapped = start, [], []
-        for old, to in zip(t.column(expected).to_pylist(), t.column(new).to_pylist(), strict=True):
+        for old, to in zip(t.column("_old").to_pylist(), t.column("_new").to_pylist(), strict=True):
             seen.append(value)
-            swapped.append(value == old)
+            swapped.append(old is not None and value == old)
             value = to if swapped[-1] else value
         return pa.table({cell: t.column(cell), order: t.column(order), "seen": pa.array(seen, pa.int64()), "swapped": pa.array(swapped, pa.bool_())})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(cell, order, expected, new).groupBy(cell).applyInArrow(play, f"{cell} {kinds[cell]}, {order} {kinds[order]}, seen bigint, swapped boolean")
+    return attempts.groupBy(cell).applyInArrow(play, f"{cell} {kinds[cell]}, {order} {kinds[order]}, seen bigint, swapped boolean")
+
+
+def _swaps_in_ranges(attempts: DataFrame, cell: str, order: str, start: int) -> DataFrame:
+    """``compare_and_swap`` for cells of any size, as a walk along pointers.
+
+    After a successful attempt the next success is the cell's next attempt that expects the
+    value just set, whatever lies between.  So each attempt points to the one that would
+    follow it, found by a scan of attempts by value from the latest to the earliest, and the
+    successes are the attempts on the path from the first that expects ``start``.  The path
+    is marked by pointer doubling: log2 of its length rounds of joins on unique attempts
+    (many may point to one; adaptive execution splits such a partition).  A last scan carries
+    the value set by the latest success to the attempts that see it.
+    """
+    by_value, number = ["_cell", "_value"], lambda c: F.col(c).cast("bigint")
+    add = lambda a, b: {k: a[k] + b[k] for k in a}
+    ranged = in_ranges(attempts, [cell, order, F.col("_old").asc_nulls_last(), F.col("_new").asc_nulls_last()])
+    placed = durable(scan(ranged, [], {"_id": F.lit(1).cast("bigint")}, add, {"_id": 0}))
+    offers = placed.filter("_old IS NOT NULL").select(F.col(cell).alias("_cell"), F.col("_old").alias("_value"), "_id", F.lit(1).cast("bigint").alias("_offer"))
+    seekers = placed.filter("_new IS NOT NULL").select(F.col(cell).alias("_cell"), F.col("_new").alias("_value"), "_id", F.lit(0).cast("bigint").alias("_offer"))
+    roots = placed.select(F.col(cell).alias("_cell")).distinct().select("_cell", F.lit(start).cast("bigint").alias("_value"), F.lit(-1).cast("bigint").alias("_id"), F.lit(0).cast("bigint").alias("_offer"))
+    # from the latest attempt to the earliest; an attempt looks for a later one before it offers itself
+    back = in_ranges(offers.union(seekers).union(roots), [*by_value, F.col("_id").desc(), F.col("_offer")])
+    linked = scan(back, by_value, {"set": number("_offer"), "_next": number("_id")}, latest, {"set": 0, "_next": -1})
+    links = durable(linked.filter("_offer = 0 AND set = 1").select("_id", "_next"))
+    marked = links.filter("_id = -1").select(F.col("_next").alias("_id"))
+    links = links.filter("_id >= 0")
+    while True:  # the first 2 ** k successes of each cell are marked, and links reach 2 ** k successes ahead
+        further = durable(marked.join(links, "_id").select(F.col("_next").alias("_id")))
+        if further.isEmpty():
+            break
+        marked = durable(marked.union(further))
+        links = durable(links.join(links.select(F.col("_id").alias("_next"), F.col("_next").alias("_far")), "_next").select("_id", F.col("_far").alias("_next")))
+    played = placed.join(marked.withColumn("swapped", F.lit(True)), "_id", "left").withColumn("swapped", F.coalesce("swapped", F.lit(False)))
+    value = {"set": number("swapped"), "seen": F.col("_new"), "_nil": F.col("_new").isNull().cast("bigint")}
+    seen = scan(in_ranges(played, ["_id"]), [cell], value, latest, {"set": 0, "seen": start, "_nil": 0})
+    found = F.when(F.col("set") == 0, F.lit(start).cast("bigint")).when(F.col("_nil") == 0, F.col("seen"))  # a group without a success yet carries no value
+    return seen.select(cell, order, found.alias("seen"), "swapped")
 
 
 def insert_bounded(df: DataFrame, host: str, order: str, key: str, capacity: int) -> DataFrame:

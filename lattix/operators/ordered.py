@@ -29,7 +29,7 @@ def range_of(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
     return F.coalesce(sum((F.col(order) >= b).cast("int") for b in bounds), F.lit(0))
 
 
-def _fits(df: DataFrame, by: list[str], limit: int | None) -> bool:
+def groups_fit(df: DataFrame, by: list[str], limit: int | None) -> bool:
     """Whether every group's rows fit one task: by the count of all rows, else by the largest group."""
     limit = GROUP_ROWS if limit is None else limit
     if df.count() <= limit:
@@ -39,7 +39,7 @@ def _fits(df: DataFrame, by: list[str], limit: int | None) -> bool:
 
 def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos", size: str | None = None, group_rows: int | None = None) -> DataFrame:
     """Place of each row among its group's by ``order``, from 0, and with ``size`` the group's rows."""
-    if _fits(df, by, group_rows):
+    if groups_fit(df, by, group_rows):
         w = Window.partitionBy(*by)
         placed = df.withColumn(out, (F.row_number().over(w.orderBy(*order)) - 1).cast("int"))
         return placed.withColumn(size, F.count("*").over(w)) if size else placed
@@ -56,7 +56,7 @@ def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos",
 
 def sums_before(df: DataFrame, by: list[str], order: list[str], amount: Column, out: str, group_rows: int | None = None) -> DataFrame:
     """Sum of the amounts of the group's earlier rows, 0 for the first."""
-    if _fits(df, by, group_rows):
+    if groups_fit(df, by, group_rows):
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(amount).over(w), F.lit(0)))
     ranged = df.withColumns({"_range": range_of(df, order[0]), "_amount": amount})

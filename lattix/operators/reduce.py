@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattix.operators.scans import Monoid, in_ranges, scan
+
 
 def statistics(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
     """count, min, max, sum and mean (0 for no value)."""
@@ -25,6 +27,20 @@ def reduce_ordered(df: DataFrame, order: str, value: str, zero: Column, fn: Call
     return df.agg(F.aggregate(F.transform(rows, lambda s: s[value]), zero, fn).alias(out))
 
 
+def reduce_monoid(df: DataFrame, by: list[str], order: list[str], state: dict[str, Column], combine: Monoid, identity: dict[str, int | float]) -> DataFrame:
+    """``state`` of each group's rows combined in ``order``: one row a group (one in all with ``by=[]``, the identity for no rows).
+
+    ``combine`` is associative but needn't commute (see ``scans``), so a group is cut into
+    ranges that are combined by themselves first; it may hold any share of all rows.
+    """
+    names = list(state)
+    # the count alone adds up; the other values are combined under their own names
+    both = lambda a, b: combine({k: a[k] for k in names}, {k: b[k] for k in names}) | {"_n": a["_n"] + b["_n"]}
+    run = scan(in_ranges(df, [*by, *order]), by, state | {"_n": F.lit(1).cast("bigint")}, both, identity | {"_n": 0}, inclusive=True)
+    total = run.groupBy(*by).agg(F.max_by(F.struct(*names), "_n").alias("_total"))
+    return total.select(*by, *[F.coalesce(F.col(f"_total.{n}"), F.lit(identity[n])).alias(n) for n in names])
+
+
 def all_reduce(df: DataFrame, aggregate: Column, out: str) -> DataFrame:
     """Every row with the global aggregate: one row is broadcast."""
     return df.crossJoin(F.broadcast(df.agg(aggregate.alias(out))))

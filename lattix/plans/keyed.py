@@ -154,6 +154,21 @@ def compare_and_swap(spark, sf):
     return kv.compare_and_swap(events, "cell", "event_id", "old", "new")
 
 
+@query(
+    """WITH RECURSIVE t AS (SELECT event_id, event_id % 64 AS old, (event_id * 7 + user_id) % 64 AS new FROM events),
+       s AS (SELECT a.event_id, a.new, b.event_id AS following FROM t a ASOF LEFT JOIN t b ON a.new = b.old AND a.event_id < b.event_id),
+       r(event_id, new, following) AS (
+         SELECT event_id, new, following FROM s WHERE event_id = (SELECT min(event_id) FROM t WHERE old = 0)
+         UNION ALL SELECT s.event_id, s.new, s.following FROM r JOIN s ON s.event_id = r.following)
+       SELECT t.event_id, coalesce(p.new, 0)::BIGINT AS seen, q.event_id IS NOT NULL AS swapped
+       FROM t ASOF LEFT JOIN r p ON t.event_id > p.event_id LEFT JOIN r q ON q.event_id = t.event_id"""
+)
+def compare_and_swap_one_cell(spark, sf):
+    """All events try one cell, so its attempts are spread over ranges."""
+    events = table(spark, sf, "events").select(F.lit(0).alias("cell"), "event_id", (F.col("event_id") % 64).alias("old"), ((F.col("event_id") * 7 + F.col("user_id")) % 64).alias("new"))
+    return kv.compare_and_swap(events, "cell", "event_id", "old", "new", group_rows=0).drop("cell")
+
+
 @query(
     """WITH RECURSIVE c AS (SELECT c_nationkey AS host, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
        r(host, k, c_custkey, slot, slots) AS (
@@ -242,6 +257,20 @@ def reduce_noncommutative(spark, sf):
     return reduce.reduce_ordered(nation, "n_nationkey", "v", F.lit(7).cast("bigint"), lambda a, b: (a * 10 + b) % 999983, "folded")
 
 
+@query(
+    """SELECT list_reduce(list_prepend(7::BIGINT, list(l_partkey::BIGINT ORDER BY l_orderkey, l_linenumber, l_partkey)), lambda a, b: (a * 31 + b) % 1000003)::BIGINT AS folded FROM lineitem"""
+)
+def reduce_noncommutative_ranges(spark, sf):
+    """All lines, folded in order: the steps x -> (31 x + v) mod p compose to steps of the same form, so ranges are folded by themselves."""
+    step = {"times": F.lit(31).cast("bigint"), "plus": F.col("l_partkey").cast("bigint")}
+    whole = reduce.reduce_monoid(table(spark, sf, "lineitem"), [], ["l_orderkey", "l_linenumber", "l_partkey"], step, _affine, {"times": 1, "plus": 0})
+    return whole.select(((F.col("times") * 7 + F.col("plus")) % 1000003).alias("folded"))
+
+
+def _affine(a, b):
+    return {"times": a["times"] * b["times"] % 1000003, "plus": (a["plus"] * b["times"] + b["plus"]) % 1000003}
+
+
 @query("SELECT n_nationkey, n_regionkey, (SELECT sum(n_regionkey)::BIGINT FROM nation) AS total FROM nation")
 def all_reduce(spark, sf):
     nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")

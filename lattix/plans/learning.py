@@ -142,8 +142,20 @@ def _letters(text):
         yield k, c
 
 
-@query()
+_SHARE = "(sum({y} * {x}) OVER () / sum({x} * {x}) OVER ())"
+
+
+@query(
+    f"""WITH f AS (SELECT event_type, day, lag(n, 3) OVER w AS a0, lag(n, 2) OVER w AS a1, lag(n, 1) OVER w AS a2, n AS target FROM ({_DAILY})
+                   WINDOW w AS (PARTITION BY event_type ORDER BY day) QUALIFY row_number() OVER w > 3),
+          c AS (SELECT *, a0 - avg(a0) OVER () AS x0, a1 - avg(a1) OVER () AS x1, a2 - avg(a2) OVER () AS x2, avg(target) OVER () AS mean FROM f),
+          g AS (SELECT *, x1 - x0 * {_SHARE.format(y='x1', x='x0')} AS y1, x2 - x0 * {_SHARE.format(y='x2', x='x0')} AS z2 FROM c),
+          h AS (SELECT *, z2 - y1 * {_SHARE.format(y='z2', x='y1')} AS y2 FROM g)
+        SELECT event_type, day, target, round(mean + x0 * {_SHARE.format(y='target', x='x0')} + y1 * {_SHARE.format(y='target', x='y1')}
+          + y2 * {_SHARE.format(y='target', x='y2')}, 6) AS prediction FROM h"""
+)
 def ols_lag(spark, sf):
+    """The SQL makes the features orthogonal one by one, so that each has a slope of its own."""
     rows = learning.lag_features(_daily(spark, sf), "day", "n", 3, by=["event_type"])
     features = ["a0", "a1", "a2"]
     return learning.predict(learning.fit_ols(rows, features, "target"), rows, features).select("event_type", "day", "target", F.round("prediction", 6).alias("prediction"))

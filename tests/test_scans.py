@@ -9,7 +9,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from lattix.functions import learning
-from lattix.operators import balance, grid, iterate, kv, matrix, queues, scans, sparse, tiles
+from lattix.operators import balance, grid, iterate, kv, matrix, queues, reduce, scans, sparse, tiles
 
 
 @pytest.fixture
@@ -73,6 +73,49 @@ def test_fetch_before_in_one_cell(small):
     assert rows(got.select("k", "o", "e", "a", "lo", "hi")) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize(("cells", "values", "start"), [(1, 3, 0), (4, 40, 2), (60, 2, 1)])
+def test_compare_and_swap_over_ranges(small, cells, values, start):
+    """Cells of any size, null cells, null operands, equal places in the order and whole rows repeated: ranges and groups agree with a loop."""
+    r = random.Random(cells)
+    some = lambda: None if r.random() < 0.02 else r.randrange(values)
+    data = [(r.choice([None, *range(cells)]) if r.random() < 0.4 else 0, r.randrange(250), some(), some()) for _ in range(400)]
+    data += data[:20]
+    first = lambda x: (x is None, x or 0)  # noqa: E731  nulls last
+    held, want = {}, []
+    for cell, at, old, new in sorted(data, key=lambda x: (first(x[0]), x[1], first(x[2]), first(x[3]))):
+        value = held.get(cell, start)
+        want.append((cell, at, value, old is not None and old == value))
+        held[cell] = new if want[-1][3] else value
+    df = small.createDataFrame(data, "cell int, t int, old bigint, new bigint")
+    assert rows(kv.compare_and_swap(df, "cell", "t", "old", "new", start, group_rows=0)) == sorted(want, key=str)
+    assert rows(kv.compare_and_swap(df, "cell", "t", "old", "new", start)) == sorted(want, key=str)
+    assert kv.compare_and_swap(df.limit(0), "cell", "t", "old", "new", group_rows=-1).collect() == []
+
+
+def test_long_chain_of_swaps_in_one_cell(small):
+    """Every attempt succeeds, so the marked path holds all of them."""
+    df = small.range(3000).select(F.lit(0).alias("cell"), "id", (F.col("id") % 7).alias("old"), ((F.col("id") + 1) % 7).alias("new"))
+    got = kv.compare_and_swap(df, "cell", "id", "old", "new", group_rows=0)
+    assert got.filter("swapped AND seen = id % 7").count() == 3000
+
+
+@pytest.mark.parametrize("by", [[], ["cell"]])
+def test_reduction_that_does_not_commute(small, by):
+    r = random.Random(5)
+    data = [(r.choice([None, 1, 2]) if r.random() < 0.3 else 0, k, r.choice([None, *range(10007)])) for k in range(500)]
+    r.shuffle(data)
+    compose = lambda a, b: {"m": a["m"] * b["m"] % 10007, "c": (a["c"] * b["m"] + b["c"]) % 10007}
+    df = small.createDataFrame(data, "cell int, k int, v bigint")
+    step = {"m": F.lit(31).cast("bigint"), "c": F.col("v")}
+    got = reduce.reduce_monoid(df, by, ["k"], step, compose, {"m": 1, "c": 0})
+    want = {}
+    for cell, _, v in sorted(data, key=lambda x: x[1]):
+        m, c = want.get(cell if by else "all", (1, 0))
+        want[cell if by else "all"] = m * 31 % 10007, (c * 31 + (v or 0)) % 10007
+    assert rows(got) == sorted([(k, *v) if by else v for k, v in want.items()], key=str)
+    assert rows(reduce.reduce_monoid(df.limit(0), by, ["k"], step, compose, {"m": 1, "c": 0})) == ([] if by else [(1, 0)])
+
+
 # --- queues ----------------------------------------------------------------------------------------------------------
 
 
