@@ -295,6 +295,17 @@ def test_url_edges(spark):
     assert {x["verdict"] for x in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_urls_by_the_contract(spark):
+    """The verdicts that op3's contract gives, spelled out: net/de/ allows, but for example.net/de/8."""
+    want = {
+        "http://a.com/en/": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://a.net/de/": ("net/de/", "allow"), "http://NET/de/8": ("net/de/", "allow"),
+        "http://example.net/de/9": ("net/de/", "allow"), "http://b.example.net/de/80": ("example.net/de/8", "block"), "http://x.org/es/1": ("org/es/", "block"), "http://a.net/en/": (None, "allow"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id bigint, url string")
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filter.filter_urls(pages, url_filter.rules_frame(spark, URL_RULES)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_urls_with_rules_of_many_shapes(spark):
     """120 rules of as many shapes, null and doubled rules among them, against all pairs."""
     r = random.Random(2)
