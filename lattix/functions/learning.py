@@ -13,9 +13,9 @@ def lag_features(series: DataFrame, order: str, value: str, length: int, by: lis
     """Rows (order, a0 .. a<length-1>, target): the ``length`` values before each one, oldest first; the first rows go.
 
     ``by`` names series that are independent; without it all rows are one series,
-    whose window is one task.
+    whose window is one task.  Rows whose ``order`` is null come last.
     """
-    w = Window.partitionBy(*(by or [])).orderBy(order)
+    w = Window.partitionBy(*(by or [])).orderBy(F.col(order).asc_nulls_last())
     lags = {f"a{k}": F.lag(value, length - k).over(w) for k in range(length)}
     rows = series.select(*(by or []), order, F.col(value).alias("target"), F.row_number().over(w).alias("_n"), *[c.alias(n) for n, c in lags.items()])
     return rows.filter(F.col("_n") > length).select(*(by or []), order, *lags, "target")

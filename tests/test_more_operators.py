@@ -4,16 +4,19 @@ import random
 import threading
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lattix.functions import blocking, learning, registry, scalar
 from lattix.operators import arrays, iterate, kv, matrix, ordered, queues, tasks
+from lattix.plans import catalog
 from lattix.plans import learning as learning_plans
 from lattix.plans.lineage import CachedCopy, table
 from lattix.sources import generators, matrices, text
 from lattix.streaming import state
+from tests.oracle import connect, same_rows
 
 
 def rows(df):
@@ -187,6 +190,22 @@ def test_series_do_not_depend_on_partitions(spark):
 # learning
 
 
+@pytest.fixture(scope="module")
+def odd_events(tmp_path_factory):
+    """Events about half seconds before midnight, before 1970, and without a time."""
+    folder = tmp_path_factory.mktemp("odd")
+    r = random.Random(4)
+    times = [f"2024-01-{d:02} {t}" for d in range(1, 16) for t in ["00:00:00.4", "12:00:00", "23:59:59.499999", "23:59:59.5", "23:59:59.7"] for _ in range(r.randint(1, 4))]
+    times += ["1969-12-31 23:59:58.5", "1969-12-31 12:00:00", "1969-12-30 23:59:59.5", "1969-12-29 06:00:00", None, None, None]
+    rows = ", ".join(f"({k}, {'NULL' if t is None else repr(t)}::TIMESTAMP, '{r.choice('ab')}')" for k, t in enumerate(times))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) AS e(event_id, ts, event_type)) TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+def test_days_of_lag_features_near_midnight(spark, odd_events):
+    same_rows(learning_plans.lag_features(spark, odd_events), connect(odd_events), catalog.oracle_sql()["lag_features"])
+
+
 def test_lagged_least_squares_against_numpy(spark, sf_dir):
     """The query's predictions are those of the normal equations over all its rows."""
     daily = learning.lag_features(learning_plans._daily(spark, sf_dir), "day", "n", 3, by=["event_type"]).collect()
