@@ -206,6 +206,10 @@ def test_days_of_lag_features_near_midnight(spark, odd_events):
     same_rows(learning_plans.lag_features(spark, odd_events), connect(odd_events), catalog.oracle_sql()["lag_features"])
 
 
+def test_regression_on_days_near_midnight(spark, odd_events):
+    same_rows(learning_plans.ols_lag(spark, odd_events), connect(odd_events), catalog.oracle_sql()["ols_lag"])
+
+
 def test_lagged_least_squares_against_numpy(spark, sf_dir):
     """The query's predictions are those of the normal equations over all its rows."""
     daily = learning.lag_features(learning_plans._daily(spark, sf_dir), "day", "n", 3, by=["event_type"]).collect()
