@@ -16,6 +16,8 @@ from lattix.operators.matrix import with_tiles
 BANNER = "%%MatrixMarket"
 #: Rows of a band of the binary sink.
 BAND = 65_536
+#: Tiles that get a folder each.  A file costs some milliseconds, so more tiles share files.
+FOLDERS = 256
 
 
 def detect_format(path: str) -> str:
@@ -182,9 +184,20 @@ def write_binary_csr(m: DataFrame, path: str, shape: tuple[int, int], band: int
     rows.groupBy("band").applyInArrow(pack, "first_row bigint, content binary").write.mode("overwrite").parquet(path)
 
 
-def write_tiles(m: DataFrame, path: str, tm: int, tn: int) -> None:
-    """Cells laid out by tile: a folder a tile (bi, bj), which predicates on tiles prune."""
-    with_tiles(m, tm, tn).repartition("bi", "bj").write.mode("overwrite").partitionBy("bi", "bj").parquet(path)
+def write_tiles(m: DataFrame, path: str, tm: int, tn: int, folders: int | None = None) -> None:
+    """Cells laid out by tile, so that predicates on tiles prune what is read.
+
+    Up to ``folders`` (``FOLDERS``) tiles have a folder each (bi, bj).  More are written in order of tiles, with
+    bi and bj as columns: a tile's cells lie together, and the files' statistics prune files,
+    row groups and pages.  Ranges go on inside a tile, so a heavy one is cut over tasks.
+    """
+    cells = with_tiles(m, tm, tn)
+    folders = FOLDERS if folders is None else folders
+    if cells.select("bi", "bj").distinct().limit(folders + 1).count() <= folders:
+        cells.repartition("bi", "bj").write.mode("overwrite").partitionBy("bi", "bj").parquet(path)
+    else:
+        order = ["bi", "bj", "i", "j"]
+        cells.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Known answers and plain Python versions of operators, sources, calls and streams."""
 
+import glob
 import random
 import threading
 import time
@@ -182,6 +183,32 @@ def test_tiles_are_pruned(spark, tmp_path):
     assert read and all("bi=1/bj=2" in f for f in read)
 
 
+def test_many_tiles_share_files(spark, tmp_path):
+    """1,600 tiles lie in order in a few files, of which a tile is in one or two; negative and null indices too."""
+    m = generators.modulo_matrix(spark, 40, 40, 11).union(spark.sql("SELECT * FROM VALUES (-3L, -2L, 5.0D), (NULL, 1L, 6.0D)"))
+    matrices.write_tiles(m, str(tmp_path / "t"), 1, 1)
+    files = list((tmp_path / "t").rglob("*.parquet"))
+    tiles = matrices.read_tiles(spark, str(tmp_path / "t"))
+    assert len(files) < 50 and tiles.columns == ["i", "j", "v", "bi", "bj"] and not list((tmp_path / "t").glob("bi=*"))
+    assert sorted(map(str, tiles.select("i", "j", "v").collect())) == sorted(map(str, m.collect()))
+    assert rows(matrix.tiled_sub_matrix(tiles, 1, 1, 12, 25, 3, 9)) == rows(matrix.sub_matrix(m, 12, 25, 3, 9))
+    assert rows(matrix.element(tiles, 1, 1, -3, -2).select("v")) == [(5.0,)]
+    part = matrix.tile(tiles, 7, 2)
+    assert part.count() == m.filter("i = 7 AND j = 2").count() and "PushedFilters: [IsNotNull(bi), IsNotNull(bj), EqualTo(bi,7), EqualTo(bj,2)]" in part._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["element_get"])
+def test_queries_over_many_tiles(spark, sf_dir, monkeypatch, name):
+    """In files that tiles share, and without a folder a tile."""
+    monkeypatch.setattr(matrices, "FOLDERS", 1)
+    written = []
+    read = matrices.read_tiles
+    monkeypatch.setattr(matrices, "read_tiles", lambda s, path: (written.extend(glob.glob(f"{path}/bi=*")), read(s, path))[1])
+    same_rows(catalog.queries()[name](spark, sf_dir), connect(sf_dir), catalog.oracle_sql()[name])
+    assert not written
+
+
+
 def test_series_do_not_depend_on_partitions(spark):
     a = rows(generators.sine_series(spark, 50, noise=1.0, seed=4))
     assert a == rows(generators.sine_series(spark, 50, noise=1.0, seed=4).repartition(3)) and a != rows(generators.sine_series(spark, 50, noise=1.0, seed=5))
