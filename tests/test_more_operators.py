@@ -197,7 +197,7 @@ def test_many_tiles_share_files(spark, tmp_path):
     assert part.count() == m.filter("i = 7 AND j = 2").count() and "PushedFilters: [IsNotNull(bi), IsNotNull(bj), EqualTo(bi,7), EqualTo(bj,2)]" in part._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["element_get", "tile_get", "tile_row_get", "tile_slice_pruned"])
+@pytest.mark.parametrize("name", ["element_get", "tile_get", "tile_row_get", "tile_slice_pruned", "mtx_roundtrip_tiled"])
 def test_queries_over_many_tiles(spark, sf_dir, monkeypatch, name):
     """In files that tiles share, and without a folder a tile."""
     monkeypatch.setattr(matrices, "FOLDERS", 1)
