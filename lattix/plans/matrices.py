@@ -209,7 +209,7 @@ def sparse_gemm_or_and(spark, sf):
 def sparse_gemm_user_semiring(spark, sf):
     """The widest path of two steps: a semiring that the user gives as (multiply, add)."""
     a = _sparse(spark, sf)
-    return matrix.gemm(matrix.transpose(a), a, (F.least, F.max))
+    return sparse.gemm_blocks(matrix.transpose(a), a, (F.least, F.max))
 
 
 @query(f"SELECT i, j, sum(v)::BIGINT AS v FROM (SELECT i, j, v FROM ({_SPARSE}) UNION ALL SELECT i + 1, j, v FROM ({_SPARSE})) GROUP BY i, j")
