@@ -202,7 +202,7 @@ def sparse_gemm_hot_index(spark, sf):
 @query(_sparse_gram("true", "a.v > 40 AND b.v > 40"))
 def sparse_gemm_or_and(spark, sf):
     a = matrix.apply(_sparse(spark, sf), lambda v: v > 40)
-    return matrix.gemm(matrix.transpose(a), a, "or_and").filter("v")
+    return sparse.gemm_blocks(matrix.transpose(a), a, "or_and").filter("v")
 
 
 @query(_sparse_gram("max(least(a.v, b.v))"))
