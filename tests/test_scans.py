@@ -309,6 +309,17 @@ def test_sparse_products_exchange_lists(small):
         assert "hashpartitioning(i" not in plan and "hashpartitioning(bi" in plan
 
 
+def test_sparse_products_of_cells_that_lie_by_inner_index(small, sf_dir):
+    """Lines are exchanged by their row and pairs by their block: nothing between.  Wrongly stated, it costs exchanges only."""
+    from lattix.plans import catalog
+
+    plan = catalog.queries()["sparse_gemm_min_plus"](small, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("hashpartitioning(bi") == 1
+    a = small.range(200 * 60).selectExpr("id % 200 AS i", "id div 200 AS j", "id % 7 AS v").repartition(5)
+    b = a.selectExpr("j AS i", "i AS j", "v")
+    assert rows(sparse.gemm_rows(a, b, lying=True)) == rows(sparse.gemm_rows(a, b))
+
+
 def test_accumulators_of_dense_and_sparse_groups(monkeypatch):
     g = np.random.default_rng(1)
     group = np.sort(g.integers(0, 5, 400))
