@@ -201,8 +201,8 @@ def sparse_gemm_min_plus(spark, sf):
 )
 def sparse_gemm_hot_index(spark, sf):
     """A third of the rows share one inner index, which is salted."""
-    a = _sparse(spark, sf)
-    hot = a.groupBy(F.when(F.col("i") % 3 == 0, 0).otherwise(F.col("i")).alias("i"), "j").agg(F.sum("v").alias("v"))
+    row = F.when(F.col("l_partkey") % 3 == 0, 0).otherwise(F.col("l_partkey"))  # sums of cells are sums of their lines
+    hot = table(spark, sf, "lineitem").groupBy(row.alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("v"))
     return sparse.gemm_rows(matrix.transpose(hot), hot, "max_times", hot=10)
 
 

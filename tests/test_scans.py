@@ -320,6 +320,18 @@ def test_sparse_products_of_cells_that_lie_by_inner_index(small, sf_dir):
     assert rows(sparse.gemm_rows(a, b, lying=True)) == rows(sparse.gemm_rows(a, b))
 
 
+@pytest.mark.parametrize("bound", [300_000, 0])
+def test_sparse_products_deal_hot_cells_once(small, monkeypatch, bound):
+    """Each side's cells are exchanged once, by inner index and salt, and the pairs once; with too many hot indices to broadcast, by shuffles."""
+    monkeypatch.setattr(sparse, "BROADCAST", bound)
+    a = small.range(200 * 60).selectExpr("id % 200 AS i", "id div 200 AS j", "id % 7 AS v").filter("j < 3 OR i < 5").repartition(5)
+    b = a.selectExpr("j AS i", "i AS j", "v")
+    got = sparse.gemm_rows(a, b, width=16, hot=20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan and (not bound or plan.count("Exchange hashpartitioning") == 3)
+    assert rows(got) == rows(sparse.gemm_rows(a, b))
+
+
 def test_accumulators_of_dense_and_sparse_groups(monkeypatch):
     g = np.random.default_rng(1)
     group = np.sort(g.integers(0, 5, 400))
