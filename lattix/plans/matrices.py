@@ -35,6 +35,13 @@ def _sparse_rows(spark, sf):
     return lines.repartition(n, "i").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def _sparse_columns(spark, sf, row=None):
+    """The same, lying by columns: lines are exchanged by their column, and the cells summed where they then are.  ``row``: other rows for the lines."""
+    row = F.col("l_partkey") if row is None else row
+    lines = table(spark, sf, "lineitem").select(row.alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").cast("bigint").alias("v"))
+    return lines.repartition(sparse.sides(spark), "j").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 @query(f"SELECT i, j, v * 2 + 1 AS v FROM ({_DENSE})")
 def dense_apply(spark, sf):
     return matrix.apply(_dense(spark, sf), lambda v: v * 2 + 1)
@@ -185,8 +192,8 @@ def _sparse_gram(times: str, where: str = "true") -> str:
 
 @query(_sparse_gram("sum(a.v * b.v)::BIGINT"))
 def sparse_gemm_plus_times(spark, sf):
-    a = _sparse(spark, sf)
-    return sparse.gemm_rows(matrix.transpose(a), a)
+    a = _sparse_columns(spark, sf)
+    return sparse.gemm_packs(matrix.transpose(a), a, lying=True)
 
 
 @query(_sparse_gram("min(a.v + b.v)"))

@@ -3,6 +3,7 @@
 import random
 from itertools import groupby
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PythonException
@@ -332,6 +333,77 @@ def test_sparse_products_deal_hot_cells_once(small, monkeypatch, bound):
     assert rows(got) == rows(sparse.gemm_rows(a, b))
 
 
+@pytest.mark.parametrize("name, pack, table", [("plus_times", 25, 7), ("or_and", 25, 7), ("min_plus", 25, 100), ("plus_times", 4_000_000, 1 << 22)])
+def test_sparse_products_by_packs(spark, monkeypatch, name, pack, table):
+    """Rows and columns whole and larger than a pack, one with more products than a table, negative indices, repeated cells, wide and narrow values."""
+    g = np.random.default_rng(pack)
+    a, b = ([(int(i), int(j), int(v)) for i, j, v in zip(g.integers(-20, 20, 300), g.integers(-20, 20, 300), g.integers(-9, 9, 300), strict=True)] for _ in range(2))
+    a += [(7, k, 1 << 40) for k in range(-20, 20)]
+    b += [(k, -3, 2) for k in range(-20, 20)] + [(0, j << 40, 1) for j in range(5)]
+    times, add = sparse.SEMIRINGS[name]
+    want = {}
+    for i, k, x in a:
+        for m, j, y in b:
+            if k == m:
+                v = int(times(x, y))
+                want[i, j] = int(add(want[i, j], v)) if (i, j) in want else v
+    left, right = (spark.createDataFrame(m, "i bigint, j bigint, v bigint") for m in (a, b))
+    assert sorted(map(tuple, sparse.gemm_packs(left, right, name, pack=pack).collect())) == [(i, j, v) for (i, j), v in sorted(want.items())]
+    if table < 1 << 22:  # a table of few products: workers import the module anew, so packs are multiplied here
+        monkeypatch.setattr(sparse, "TABLE", table)
+        p, q = (dict(zip(sparse._PACKED, sparse._pack(*(np.array(c) for c in zip(*m, strict=True))), strict=True)) for m in (a, b))
+        got = {}
+        outer, columns = sparse._rising(p["at"]), sparse._rising(q["other"])
+        for row, place, v, parts in sparse._pack_products(p, q, np.int64, times):
+            assert set(parts) <= {row[0], row[-1]} and (np.diff(row) >= 0).all() and (len(v) <= table or row[0] == row[-1])
+            for r, c, z in zip(row, place, v, strict=True):
+                at = int(outer[r]), int(columns[c])
+                got[at] = int(add(got[at], z)) if at in got else int(z)
+        assert got == want
+
+
+def test_sparse_products_by_packs_of_booleans_doubles_and_nothing(spark):
+    a = spark.range(60).selectExpr("id % 6 AS i", "id div 6 AS j", "id % 7 = 0 AS v")
+    b = a.selectExpr("j AS i", "i AS j", "v")
+    got = sparse.gemm_packs(a, b, "or_and")
+    assert dict(got.dtypes)["v"] == "boolean"
+    assert rows(got) == rows(sparse.gemm_blocks(a, b, "or_and").select("i", "j", "v"))
+    x, y = (m.selectExpr("i", "j", "CAST(v AS double) / 3 AS v") for m in (a, b))
+    assert rows(sparse.gemm_packs(x, y, "max_times")) == rows(sparse.gemm_rows(x, y, "max_times"))
+    assert sparse.gemm_packs(a.filter("i < 0"), b, "or_and").collect() == []
+    assert sparse.gemm_packs(a.filter("j < 2"), b.filter("i > 5"), "or_and").collect() == []
+    with pytest.raises(PythonException, match="must not be null"):
+        sparse.gemm_packs(a.selectExpr("i", "j", "nullif(v, true) AS v"), b, "or_and").collect()
+
+
+@pytest.mark.parametrize("name", ["plus_times"])
+def test_sparse_products_exchange_no_pairs(spark, tmp_path, name):
+    """Cells spread over all blocks, where nearly every pair of lists is one product: what is exchanged are packs, not pairs or products."""
+    from lattix.plans import catalog
+    from tests.oracle import same_rows
+
+    lines = spark.range(1200).selectExpr("id % 60 AS l_partkey", "pmod(xxhash64(id), 2000) * 1024 AS l_suppkey", "CAST(1 + id % 50 AS double) AS l_quantity")
+    lines.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    got = catalog.queries()[f"sparse_gemm_{name}"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet'")
+    same_rows(got, con, catalog.oracle_sql()[f"sparse_gemm_{name}"])
+    written = []
+
+    def walk(p):
+        if "ShuffleExchange" in p.getClass().getName():
+            written.append(p.metrics().apply("shuffleRecordsWritten").value())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            walk(p.plan())
+        for k in range(p.children().size()):
+            walk(p.children().apply(k))
+
+    plan = got._jdf.queryExecution().executedPlan()
+    walk(plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan)
+    assert 0 < sum(written) < 3 * 1200, written  # the pairs of lists are some 24,000
+
+
 def test_accumulators_of_dense_and_sparse_groups(monkeypatch):
     g = np.random.default_rng(1)
     group = np.sort(g.integers(0, 5, 400))
