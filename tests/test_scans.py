@@ -350,7 +350,7 @@ def test_sparse_products_by_packs(spark, monkeypatch, name, pack, table):
     left, right = (spark.createDataFrame(m, "i bigint, j bigint, v bigint") for m in (a, b))
     assert sorted(map(tuple, sparse.gemm_packs(left, right, name, pack=pack).collect())) == [(i, j, v) for (i, j), v in sorted(want.items())]
     if table < 1 << 22:  # a table of few products: workers import the module anew, so packs are multiplied here
-        monkeypatch.setattr(sparse, "TABLE", table)
+        monkeypatch.setattr(sparse, "STEP", table)
         p, q = (dict(zip(sparse._PACKED, sparse._pack(*(np.array(c) for c in zip(*m, strict=True))), strict=True)) for m in (a, b))
         got = {}
         outer, columns = sparse._rising(p["at"]), sparse._rising(q["other"])
@@ -376,7 +376,7 @@ def test_sparse_products_by_packs_of_booleans_doubles_and_nothing(spark):
         sparse.gemm_packs(a.selectExpr("i", "j", "nullif(v, true) AS v"), b, "or_and").collect()
 
 
-@pytest.mark.parametrize("name", ["plus_times"])
+@pytest.mark.parametrize("name", ["hot_index", "plus_times"])
 def test_sparse_products_exchange_no_pairs(spark, tmp_path, name):
     """Cells spread over all blocks, where nearly every pair of lists is one product: what is exchanged are packs, not pairs or products."""
     from lattix.plans import catalog
