@@ -28,13 +28,6 @@ def _sparse(spark, sf):
     return lines.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def _sparse_rows(spark, sf):
-    """The same, lying by rows: lines are exchanged by their row, and the cells summed where they then are."""
-    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").cast("bigint").alias("v"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return lines.repartition(n, "i").groupBy("i", "j").agg(F.sum("v").alias("v"))
-
-
 def _sparse_columns(spark, sf, row=None):
     """The same, lying by columns: lines are exchanged by their column, and the cells summed where they then are.  ``row``: other rows for the lines."""
     row = F.col("l_partkey") if row is None else row
@@ -198,8 +191,8 @@ def sparse_gemm_plus_times(spark, sf):
 
 @query(_sparse_gram("min(a.v + b.v)"))
 def sparse_gemm_min_plus(spark, sf):
-    a = _sparse_rows(spark, sf)
-    return sparse.gemm_rows(matrix.transpose(a), a, "min_plus", lying=True)
+    a = _sparse_columns(spark, sf)
+    return sparse.gemm_packs(matrix.transpose(a), a, "min_plus", lying=True)
 
 
 @query(
