@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lattix.functions import blocking, scalar
@@ -214,8 +215,8 @@ def sparse_gemm_or_and(spark, sf):
 @query(_sparse_gram("max(least(a.v, b.v))"))
 def sparse_gemm_user_semiring(spark, sf):
     """The widest path of two steps: a semiring that the user gives as (multiply, add)."""
-    a = _sparse(spark, sf)
-    return sparse.gemm_blocks(matrix.transpose(a), a, (F.least, F.max))
+    a = _sparse_columns(spark, sf)
+    return sparse.gemm_packs(matrix.transpose(a), a, (np.minimum, np.maximum), lying=True)
 
 
 @query(f"SELECT i, j, sum(v)::BIGINT AS v FROM (SELECT i, j, v FROM ({_SPARSE}) UNION ALL SELECT i + 1, j, v FROM ({_SPARSE})) GROUP BY i, j")
