@@ -208,8 +208,8 @@ def sparse_gemm_hot_index(spark, sf):
 
 @query(_sparse_gram("true", "a.v > 40 AND b.v > 40"))
 def sparse_gemm_or_and(spark, sf):
-    a = matrix.apply(_sparse(spark, sf), lambda v: v > 40)
-    return sparse.gemm_blocks(matrix.transpose(a), a, "or_and").filter("v")
+    a = matrix.apply(_sparse_columns(spark, sf), lambda v: v > 40).filter("v")  # false cells make no true one
+    return sparse.gemm_packs(matrix.transpose(a), a, "or_and", lying=True)
 
 
 @query(_sparse_gram("max(least(a.v, b.v))"))

@@ -376,7 +376,7 @@ def test_sparse_products_by_packs_of_booleans_doubles_and_nothing(spark):
         sparse.gemm_packs(a.selectExpr("i", "j", "nullif(v, true) AS v"), b, "or_and").collect()
 
 
-@pytest.mark.parametrize("name", ["hot_index", "min_plus", "plus_times", "user_semiring"])
+@pytest.mark.parametrize("name", ["hot_index", "min_plus", "or_and", "plus_times", "user_semiring"])
 def test_sparse_products_exchange_no_pairs(spark, tmp_path, name):
     """Cells spread over all blocks, where nearly every pair of lists is one product: what is exchanged are packs, not pairs or products."""
     from lattix.plans import catalog
